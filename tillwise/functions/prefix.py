@@ -53,28 +53,48 @@ def running(
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: dict[str, str]
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    chunk: Column,
+    values: dict[str, str],
+    following: bool = False,
 ) -> DataFrame:
-    """Add the previous row's columns per key: ``values`` maps new name to column."""
+    """Add the neighbouring row's columns per key: the previous one, or the
+    next one with ``following``. ``values`` maps new name to column."""
     cut = df.withColumn(CHUNK, chunk)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    last = cut.groupBy(*keys, CHUNK).agg(
-        F.max_by(payload, F.struct(*order)).alias("_last")
-    )
-    earlier = last.select(
-        *keys, CHUNK, F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = cut.withColumn("_prev", F.lag(payload).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
+    edge, toward = (F.min_by, F.desc) if following else (F.max_by, F.asc)
+    last = cut.groupBy(*keys, CHUNK).agg(edge(payload, F.struct(*order)).alias("_edge"))
+    across = Window.partitionBy(*keys).orderBy(toward(CHUNK))
+    carried = last.select(*keys, CHUNK, F.lag("_edge").over(across).alias("_carry"))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*[toward(o) for o in order])
+    local = cut.withColumns(
+        {"_near": F.lag(payload).over(inside), "_first": F.row_number().over(inside) == 1}
     )
-    joined = local.join(earlier, [*keys, CHUNK])
-    picked = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
+    joined = local.join(carried, [*keys, CHUNK])
+    picked = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_near"))
     return joined.withColumn("_p", picked).select(
         *[joined[c] for c in df.columns], *[F.col(f"_p.{n}").alias(n) for n in values]
     )
 
 
+def max_before(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, name: str
+) -> DataFrame:
+    """Largest ``value`` of all earlier rows of the key."""
+    cut = df.withColumn(CHUNK, chunk)
+    rows_before = (Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, CHUNK).agg(F.max(value).alias("_top"))
+    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*rows_before)
+    carried = tops.select(*keys, CHUNK, F.max("_top").over(across).alias("_carry"))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*rows_before)
+    joined = cut.withColumn("_near", F.max(value).over(inside)).join(carried, [*keys, CHUNK])
+    return joined.select(
+        *[joined[c] for c in df.columns], F.greatest("_near", "_carry").alias(name)
+    )
+
+
 def trailing_count(
     df: DataFrame, keys: list[str], ts: str, seconds: int, name: str, weight: Column | None = None
 ) -> DataFrame:

@@ -7,9 +7,10 @@ others are sort-merge joins with adaptive skew splitting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions import prefix
 from tillwise.functions.columns import percent
 
 
@@ -75,13 +76,13 @@ def subject_rows(maps, subjects, ids: str = "subject_ids") -> DataFrame:
     return one.join(subjects, "subject_id")
 
 
-def merge_intervals(df, keys: list[str], start: str, end: str) -> DataFrame:
+def merge_intervals(df, keys: list[str], start: str, end: str, chunk: str = "day") -> DataFrame:
     """Union of overlapping ``[start, end)`` intervals per key, so that a point
     can lie in one interval at most."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(seen.isNull() | (F.col(start) > seen), 1).otherwise(0))
-    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.date_trunc(chunk, start)
+    seen = prefix.max_before(df.select(*keys, start, end), keys, [start, end], step, end, "_seen")
+    opens = F.when(F.col("_seen").isNull() | (F.col(start) > F.col("_seen")), 1).otherwise(0).cast("long")
+    grouped = prefix.running(seen, keys, [F.col(start), F.col(end)], step, {"_g": opens})
     return grouped.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
@@ -103,6 +104,8 @@ def points_in_intervals(points, intervals, keys: list[str], ts: str, start: str,
 def as_of_versions(usage, versions, key: str, ts: str, created: str, version: str, horizon: Column) -> DataFrame:
     """Version in force at the time of use: each version is valid until the
     next one of its key, which makes it an interval join."""
-    w = Window.partitionBy(key).orderBy(created, version)
-    spans = versions.select(key, version, created).withColumn("_until", F.coalesce(F.lead(created).over(w), horizon))
+    spans = prefix.previous(
+        versions.select(key, version, created), [key], [created, version], F.date_trunc("day", created),
+        {"_next": created}, following=True,
+    ).withColumn("_until", F.coalesce("_next", horizon)).drop("_next")
     return points_in_intervals(usage, spans, [key], ts, created, "_until").drop("_until")
