@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ LAYOUTS = (
 )
 
 
-def java_pattern(strftime: str) -> str:
+def java_pattern(strftime: str, override: dict[str, str] | None = None) -> str:
+    letters = STRFTIME | (override or {})
     out, i, literal = [], 0, ""
 
     def flush():
@@ -30,9 +33,9 @@ def java_pattern(strftime: str) -> str:
 
     while i < len(strftime):
         two = strftime[i : i + 2]
-        if two in STRFTIME:
+        if two in letters:
             flush()
-            out.append(STRFTIME[two])
+            out.append(letters[two])
             i += 2
         else:
             literal += strftime[i]
@@ -41,12 +44,25 @@ def java_pattern(strftime: str) -> str:
     return "".join(out)
 
 
+# How a directive is read: lenient Java letters and the text it may match.
+READ = {
+    "%Y": ("yyyy", r"\d{4}"), "%m": ("M", r"\d{1,2}"), "%d": ("d", r"\d{1,2}"), "%H": ("H", r"\d{1,2}"),
+    "%I": ("h", r"\d{1,2}"), "%M": ("m", r"\d{1,2}"), "%S": ("s", r"\d{1,2}"), "%y": ("yy", r"\d{2}"),
+    "%f": ("[SSSSSS][SSSSS][SSSS][SSS][SS][S]", r"\d{1,6}"),
+}
+
+
 def parse(c: str | Column, layout: str) -> Column:
-    """Timestamp, or null where the text does not have the strftime layout."""
-    pattern = java_pattern(layout)
-    if "%f" in layout:  # one to six digits of fraction
-        pattern = pattern.replace("SSSSSS", "[SSSSSS][SSSSS][SSSS][SSS][SS][S]")
-    return F.try_to_timestamp(col(c), F.lit(pattern))
+    """Timestamp, or null where the text does not have the strftime layout.
+
+    A regular expression screens the text first, because a failing parse costs
+    an exception per row.
+    """
+    pieces = re.split(r"(%[A-Za-z])", layout)
+    shape = "".join(READ[x][1] if x in READ else (r"\w+" if x.startswith("%") else re.escape(x)) for x in pieces)
+    pattern = java_pattern(layout, {k: v[0] for k, v in READ.items()})
+    text = col(c).cast("string")
+    return F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(pattern)))
 
 
 def parse_any(c: str | Column, layouts=LAYOUTS) -> Column:
