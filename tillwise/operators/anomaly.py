@@ -69,13 +69,13 @@ def zscore(runs: DataFrame, sensitivity: float = 0.05) -> DataFrame:
     return _z_rows(runs, z_threshold(sensitivity), "z_score")
 
 
-def iqr(runs: DataFrame, sensitivity: float = 0.05) -> DataFrame:
+def iqr(runs: DataFrame, sensitivity: float = 0.05, last: int = LAST) -> DataFrame:
     """Interpolated quartiles; the multiplier follows the sensitivity."""
     k = 2.0 if sensitivity < 0.01 else 1.0 if sensitivity > 0.05 else 1.5
     quartiles = runs.groupBy("rule_id").agg(
         F.percentile(dbl("violations_count"), F.array(F.lit(0.25), F.lit(0.75))).alias("_q")
     )
-    h = _history(runs, "violations_count", MIN_HISTORY).join(quartiles, "rule_id")
+    h = _history(runs, "violations_count", MIN_HISTORY, last).join(quartiles, "rule_id")
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     spread = q3 - q1
     low, high = q1 - spread * k, q3 + spread * k

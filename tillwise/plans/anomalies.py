@@ -42,20 +42,20 @@ def _(t):
 
 
 IQR_SQL = f"""{HIST}, q AS (SELECT rule_id, quantile_cont(CAST(violations_count AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(violations_count AS DOUBLE), 0.75) AS q3 FROM dq_runs GROUP BY 1),
-b AS (SELECT *, q1 - (q3 - q1) AS lo, q3 + (q3 - q1) AS hi FROM h JOIN q USING (rule_id) WHERE n >= 10 AND back <= 5),
+b AS (SELECT *, q1 - (q3 - q1) AS lo, q3 + (q3 - q1) AS hi FROM h JOIN q USING (rule_id) WHERE n >= 10 AND back <= 200),
 found AS (SELECT rule_id, run_id, 'iqr' AS method, v < lo OR v > hi AS is_anomaly, round(CASE WHEN (v < lo OR v > hi) AND q3 > q1 THEN least(least(abs(v - lo), abs(v - hi)) / (q3 - q1), 1.0) ELSE 0.0 END, 6) AS confidence,
   1.0::DOUBLE AS threshold_value, v AS actual_value, greatest(0.0, lo) AS expected_min, hi AS expected_max FROM b)"""
 
 
 @query("anom_iqr", f"WITH {IQR_SQL} SELECT * FROM found")
 def _(t):
-    return rounded(anomaly.iqr(t.dq_runs, 0.2), "confidence")
+    return rounded(anomaly.iqr(t.dq_runs, 0.2, last=200), "confidence")
 
 
 @query("anom_store", f"WITH {IQR_SQL} SELECT rule_id, run_id, method AS detection_method, confidence AS anomaly_score, threshold_value, actual_value, expected_min, expected_max FROM found WHERE is_anomaly")
 def _(t):
     path = scratch_path(t.spark, "anomalies")
-    anomaly.only_anomalies(anomaly.iqr(t.dq_runs, 0.2)).write.mode("append").parquet(path)
+    anomaly.only_anomalies(anomaly.iqr(t.dq_runs, 0.2, last=200)).write.mode("append").parquet(path)
     return rounded(t.spark.read.parquet(path), "anomaly_score")
 
 
