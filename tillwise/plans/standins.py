@@ -145,6 +145,36 @@ class Tables:
             (k % 50 != 0).alias("is_active"),
         )
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, and a contact note per customer that holds personal data."""
+        k = F.col("c_custkey")
+        pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+        phone = (
+            F.when(k % 3 == 0, F.concat(F.lit("+1 (202) 555-"), pad(k % 10000, 4)))
+            .when(k % 3 == 1, F.concat(F.lit("+44 7"), pad(k % 900 + 100, 3), F.lit(" 123 456")))
+            .otherwise("555-0199")
+        )
+        card = (
+            F.when(k % 4 == 0, "4111 1111 1111 1111")
+            .when(k % 4 == 1, "5500-0000-0000-0004")
+            .when(k % 4 == 2, "378282246310005")
+            .otherwise("4111 1111 1111 1112")
+        )
+        note = F.concat(
+            F.lit("John Smith, mail "), F.when(k % 5 == 0, F.lit(".")).otherwise(F.lit("")),
+            F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com, phone "), phone,
+            F.lit(", ssn "), pad(k % 900, 3), F.lit("-"), pad(k % 100, 2), F.lit("-"), pad(k % 10000, 4),
+            F.lit(", card "), card, F.lit(", ni AB123456C, ip 10.0."), (k % 300).cast("string"), F.lit(".7"),
+        )
+        notes = self.raw("customer").select(
+            F.concat(F.lit("c"), k.cast("string")).alias("text_id"), F.lit("customer_note").alias("field"), note.alias("body")
+        )
+        docs = self.raw("documents").select(
+            F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), F.lit("text").alias("field"), F.col("text").alias("body")
+        )
+        return docs.unionByName(notes)
+
     @cached_property
     def shifts(self) -> DataFrame:
         s = self.raw("supplier").select(
@@ -275,6 +305,13 @@ SELECT c_custkey AS customer_id, c_name AS name,
   c_mktsegment AS segment, c_custkey % 40 AS visit_count, c_custkey % 500 AS loyalty_points,
   DATE '2001-08-01' - CAST(c_custkey % 365 AS INTEGER) AS last_visit, c_custkey % 50 <> 0 AS is_active
 FROM customer""",
+    "texts": """
+SELECT 'd' || CAST(doc_id AS VARCHAR) AS text_id, 'text' AS field, text AS body FROM documents
+UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'customer_note', 'John Smith, mail ' || CASE WHEN c_custkey % 5 = 0 THEN '.' ELSE '' END || lower(replace(c_name, '#', '.')) || '@example.com, phone '
+  || CASE c_custkey % 3 WHEN 0 THEN '+1 (202) 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') WHEN 1 THEN '+44 7' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3, '0') || ' 123 456' ELSE '555-0199' END
+  || ', ssn ' || lpad(CAST(c_custkey % 900 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+  || ', card ' || CASE c_custkey % 4 WHEN 0 THEN '4111 1111 1111 1111' WHEN 1 THEN '5500-0000-0000-0004' WHEN 2 THEN '378282246310005' ELSE '4111 1111 1111 1112' END
+  || ', ni AB123456C, ip 10.0.' || CAST(c_custkey % 300 AS VARCHAR) || '.7' FROM customer""",
     "shifts": """
 SELECT staff_id, s_nationkey AS branch_id, ship_date AS shift_date,
   CAST(sum(line_total) AS DECIMAL(18,2)) AS sales_generated,
