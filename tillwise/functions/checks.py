@@ -224,7 +224,7 @@ def validate(df: DataFrame, source: str, checks: list[Check] | None = None) -> D
 def batch_summary(checked: DataFrame, top: int = 5) -> DataFrame:
     """Counts, rates and the most common errors and warnings, as rows."""
     totals = checked.agg(
-        F.count(F.lit(1)).alias("total_records"),
+        F.count("*").alias("total_records"),
         F.count_if("is_valid").alias("valid_records"),
         F.count_if(~F.col("is_valid")).alias("invalid_records"),
         F.count_if(F.size("warnings") > 0).alias("with_warnings"),
@@ -235,7 +235,7 @@ def batch_summary(checked: DataFrame, top: int = 5) -> DataFrame:
         best = (
             checked.select(F.explode(name).alias("e"))
             .groupBy(key.alias("item"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), "item")
             .limit(top)
         )

@@ -1,9 +1,11 @@
 """Ordered computations that stay parallel inside one hot key.
 
 A plain window ``PARTITION BY key ORDER BY ts`` puts every row of a key into one
-task. Here a key is first cut into time chunks: the window runs inside
-``(key, chunk)``, the chunk totals (few rows per key) are accumulated on their
-own, and both are joined back on ``(key, chunk)``.
+task. Here rows are first cut into chunks of about equal size along the order:
+the window runs inside ``(key, chunk)``, the chunk totals (few rows per key) are
+accumulated on their own, and both are joined back on ``(key, chunk)``. A key
+that holds most of the table is then spread over as many tasks as the table has
+chunks.
 """
 
 from __future__ import annotations
@@ -11,22 +13,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_CHUNK = 2_000_000
+MAX_CHUNKS = 4096
+SAMPLES_PER_CHUNK = 20
 CHUNK = "_chunk"
 
 
+def _plain(df: DataFrame, names: list[str]) -> list[Column]:
+    """Order columns in types whose values survive the way through the driver."""
+    kinds = dict(df.dtypes)
+    turn = {"timestamp": F.unix_micros, "date": F.unix_date}
+    return [turn[kinds[n]](n) if kinds[n] in turn else F.col(n) for n in names]
+
+
+def even_chunks(df: DataFrame, order: list[str], rows: int | None = None) -> Column:
+    """Chunk number of a row along ``order``, about ``rows`` rows each.
+
+    Borders come from a sample of the order columns (at most
+    ``MAX_CHUNKS * SAMPLES_PER_CHUNK`` rows reach the driver) and are literals
+    of the plan, so every evaluation cuts the rows alike. A row compares itself
+    with every 64th border first and then with the 64 borders around it.
+    """
+    rows = rows or ROWS_PER_CHUNK
+    n = df.count()
+    chunks = min(-(-n // rows), MAX_CHUNKS)
+    if chunks <= 1:
+        return F.lit(0)
+    plain = _plain(df, order)
+    share = min(1.0, chunks * SAMPLES_PER_CHUNK / n)
+    seen = df.select(*[c.alias(f"o{i}") for i, c in enumerate(plain)]).sample(share, 7)
+    sample = sorted(tuple(r) for r in seen.limit(2 * MAX_CHUNKS * SAMPLES_PER_CHUNK).collect())
+    borders = sorted({sample[i * len(sample) // chunks] for i in range(1, chunks)}) if sample else []
+    if not borders:
+        return F.lit(0)
+
+    def literal(values) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(t)]) for t in values])
+
+    me = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(plain)])
+    step = 64
+    groups = [borders[i : i + step] for i in range(0, len(borders), step)]
+    coarse = F.size(F.filter(literal([g[0] for g in groups]), lambda t: t <= me))
+    fine = F.get(F.array(*[literal(g) for g in groups]), F.greatest(coarse - 1, F.lit(0)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda t: t <= me)))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
-    chunk: Column,
+    order: list[str],
     sums: dict[str, Column] | None = None,
     row_number: str | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add running sums and a row number per key, in the given order.
 
-    ``chunk`` must be non-decreasing in ``order`` (a truncated time), keys must
-    not be null.
+    ``order`` should end in a unique column, keys must not be null. A given
+    ``chunk`` must not decrease along the order.
     """
+    chunk = even_chunks(df, order) if chunk is None else chunk
     sums = dict(sums or {})
     if row_number:
         sums[row_number] = F.lit(1).cast("long")
@@ -56,12 +101,13 @@ def previous(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
     values: dict[str, str],
     following: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add the neighbouring row's columns per key: the previous one, or the
     next one with ``following``. ``values`` maps new name to column."""
+    chunk = even_chunks(df, order) if chunk is None else chunk
     cut = df.withColumn(CHUNK, chunk)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     edge, toward = (F.min_by, F.desc) if following else (F.max_by, F.asc)
@@ -80,9 +126,10 @@ def previous(
 
 
 def max_before(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, name: str
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, chunk: Column | None = None
 ) -> DataFrame:
     """Largest ``value`` of all earlier rows of the key."""
+    chunk = even_chunks(df, order) if chunk is None else chunk
     cut = df.withColumn(CHUNK, chunk)
     rows_before = (Window.unboundedPreceding, -1)
     tops = cut.groupBy(*keys, CHUNK).agg(F.max(value).alias("_top"))
@@ -95,45 +142,39 @@ def max_before(
     )
 
 
-def trailing_count(
-    df: DataFrame, keys: list[str], ts: str, seconds: int, name: str, weight: Column | None = None
-) -> DataFrame:
+def trailing_count(df: DataFrame, keys: list[str], ts: str, uid: str, seconds: int, name: str) -> DataFrame:
     """Count rows of the same key in ``[ts - seconds, ts]`` for every row.
 
-    Every row is placed in its own bucket and, as history only, in the next
-    one; a window inside ``(key, bucket)`` then sees the whole trailing range,
-    so a key is split over as many tasks as it has buckets.
+    The count is the difference of two running counts. Each row adds a probe
+    before its range and one behind it; probes and rows are counted together in
+    time order, split by chunk, so neither a busy key nor a busy minute meets
+    in one task. ``uid`` identifies a row.
     """
-    micros = F.unix_micros(F.col(ts))
-    width = seconds * 1_000_000
-    weight = F.lit(1) if weight is None else weight
-    own = F.floor(micros / F.lit(width))
-    spread = (
-        df.withColumn("_us", micros)
-        .withColumn("_w", weight.cast("long"))
-        .withColumn("_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")),
-                                            F.struct((own + 1).alias("b"), F.lit(False).alias("own")))))
-        .withColumns({"_bucket": F.col("_b.b"), "_own": F.col("_b.own")})
-    )
-    frame = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-width, 0)
-    return (
-        spread.withColumn(name, F.sum("_w").over(frame))
-        .where("_own")
-        .select(*df.columns, name)
+    at = F.unix_micros(F.col(ts))
+    mark = F.explode(
+        F.array(
+            F.struct((at - seconds * 1_000_000).alias("_at"), F.lit(0).alias("_kind")),
+            F.struct(at.alias("_at"), F.lit(1).alias("_kind")),
+            F.struct(at.alias("_at"), F.lit(2).alias("_kind")),
+        )
     )
+    points = df.select(*keys, F.col(uid).alias("_uid"), mark.alias("_m")).select(*keys, "_uid", "_m.*")
+    counted = running(points, keys, ["_at", "_kind", "_uid"], {"_seen": F.when(F.col("_kind") == 1, 1).otherwise(0).cast("long")})
+    sign = F.when(F.col("_kind") == 2, F.col("_seen")).when(F.col("_kind") == 0, -F.col("_seen"))
+    found = counted.groupBy("_uid").agg(F.sum(sign).alias(name))
+    return df.join(found, F.col(uid) == F.col("_uid")).drop("_uid")
 
 
 def values_at_ranks(df: DataFrame, value: str, fractions: list[float], bins: int = 4096) -> list:
     """Values at the 0-based positions ``floor(n * q)`` of the sorted column.
 
-    Exact and distributed: counts per equal-width bin find the bin of every
-    rank (at most ``bins`` rows reach the driver), then only the distinct
-    values of those bins are counted and, while a bin holds more than ``bins``
-    distinct values, it is divided again.
+    Exact and distributed: counts per equal-width bin (at most ``bins`` rows
+    reach the driver) find the bin of a rank, which is divided again until it
+    holds a single value. A value that fills a third of the table is one bin.
     """
     v = F.col(value).cast("double")
     base = df.where(v.isNotNull()).select(v.alias("v"))
-    lo, hi, n = base.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    lo, hi, n = base.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         return [None for _ in fractions]
     results = []
@@ -141,13 +182,13 @@ def values_at_ranks(df: DataFrame, value: str, fractions: list[float], bins: int
         rank, a, b = min(int(n * q), n - 1), lo, hi
         while True:
             part = base.where((F.col("v") >= a) & (F.col("v") <= b))
-            # one range: bins of equal width, lower edge by the smallest value
+            # the last bin takes the upper edge
             bin_no = F.least(
                 F.floor((F.col("v") - a) / ((b - a) / bins)) if b > a else F.lit(0), F.lit(bins - 1)
             )
             cells = sorted(
                 part.groupBy(bin_no.alias("bin"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+                .agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
                 .collect()
             )
             for cell in cells:

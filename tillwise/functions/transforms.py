@@ -349,7 +349,7 @@ def transform(df: DataFrame, source: str, rules: list[Rule] | None = None) -> Da
 
 def batch_report(df: DataFrame, failed: Column) -> DataFrame:
     return df.agg(
-        F.count(F.lit(1)).alias("total_records"),
+        F.count("*").alias("total_records"),
         F.count_if(~failed).alias("successful"),
         F.count_if(failed).alias("failed"),
     )

@@ -110,7 +110,7 @@ def accessible(own: Column, allowed: Column, role: Column) -> Column:
 def rows_by_branch_list(df: DataFrame, users: DataFrame, branch: str = "branch_id") -> DataFrame:
     """Number of visible rows per user from row counts per branch, so that the
     fact table is read once and never paired with users."""
-    counts = df.groupBy(F.col(branch).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(F.col(branch).cast("string").alias("b")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("n")).scalar()
     listed = users.withColumn("b", F.explode(accessible(F.col("own"), F.col("allowed"), F.col("role"))))
     return (

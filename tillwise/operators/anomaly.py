@@ -28,7 +28,7 @@ def _history(runs: DataFrame, value: str, minimum: int, last: int | None = LAST)
     out = runs.withColumns(
         {
             "_v": v,
-            "_n": F.count(F.lit(1)).over(rule),
+            "_n": F.count("*").over(rule),
             "_mean": F.avg(v).over(rule),
             "_std": F.stddev_pop(v).over(rule),
             "_back": F.row_number().over(back),
@@ -100,7 +100,7 @@ def change_point(runs: DataFrame, sensitivity: float = 0.05, last: int = LAST) -
     order = rule.orderBy("finished_at", "run_id")
     h = runs.select("rule_id", "run_id", "finished_at", dbl("violations_count").alias("v")).withColumns(
         {
-            "n": F.count(F.lit(1)).over(rule),
+            "n": F.count("*").over(rule),
             "pos": F.row_number().over(order) - 1,
             "run": F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)),
         }
@@ -135,7 +135,7 @@ def seasonal(runs: DataFrame, phase: Column, method: str, threshold: float = 3.0
     """z-score against the runs of the same phase (hour of day, day of week)."""
     p = runs.withColumns({"phase": phase, "_v": dbl("violations_count")})
     stats = p.groupBy("rule_id", "phase").agg(F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"))
-    sizes = p.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = p.groupBy("rule_id").agg(F.count("*").alias("_n"))
     last = p.withColumn(
         "_back", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("finished_at"), F.desc("run_id")))
     ).where(F.col("_back") <= LAST)

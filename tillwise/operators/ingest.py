@@ -38,10 +38,10 @@ def deduplicate(incoming: DataFrame, order: list[str], stored: DataFrame | None
     return first if stored is None else first.join(stored.select(key), key, "left_anti")
 
 
-def batches(df: DataFrame, order: list[str], chunk: Column, size: int = 1000, job: str = "job", run: str = "run") -> DataFrame:
-    """Consecutive batches of ``size`` rows. Rows are numbered inside time
+def batches(df: DataFrame, order: list[str], size: int = 1000, job: str = "job", run: str = "run") -> DataFrame:
+    """Consecutive batches of ``size`` rows. Rows are numbered inside
     chunks and chunk totals accumulated, so no task sees the whole input."""
-    numbered = prefix.running(df, [], [F.col(o) for o in order], chunk, row_number="_rn")
+    numbered = prefix.running(df, [], order, row_number="_rn")
     k = F.floor((F.col("_rn") - 1) / size)
     return numbered.withColumns(
         {"batch_no": k, "batch_id": F.concat_ws("_", F.lit(job), F.lit(run), k.cast("string"))}
@@ -73,7 +73,7 @@ def error_rate_alerts(results: DataFrame, keys: list[str], threshold: float = 10
     rate = percent(F.col("errors"), F.col("total"), 0)
     return (
         results.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == "error").alias("errors"))
+        .agg(F.count("*").alias("total"), F.count_if(F.col("state") == "error").alias("errors"))
         .withColumn("error_rate", rate)
         .where(F.col("error_rate") > threshold)
         .withColumn("severity", F.lit("high"))
@@ -84,7 +84,7 @@ def run_metrics(rows: DataFrame, run: Column) -> DataFrame:
     """Processed, failed, duration and success rate per run."""
     n, bad = F.col("rows_processed"), F.col("rows_failed")
     return rows.groupBy(run.alias("run")).agg(
-        F.count(F.lit(1)).alias("rows_processed"),
+        F.count("*").alias("rows_processed"),
         F.count_if(F.col("state") == "error").alias("rows_failed"),
         (F.unix_timestamp(F.max("created_at")) - F.unix_timestamp(F.min("created_at"))).alias("duration_seconds"),
     ).withColumn("success_rate", percent(n - bad, n, 0))
@@ -94,7 +94,7 @@ def lineage(stages: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
     """One row per stage ``(event, source table, target table, rows)``."""
     out = None
     for event, src, dst, df in stages:
-        row = df.agg(F.count(F.lit(1)).alias("affected_rows")).select(
+        row = df.agg(F.count("*").alias("affected_rows")).select(
             F.lit(event).alias("event_type"), F.lit(src).alias("source_table"), F.lit(dst).alias("target_table"), "affected_rows"
         )
         out = row if out is None else out.unionByName(row)

@@ -50,7 +50,7 @@ def new_only(incoming, existing, keys: list[str]) -> DataFrame:
 
 def orphans(child, child_key: str, parent, parent_key: str) -> DataFrame:
     """Distinct non-null child keys without a parent, with their row counts."""
-    keys = child.where(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count(F.lit(1)).alias("rows"))
+    keys = child.where(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count("*").alias("rows"))
     return keys.join(parent, F.col(child_key) == F.col(parent_key), "left_anti")
 
 
@@ -76,13 +76,14 @@ def subject_rows(maps, subjects, ids: str = "subject_ids") -> DataFrame:
     return one.join(subjects, "subject_id")
 
 
-def merge_intervals(df, keys: list[str], start: str, end: str, chunk: str = "day") -> DataFrame:
+def merge_intervals(df, keys: list[str], start: str, end: str) -> DataFrame:
     """Union of overlapping ``[start, end)`` intervals per key, so that a point
     can lie in one interval at most."""
-    step = F.date_trunc(chunk, start)
-    seen = prefix.max_before(df.select(*keys, start, end), keys, [start, end], step, end, "_seen")
+    slim = df.select(*keys, start, end).distinct()
+    chunk = prefix.even_chunks(slim, [start, end])
+    seen = prefix.max_before(slim, keys, [start, end], end, "_seen", chunk)
     opens = F.when(F.col("_seen").isNull() | (F.col(start) > F.col("_seen")), 1).otherwise(0).cast("long")
-    grouped = prefix.running(seen, keys, [F.col(start), F.col(end)], step, {"_g": opens})
+    grouped = prefix.running(seen, keys, [start, end], {"_g": opens}, chunk=chunk)
     return grouped.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
@@ -105,7 +106,6 @@ def as_of_versions(usage, versions, key: str, ts: str, created: str, version: st
     """Version in force at the time of use: each version is valid until the
     next one of its key, which makes it an interval join."""
     spans = prefix.previous(
-        versions.select(key, version, created), [key], [created, version], F.date_trunc("day", created),
-        {"_next": created}, following=True,
+        versions.select(key, version, created), [key], [created, version], {"_next": created}, following=True,
     ).withColumn("_until", F.coalesce("_next", horizon)).drop("_next")
     return points_in_intervals(usage, spans, [key], ts, created, "_until").drop("_until")

@@ -10,7 +10,6 @@ from tillwise.functions.columns import any_of
 from tillwise.functions.crypto import canonical_json, hmac_sha256
 from tillwise.operators.windows import top_per_key
 
-ONE = F.lit(1)
 
 
 def failed_logins(log: DataFrame) -> DataFrame:
@@ -23,7 +22,7 @@ def failed_login_burst(log: DataFrame, minutes: int = 5, least: int = 5) -> Data
     return (
         failed_logins(log)
         .groupBy("user_id", w.alias("w"))
-        .agg(F.count(ONE).alias("count"))
+        .agg(F.count("*").alias("count"))
         .where(F.col("count") >= least)
         .select("user_id", "count", F.col("w.start").alias("first_seen"), F.col("w.end").alias("last_seen"))
     )
@@ -36,7 +35,7 @@ def burst_entries(log: DataFrame, bursts: DataFrame, minutes: int = 5) -> DataFr
 
 
 def _spans(entries: DataFrame, key: str) -> DataFrame:
-    return entries.groupBy(key).agg(F.count(ONE).alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return entries.groupBy(key).agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
 def is_export() -> Column:
@@ -66,10 +65,10 @@ def ip_many_users(log: DataFrame, more_than: int = 5) -> DataFrame:
     """Addresses used by many users. Entries are combined per address and user
     first, so a busy address is a short group."""
     per_user = log.where((F.col("ip") != "") & (F.col("user_id") != "")).groupBy("ip", "user_id").agg(
-        F.count(ONE).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
+        F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
     )
     return per_user.groupBy("ip").agg(
-        F.count(ONE).alias("users"), F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen")
+        F.count("*").alias("users"), F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen")
     ).where(F.col("users") > more_than)
 
 
@@ -104,7 +103,7 @@ def stats(log: DataFrame) -> DataFrame:
     status = F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx"))
     flat = log.select("level", status.alias("status_class"))
     sets = flat.groupingSets([[F.col("level")], [F.col("status_class")]], F.col("level"), F.col("status_class")).agg(
-        F.count(ONE).alias("n"), F.grouping_id(F.col("level"), F.col("status_class")).alias("gid")
+        F.count("*").alias("n"), F.grouping_id(F.col("level"), F.col("status_class")).alias("gid")
     )
     return sets.select(F.when(F.col("gid") == 1, "level").otherwise("status").alias("section"), F.coalesce("level", "status_class").alias("item"), "n")
 
@@ -125,16 +124,16 @@ def alerts(events: DataFrame) -> DataFrame:
 LIMITS = {"anonymous": (100, 3600), "authenticated": (1000, 3600), "login": (10, 600), "api": (500, 3600), "download": (50, 3600)}
 
 
-def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int, chunk: str = "hour") -> DataFrame:
+def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
     """Activity sessions per key, closed after ``gap_seconds`` of silence; gaps
-    and session numbers are computed in time chunks, so a busy key is split."""
+    and session numbers are computed in chunks, so a busy key is split."""
     slim = events.select(key, ts, tie)
-    step = F.date_trunc(chunk, ts)
-    seen = prefix.previous(slim, [key], [ts, tie], step, {"_before": ts})
+    chunk = prefix.even_chunks(slim, [ts, tie])
+    seen = prefix.previous(slim, [key], [ts, tie], {"_before": ts}, chunk=chunk)
     apart = F.unix_micros(ts) - F.unix_micros("_before")
     opens = F.when(F.col("_before").isNull() | (apart >= gap_seconds * 1_000_000), 1).otherwise(0).cast("long")
-    numbered = prefix.running(seen, [key], [F.col(ts), F.col(tie)], step, {"session": opens})
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(ONE).alias("requests"))
+    numbered = prefix.running(seen, [key], [ts, tie], {"session": opens}, chunk=chunk)
+    return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("requests"))
 
 
 def over_limit(found: DataFrame, limit: int) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import col, dbl, percent, ratio, text
 
-ONE = F.lit(1)
 
 
 def _in_range(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
@@ -32,8 +31,8 @@ def daily_sales(sales, sources=("pos", "api_sales"), start=None, end=None) -> Da
     picked = _in_range(sales.where(F.col("source").isin(*sources)), "ts", start, end)
     return picked.groupBy(text("sale_date").alias("sale_date"), "branch_id").agg(
         dbl(F.sum("amount")).alias("total_sales"),
-        F.count(ONE).alias("transaction_count"),
-        ratio(F.sum("amount"), F.count(ONE)).alias("avg_sale"),
+        F.count("*").alias("transaction_count"),
+        ratio(F.sum("amount"), F.count("*")).alias("avg_sale"),
     )
 
 
@@ -42,7 +41,7 @@ def monthly_sales(sales, sources=("pos", "api_sales"), approximate=False, start=
     distinct = F.approx_count_distinct("customer_id", 0.02) if approximate else F.count_distinct("customer_id")
     return picked.groupBy(text(F.trunc("sale_date", "month")).alias("month"), "branch_id").agg(
         dbl(F.sum("amount")).alias("total_sales"),
-        F.count(ONE).alias("transaction_count"),
+        F.count("*").alias("transaction_count"),
         distinct.alias("unique_customers"),
     )
 
@@ -82,7 +81,7 @@ def staff_performance(sales, hours, default_hours=8) -> DataFrame:
         F.sum("hours_worked").alias("hours")
     )
     sold = sales.where(F.col("staff_id").isNotNull()).groupBy("sale_date", "staff_id", "branch_id").agg(
-        F.sum("amount").alias("total"), F.count(ONE).alias("transaction_count")
+        F.sum("amount").alias("total"), F.count("*").alias("transaction_count")
     )
     joined = sold.join(
         per_day, (sold.sale_date == per_day.work_date) & (sold.staff_id == per_day.staff_id), "left"
@@ -122,14 +121,14 @@ def rule_set(df, rules: list[dict]) -> DataFrame:
     names = sorted({k for r in rules for k in r["keys"]})
     sets = [[F.col(k) for k in r["keys"]] for r in rules]
     grouped = df.groupingSets(sets, *[F.col(n) for n in names]).agg(
-        F.count(ONE).alias("n"), F.grouping_id(*[F.col(n) for n in names]).alias("gid")
+        F.count("*").alias("n"), F.grouping_id(*[F.col(n) for n in names]).alias("gid")
     )
     label = None
     for r in rules:
         gid = sum(0 if n in r["keys"] else 1 << (len(names) - 1 - i) for i, n in enumerate(names))
         label = F.when(F.col("gid") == gid, r["name"]) if label is None else label.when(F.col("gid") == gid, r["name"])
     return grouped.groupBy(label.alias("rule_name")).agg(
-        F.count(ONE).alias("records_created"), F.sum("n").alias("records_processed")
+        F.count("*").alias("records_created"), F.sum("n").alias("records_processed")
     )
 
 
@@ -144,7 +143,7 @@ def customer_behavior(sales, lines) -> DataFrame:
         sales.join(per_sale, "sale_id", "left")
         .groupBy("sale_date", "customer_id", "branch_id")
         .agg(
-            F.count(ONE).alias("transactions"),
+            F.count("*").alias("transactions"),
             F.sum("amount").alias("spend"),
             F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
         )
@@ -167,7 +166,7 @@ def monthly_retention(sales) -> DataFrame:
     share of returning customers."""
     months = sales.groupBy(
         "branch_id", "customer_id", F.trunc("sale_date", "month").alias("month")
-    ).agg(F.count(ONE).alias("n"))
+    ).agg(F.count("*").alias("n"))
     first = F.min("month").over(Window.partitionBy("branch_id", "customer_id"))
     return (
         months.withColumn("is_new", F.col("month") == first)
@@ -175,7 +174,7 @@ def monthly_retention(sales) -> DataFrame:
         .agg(
             F.count_if("is_new").alias("new_customers"),
             F.count_if(~F.col("is_new")).alias("returning_customers"),
-            percent(F.count_if(~F.col("is_new")), F.count(ONE)).alias("retention_rate"),
+            percent(F.count_if(~F.col("is_new")), F.count("*")).alias("retention_rate"),
         )
     )
 
@@ -191,10 +190,10 @@ def daily_sales_full(sales, lines) -> DataFrame:
         .groupBy("sale_date", "branch_id")
         .agg(
             dbl(F.sum("amount")).alias("total_sales"),
-            F.count(ONE).alias("total_transactions"),
+            F.count("*").alias("total_transactions"),
             F.coalesce(F.sum("items"), F.lit(0)).alias("total_items"),
             F.count_distinct("customer_id").alias("unique_customers"),
-            ratio(F.sum("items"), F.count(ONE)).alias("items_per_transaction"),
+            ratio(F.sum("items"), F.count("*")).alias("items_per_transaction"),
             F.coalesce(dbl(F.sum("discount")), F.lit(0.0)).alias("total_discount"),
             F.coalesce(dbl(F.sum("tax")), F.lit(0.0)).alias("total_tax"),
         )
@@ -310,17 +309,17 @@ def top_products(lines, products, n=10) -> DataFrame:
 def branch_performance(branches, sales, shifts, stock, start, end) -> DataFrame:
     """Three summaries by branch, each aggregated before the joins."""
     s = _in_range(sales.where("is_active"), "sale_date", start, end).groupBy("branch_id").agg(
-        F.count(ONE).alias("sales_count"),
+        F.count("*").alias("sales_count"),
         dbl(F.sum("amount")).alias("revenue"),
-        ratio(F.sum("amount"), F.count(ONE)).alias("avg_sale"),
+        ratio(F.sum("amount"), F.count("*")).alias("avg_sale"),
     )
     p = _in_range(shifts, "shift_date", start, end).groupBy("branch_id").agg(
-        F.count(ONE).alias("shift_count"),
+        F.count("*").alias("shift_count"),
         F.sum("hours_worked").alias("hours"),
         ratio(F.sum(F.col("feedback").cast("decimal(6,1)")), F.count("feedback")).alias("avg_rating"),
     )
     i = stock.where("is_active").groupBy("branch_id").agg(
-        F.count(ONE).alias("item_count"),
+        F.count("*").alias("item_count"),
         F.count_if(F.col("stock_quantity") <= F.col("reorder_level")).alias("low_stock_count"),
         dbl(F.sum(F.col("stock_quantity") * F.col("unit_cost"))).alias("stock_value"),
     )
@@ -333,9 +332,9 @@ def daily_summary(sales, day: Column) -> DataFrame:
         return F.count_if(F.lower("payment_method") == method)
 
     return sales.where("is_active").where(F.col("sale_date") == day).agg(
-        F.count(ONE).alias("total_sales"),
+        F.count("*").alias("total_sales"),
         dbl(F.sum("amount")).alias("total_revenue"),
-        ratio(F.sum("amount"), F.count(ONE)).alias("avg_order_value"),
+        ratio(F.sum("amount"), F.count("*")).alias("avg_order_value"),
         n("cash").alias("cash_sales"),
         n("card").alias("card_sales"),
         n("mobile").alias("mobile_sales"),
@@ -344,7 +343,7 @@ def daily_summary(sales, day: Column) -> DataFrame:
 
 def sales_by_hour(sales) -> DataFrame:
     return sales.where("is_active").groupBy(F.hour("ts").alias("hour")).agg(
-        F.count(ONE).alias("sales_count"), dbl(F.sum("amount")).alias("revenue")
+        F.count("*").alias("sales_count"), dbl(F.sum("amount")).alias("revenue")
     ).orderBy("hour")
 
 
@@ -352,17 +351,17 @@ def revenue_trends(sales, as_of: Column, days=30) -> DataFrame:
     recent = sales.where("is_active").where(F.col("sale_date") >= F.date_sub(as_of, days))
     return recent.groupBy("sale_date").agg(
         dbl(F.sum("amount")).alias("revenue"),
-        F.count(ONE).alias("sales_count"),
-        ratio(F.sum("amount"), F.count(ONE)).alias("avg_order_value"),
+        F.count("*").alias("sales_count"),
+        ratio(F.sum("amount"), F.count("*")).alias("avg_order_value"),
     ).orderBy("sale_date").withColumn("sale_date", text("sale_date"))
 
 
 PERIODS = ("hour", "day", "week", "month", "quarter", "year")
 METRICS = {
     "revenue": lambda: dbl(F.sum("amount")),
-    "sales": lambda: F.count(ONE),
+    "sales": lambda: F.count("*"),
     "customers": lambda: F.count_distinct("customer_id"),
-    "average": lambda: ratio(F.sum("amount"), F.count(ONE)),
+    "average": lambda: ratio(F.sum("amount"), F.count("*")),
 }
 
 
@@ -377,7 +376,7 @@ def sales_pivot(sales, group_by="day", metrics=("revenue", "sales"), dims=()) ->
 def low_stock(stock) -> DataFrame:
     """Items at or below their reorder level, with the number of such items per branch."""
     items = stock.where("is_active").where(F.col("stock_quantity") <= F.col("reorder_level"))
-    counts = items.groupBy("branch_id").agg(F.count(ONE).alias("branch_low_stock"))
+    counts = items.groupBy("branch_id").agg(F.count("*").alias("branch_low_stock"))
     return items.join(counts, "branch_id").select(
         "product_id", "branch_id", "stock_quantity", "reorder_level", "branch_low_stock"
     )
@@ -407,7 +406,7 @@ def tier(spent: str | Column) -> Column:
 def loyalty_tiers(clients) -> DataFrame:
     """Customers per tier, exclusive and cumulative (at or above the threshold)."""
     counts = clients.where("is_active").agg(
-        F.count(ONE).alias("total"),
+        F.count("*").alias("total"),
         *[F.count_if(F.col("total_spent") >= least).alias(name) for name, least in TIERS],
     )
     rows = []
@@ -426,7 +425,7 @@ def staff_rankings(shifts, as_of: Column, days=30) -> DataFrame:
         dbl(F.sum("sales_generated")).alias("total_sales"),
         F.sum("orders_served").alias("total_orders"),
         ratio(F.sum(F.col("feedback").cast("decimal(6,1)")), F.count("feedback")).alias("avg_feedback"),
-        F.count(ONE).alias("shift_count"),
+        F.count("*").alias("shift_count"),
         ratio(F.sum("sales_generated"), F.sum("hours_worked"), 0).alias("sales_per_hour"),
         ratio(F.sum("orders_served"), F.sum("hours_worked"), 0).alias("orders_per_hour"),
     ).orderBy(F.desc("sales_per_hour"), "staff_id")
@@ -457,7 +456,7 @@ def activity_summary(events, as_of: Column, days=30, top=10) -> DataFrame:
     sets = flat.groupingSets(
         [[F.col("action")], [F.col("resource")], [F.col("user")], []],
         F.col("action"), F.col("resource"), F.col("user"),
-    ).agg(F.count(ONE).alias("n"), F.grouping_id(F.col("action"), F.col("resource"), F.col("user")).alias("gid"))
+    ).agg(F.count("*").alias("n"), F.grouping_id(F.col("action"), F.col("resource"), F.col("user")).alias("gid"))
     labelled = sets.select(
         F.when(F.col("gid") == 3, "action").when(F.col("gid") == 5, "resource").when(F.col("gid") == 6, "user").otherwise("total").alias("section"),
         F.coalesce("action", "resource", "user", F.lit("all")).alias("item"),
@@ -473,7 +472,7 @@ def audit_summary(events, as_of: Column, days=30) -> DataFrame:
     sets = recent.groupingSets(
         [[F.col("action")], [F.col("severity")], []], F.col("action"), F.col("severity")
     ).agg(
-        F.count(ONE).alias("total"),
+        F.count("*").alias("total"),
         F.count_if("success").alias("successful"),
         F.count_if(~F.col("success")).alias("failed"),
         F.grouping_id(F.col("action"), F.col("severity")).alias("gid"),
@@ -494,7 +493,7 @@ def dq_rule_summary(rules, runs, as_of: Column) -> DataFrame:
         [[F.col("severity")], [F.col("check_type")], [F.col("enabled")], []],
         F.col("severity"), F.col("check_type"), F.col("enabled"),
     ).agg(
-        F.count(ONE).alias("n"),
+        F.count("*").alias("n"),
         F.grouping_id(F.col("severity"), F.col("check_type"), F.col("enabled")).alias("gid"),
     )
     gid = F.col("gid")
@@ -503,17 +502,17 @@ def dq_rule_summary(rules, runs, as_of: Column) -> DataFrame:
         F.coalesce("severity", "check_type", text("enabled"), F.lit("all")).alias("item"),
         "n",
     )
-    recent = runs.where(F.col("finished_at") >= as_of - F.expr("INTERVAL 24 HOURS")).agg(F.count(ONE).alias("n"))
+    recent = runs.where(F.col("finished_at") >= as_of - F.expr("INTERVAL 24 HOURS")).agg(F.count("*").alias("n"))
     return by_rule.unionByName(recent.select(F.lit("runs_24h").alias("section"), F.lit("all").alias("item"), "n"))
 
 
 def dq_run_summary(runs, as_of: Column, days=7) -> DataFrame:
     recent = runs.where(F.col("finished_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
     return recent.agg(
-        F.count(ONE).alias("total_runs"),
+        F.count("*").alias("total_runs"),
         F.count_if(F.col("status") == "SUCCESS").alias("successful_runs"),
         F.count_if(F.col("status") == "FAILED").alias("failed_runs"),
-        percent(F.count_if(F.col("status") == "SUCCESS"), F.count(ONE), 0).alias("success_rate"),
+        percent(F.count_if(F.col("status") == "SUCCESS"), F.count("*"), 0).alias("success_rate"),
         F.sum("violations_count").alias("total_violations"),
         ratio(F.sum(F.col("duration_seconds").cast("decimal(18,2)")), F.count("duration_seconds")).alias("avg_duration"),
     )
@@ -540,7 +539,7 @@ def dq_weekly_review(runs, as_of: Column) -> DataFrame:
     recent = runs.where(F.col("finished_at") >= as_of - F.expr("INTERVAL 7 DAYS"))
     return (
         recent.groupBy("rule_id")
-        .agg(F.count_if(F.col("status") == "FAILED").alias("failed_runs"), F.count(ONE).alias("total_runs"))
+        .agg(F.count_if(F.col("status") == "FAILED").alias("failed_runs"), F.count("*").alias("total_runs"))
         .where("failed_runs > 0")
         .orderBy(F.desc("failed_runs"), "rule_id")
     )
@@ -561,7 +560,7 @@ def dq_health(runs, as_of: Column) -> DataFrame:
     recent = runs.where(F.col("finished_at") >= as_of - F.expr("INTERVAL 24 HOURS"))
     rate = percent(F.col("failed_runs"), F.col("total_runs"), 0)
     return recent.agg(
-        F.count(ONE).alias("total_runs"), F.count_if(F.col("status") == "FAILED").alias("failed_runs")
+        F.count("*").alias("total_runs"), F.count_if(F.col("status") == "FAILED").alias("failed_runs")
     ).select(
         "total_runs",
         "failed_runs",
@@ -573,7 +572,7 @@ def dq_health(runs, as_of: Column) -> DataFrame:
 def customer_rollup(clients, sales) -> DataFrame:
     sums = sales.where("is_active").groupBy("customer_id").agg(
         F.sum("amount").alias("spent"),
-        F.count(ONE).alias("visits"),
+        F.count("*").alias("visits"),
         F.max("sale_date").alias("last"),
         F.sum(F.floor("amount").cast("long")).alias("points"),
     )
@@ -598,7 +597,7 @@ def monthly_staff(shifts, year: int, month: int) -> DataFrame:
     first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
     picked = shifts.where((F.col("shift_date") >= first) & (F.col("shift_date") < F.add_months(first, 1)))
     return picked.groupBy("staff_id").agg(
-        ratio(F.sum("sales_generated"), F.count(ONE)).alias("avg_sales"),
+        ratio(F.sum("sales_generated"), F.count("*")).alias("avg_sales"),
         F.sum("hours_worked").alias("total_hours"),
         ratio(F.sum(F.col("feedback").cast("decimal(6,1)")), F.count("feedback")).alias("avg_feedback"),
     )

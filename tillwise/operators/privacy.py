@@ -46,7 +46,7 @@ def key_usable(active: Column, expires: Column, now: Column) -> Column:
 
 def key_usage(rows: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """Validity of every key version with its usage count and last use."""
-    used = rows.groupBy("key_id", "version").agg(F.count(F.lit(1)).alias("usage_count"), F.max("ts").alias("last_used"))
+    used = rows.groupBy("key_id", "version").agg(F.count("*").alias("usage_count"), F.max("ts").alias("last_used"))
     return keys.join(used, ["key_id", "version"], "left").select(
         "key_id", "version", key_usable(F.col("active"), F.col("expires"), now).alias("is_valid"),
         F.coalesce("usage_count", F.lit(0)).alias("usage_count"), "last_used",
@@ -191,4 +191,4 @@ def anonymize(df: DataFrame, fields) -> DataFrame:
 
 
 def subject_report(found: DataFrame) -> DataFrame:
-    return found.groupBy("identifier", "table").agg(F.count(F.lit(1)).alias("rows"))
+    return found.groupBy("identifier", "table").agg(F.count("*").alias("rows"))

@@ -39,7 +39,7 @@ def compile_rule(rule: dict, i: int, as_of: Column | None = None) -> Compiled:
     p = rule.get("params", {})
     n, x = f"_{i}_n", f"_{i}_x"
     rows = F.col(n)
-    count = {n: F.count(F.lit(1))}
+    count = {n: F.count("*")}
     if kind == "row_count":
         if "min_rows" in p or "max_rows" in p:
             ok = (F.col(n) >= p.get("min_rows", 0)) & (F.col(n) <= p.get("max_rows", 2**62))
@@ -147,7 +147,7 @@ def payload_drift(df: DataFrame, json_column: str, baseline: dict[str, str]) ->
     kind = lambda v: (
         F.when(v.rlike(r"^-?\d+$"), "bigint").when(v.try_cast("double").isNotNull(), "double").when(v.isin("true", "false"), "boolean").otherwise("string")
     )
-    fields = df.select(F.explode(parsed).alias("field", "v")).groupBy("field", kind(F.col("v")).alias("type")).agg(F.count(F.lit(1)).alias("rows"))
+    fields = df.select(F.explode(parsed).alias("field", "v")).groupBy("field", kind(F.col("v")).alias("type")).agg(F.count("*").alias("rows"))
     spark: SparkSession = df.sparkSession
     known = spark.createDataFrame(list(baseline.items()), T.StructType([T.StructField("field", T.StringType()), T.StructField("expected", T.StringType())]))
     j = fields.join(F.broadcast(known), "field", "full_outer")
@@ -156,7 +156,7 @@ def payload_drift(df: DataFrame, json_column: str, baseline: dict[str, str]) ->
 
 
 def volume(df: DataFrame, ts: str, bucket: str) -> DataFrame:
-    return df.groupBy(F.date_trunc(bucket, ts).alias("bucket")).agg(F.count(F.lit(1)).alias("volume"))
+    return df.groupBy(F.date_trunc(bucket, ts).alias("bucket")).agg(F.count("*").alias("volume"))
 
 
 def volume_anomaly(counts: DataFrame, threshold: float = 0.3) -> DataFrame:

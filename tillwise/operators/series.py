@@ -33,7 +33,7 @@ AGGREGATES = {
 
 def bucket_agg(df: DataFrame, ts: str, value: str, order: Column, interval: str, how=("sum", "count"), keys=()) -> DataFrame:
     return df.groupBy(*keys, bucket_of(ts, interval).alias("bucket")).agg(
-        *[AGGREGATES[h](F.col(value), order).alias(h) for h in how], F.count(F.lit(1)).alias("n")
+        *[AGGREGATES[h](F.col(value), order).alias(h) for h in how], F.count("*").alias("n")
     )
 
 
@@ -79,7 +79,7 @@ def _hull(i: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(np.array(chain(order) + chain(order[::-1])))
 
 
-def lttb(points: DataFrame, series: str, x: str, y: str, n: int, chunk: Column, tie: str) -> DataFrame:
+def lttb(points: DataFrame, series: str, x: str, y: str, n: int, tie: str) -> DataFrame:
     """Exact downsampling of every series to n points, first and last kept.
 
     The chosen point of a bucket maximises a triangle area, which is linear in
@@ -87,9 +87,9 @@ def lttb(points: DataFrame, series: str, x: str, y: str, n: int, chunk: Column,
     per Arrow batch and then per bucket, in parallel; only the corners, a few
     per bucket, and the bucket means meet in the last step per series.
     """
-    base = points.select(F.col(series).alias("s"), dbl(x).alias("x"), dbl(y).alias("y"), F.col(tie).alias("t"), chunk.alias("c"))
-    ranked = prefix.running(base, ["s"], [F.col("x"), F.col("t")], F.col("c"), row_number="rn").withColumn("i", F.col("rn") - 1)
-    sizes = ranked.groupBy("s").agg(F.count(F.lit(1)).alias("total"))
+    base = points.select(F.col(series).alias("s"), dbl(x).alias("x"), dbl(y).alias("y"), F.col(tie).alias("t"))
+    ranked = prefix.running(base, ["s"], ["x", "t"], row_number="rn").withColumn("i", F.col("rn") - 1)
+    sizes = ranked.groupBy("s").agg(F.count("*").alias("total"))
     sized = ranked.join(sizes, "s")
     every = (F.col("total") - 2) / float(n - 2)
     inner = F.least(F.floor((F.col("i") - 1) / every), F.lit(n - 3)).cast("int")
@@ -131,12 +131,12 @@ def lttb(points: DataFrame, series: str, x: str, y: str, n: int, chunk: Column,
 
 def cohort_retention(visits: DataFrame, user: str, day: str) -> DataFrame:
     """Share of a cohort (first month) active in every later month."""
-    months = visits.groupBy(user, F.trunc(day, "month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    months = visits.groupBy(user, F.trunc(day, "month").alias("m")).agg(F.count("*").alias("n"))
     first = months.groupBy(user).agg(F.min("m").alias("cohort"))
     joined = months.join(first, user).withColumn(
         "period", ((F.year("m") - F.year("cohort")) * 12 + F.month("m") - F.month("cohort")).cast("int")
     )
-    cells = joined.groupBy("cohort", "period").agg(F.count(F.lit(1)).alias("active"))
+    cells = joined.groupBy("cohort", "period").agg(F.count("*").alias("active"))
     size = F.max(F.when(F.col("period") == 0, F.col("active"))).over(Window.partitionBy("cohort"))
     return cells.withColumn("cohort_size", size).withColumn("retention", ratio("active", "cohort_size"))
 
@@ -173,7 +173,7 @@ def topk(metrics, k: int, value: str, tie: str) -> DataFrame:
 
 
 def success_ratio(runs, labels, below: float = 0.95) -> DataFrame:
-    r = ratio(F.count_if(F.col("status") == "SUCCESS"), F.count(F.lit(1)))
+    r = ratio(F.count_if(F.col("status") == "SUCCESS"), F.count("*"))
     return runs.groupBy(*labels).agg(r.alias("ratio")).withColumn("firing", F.col("ratio") < below)
 
 
@@ -192,7 +192,7 @@ def firing_for(series: DataFrame, keys: list[str], ts: str, condition: Column, s
     marked = series.withColumn("_on", F.coalesce(condition, F.lit(False)))
     starts = marked.withColumn("_g", F.sum(F.when(~F.col("_on"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = starts.where("_on").groupBy(*keys, "_g").agg(
-        F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("samples")
+        F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("samples")
     )
     held = F.unix_timestamp("ended") - F.unix_timestamp("started")
     return spans.where(held >= seconds).drop("_g")

@@ -22,20 +22,20 @@ def bulk_set(table: DataFrame, changes: DataFrame, key: str, column: str) -> Dat
     )
 
 
-def deplete(balances: DataFrame, demand: DataFrame, key: str, balance: str, amount: str, order: list[str], chunk: Column) -> DataFrame:
+def deplete(balances: DataFrame, demand: DataFrame, key: str, balance: str, amount: str, order: list[str]) -> DataFrame:
     """Subtract amounts in order, each only if the balance covers it.
 
     The balance never grows, so once an amount is refused every later equal
     amount is refused too: of each amount only the first ``balance / amount``
-    rows of a key can succeed. Ranks inside (key, amount) are split by time
+    rows of a key can succeed. Ranks inside (key, amount) are split by
     chunk; only those candidates, bounded by the balance and not by the number
     of rows, are folded in order.
     """
     live = demand.join(balances.select(key, balance), key).where(F.col(amount) > 0)
-    ranked = prefix.running(live.where(F.col(amount) <= F.col(balance)), [key, amount], [F.col(o) for o in order], chunk, row_number="_rank")
+    ranked = prefix.running(live.where(F.col(amount) <= F.col(balance)), [key, amount], order, row_number="_rank")
     candidates = ranked.where(F.col("_rank") * F.col(amount) <= F.col(balance))
     queue = candidates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, amount))).alias("_queue"))
-    asked = live.groupBy(key).agg(F.count(F.lit(1)).alias("requests"))
+    asked = live.groupBy(key).agg(F.count("*").alias("requests"))
     kind = dict(balances.dtypes)[balance]
 
     def take(acc: Column, x: Column) -> Column:
@@ -88,7 +88,7 @@ def compact(spark: SparkSession, path: str, partition: str, rows_per_file: int =
     """Rewrite a partitioned table so that a partition holds few files. Rows of
     a partition are spread over as many writers as its size needs."""
     df = checkpointed(spark.read.parquet(path))
-    sizes = df.groupBy(partition).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    sizes = df.groupBy(partition).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
     spread = df.join(sizes, partition).withColumn("_slot", F.floor(F.rand(7) * F.col("_files")))
     spread.repartition(partition, "_slot").drop("_files", "_slot").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
@@ -97,4 +97,4 @@ def compact(spark: SparkSession, path: str, partition: str, rows_per_file: int =
 
 def file_counts(spark: SparkSession, path: str, partition: str) -> DataFrame:
     files = spark.read.parquet(path).select(partition, F.col("_metadata.file_path").alias("f"))
-    return files.groupBy(partition).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("f").alias("files"))
+    return files.groupBy(partition).agg(F.count("*").alias("rows"), F.count_distinct("f").alias("files"))

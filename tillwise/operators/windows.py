@@ -33,8 +33,8 @@ def top_per_key(df, keys: list[str], order: list[Column], k: int, rank: str = "r
 def success_rate_last_n(runs, n: int) -> DataFrame:
     last = top_per_key(runs, ["rule_id"], [F.desc("finished_at"), F.desc("run_id")], n)
     return last.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("runs"),
-        percent(F.count_if(F.col("status") == "SUCCESS"), F.count(F.lit(1))).alias("success_rate"),
+        F.count("*").alias("runs"),
+        percent(F.count_if(F.col("status") == "SUCCESS"), F.count("*")).alias("success_rate"),
     )
 
 
@@ -45,12 +45,12 @@ def global_rank(df, value: str, cells: int = 64) -> DataFrame:
     scale, ``cells`` per doubling); the ranking window runs inside a cell and
     the few cell totals are accumulated on their own.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     parts = counts.withColumn(
         "_cell", F.floor(F.log2(F.abs(dbl(value)) + 1) * cells) * F.signum(dbl(value))
     )
     before = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_cell").agg(F.sum("_n").alias("_c"), F.count(F.lit(1)).alias("_k")).select(
+    offsets = parts.groupBy("_cell").agg(F.sum("_n").alias("_c"), F.count("*").alias("_k")).select(
         "_cell",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
         F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_p"),
@@ -72,7 +72,7 @@ def global_rank(df, value: str, cells: int = 64) -> DataFrame:
 
 def brute_force(events, minutes=15, threshold=5, actions=("LOGIN_FAILED", "MFA_FAILED")) -> DataFrame:
     failed = events.where(F.col("action").isin(*actions) & ~F.col("success") & F.col("ip").isNotNull())
-    counted = prefix.trailing_count(failed, ["ip"], "ts", minutes * 60, "failed_attempts")
+    counted = prefix.trailing_count(failed, ["ip"], "ts", "event_id", minutes * 60, "failed_attempts")
     return counted.where(F.col("failed_attempts") >= threshold)
 
 
@@ -99,16 +99,16 @@ def local_peaks(series, keys: list[str], order: str, value: str, height: Column)
     return marked.where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b")) & (F.col(value) >= height)).drop("_a", "_b")
 
 
-def lockout(events, user: str, ts: str, tie: str, success: Column, chunk: Column, limit=5) -> DataFrame:
+def lockout(events, user: str, ts: str, tie: str, success: Column, limit=5) -> DataFrame:
     """Failures since the last success per user and whether they reach the limit.
 
     Successes before a row give the island; failures are numbered inside it.
-    Both counts are running sums split by time chunk, so a single busy user
-    is spread over many tasks.
+    Both counts are running sums split into chunks, so a single busy user is
+    spread over many tasks.
     """
     marked = events.withColumn("_ok", success)
     runs = prefix.running(
-        marked, [user], [F.col(ts), F.col(tie)], chunk,
+        marked, [user], [ts, tie],
         {"_wins": F.when(F.col("_ok"), 1).otherwise(0).cast("long"),
          "_fails": F.when(~F.col("_ok"), 1).otherwise(0).cast("long")},
     )
@@ -152,7 +152,7 @@ def top_with_other(df, label: str, value: str, n: int) -> DataFrame:
     ``df`` has one row per label."""
     best = df.orderBy(F.desc(value), label).limit(n)
     rest = df.join(best.select(label), label, "left_anti").agg(
-        F.sum(value).alias(value), F.count(F.lit(1)).alias("grouped")
+        F.sum(value).alias(value), F.count("*").alias("grouped")
     )
     other = rest.where(F.col(value) > 0).select(F.lit("Other").alias(label), value, "grouped")
     return best.select(label, value, F.lit(0).cast("long").alias("grouped")).unionByName(other)

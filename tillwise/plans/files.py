@@ -72,7 +72,7 @@ def _(t):
     path = scratch_path(t.spark, "csv")
     line_text(t).repartition(5).write.csv(path)
     numbered = files.number_lines(files.text_lines(t.spark, path))
-    per_file = numbered.groupBy("file").agg(F.max("_csv_row_number").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("_csv_row_number").alias("d"))
+    per_file = numbered.groupBy("file").agg(F.max("_csv_row_number").alias("m"), F.count("*").alias("n"), F.count_distinct("_csv_row_number").alias("d"))
     return per_file.agg(F.sum("n").alias("lines"), F.sum("d").alias("distinct_positions"), F.sum("m").alias("numbered"))
 
 
@@ -111,7 +111,7 @@ def _(t):
 @query("file_guard")
 def _(t):
     out = files.guard(t.spark, line_csv(t)).where(F.col("length") > 0)
-    return out.groupBy("format", "accepted").agg(F.count(F.lit(1)).alias("files"))
+    return out.groupBy("format", "accepted").agg(F.count("*").alias("files"))
 
 
 @query(
@@ -194,7 +194,7 @@ def _(t):
     e.select(F.when(F.col("event_id") % 50 == 0, F.left(line, F.lit(20))).otherwise(line).alias("value")).write.text(path)
     log = files.scan_log(t.spark, path)
     level = F.when(F.col("_corrupt").isNotNull(), "broken").otherwise(F.col("level"))
-    return log.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("with_time"))
+    return log.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.count("ts").alias("with_time"))
 
 
 @query(
@@ -206,7 +206,7 @@ SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, CAST(d.d AS VARCHAR)
   CAST(year(d) AS INTEGER) AS fiscal_year, CAST(quarter(d) AS INTEGER) AS fiscal_quarter, coalesce(n, 0) AS sales_count FROM d LEFT JOIN s USING (d)""",
 )
 def _(t):
-    counts = t.sales.groupBy(F.col("sale_date").alias("date")).agg(F.count(F.lit(1)).alias("sales_count"))
+    counts = t.sales.groupBy(F.col("sale_date").alias("date")).agg(F.count("*").alias("sales_count"))
     axis = calendar.axis_of(t.sales, "sale_date", "day").select(F.to_date("t").alias("date"))
     dims = calendar.dim_date(axis)
     return dims.join(counts, "date", "left").na.fill(0, ["sales_count"]).withColumn("date", text("date"))
@@ -221,7 +221,7 @@ SELECT CAST(h * 100 + m % 60 AS INTEGER) AS time_key, CAST(h AS INTEGER) AS hour
   CASE WHEN h BETWEEN 6 AND 14 THEN 'Morning' WHEN h BETWEEN 14 AND 22 THEN 'Evening' ELSE 'Night' END AS shift, coalesce(n, 0) AS sales_count FROM m LEFT JOIN s USING (m)""",
 )
 def _(t):
-    counts = t.sales.groupBy((F.hour("ts") * 100 + F.minute("ts")).alias("time_key")).agg(F.count(F.lit(1)).alias("sales_count"))
+    counts = t.sales.groupBy((F.hour("ts") * 100 + F.minute("ts")).alias("time_key")).agg(F.count("*").alias("sales_count"))
     return calendar.dim_time(t.spark).join(counts, "time_key", "left").na.fill(0, ["sales_count"])
 
 
@@ -247,7 +247,7 @@ def _(t):
     for _ in range(2):
         sinks.append_fact(t.sales, "sales", path)
     back = t.spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
-    return back.groupBy(text("month").alias("month")).agg(F.count(F.lit(1)).alias("rows"), dbl(F.sum("amount")).alias("amount"))
+    return back.groupBy(text("month").alias("month")).agg(F.count("*").alias("rows"), dbl(F.sum("amount")).alias("amount"))
 
 
 def daily_mart(t):
@@ -286,7 +286,7 @@ def _(t):
     feed = t.orders.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("label"), F.struct("o_orderdate", "o_orderkey").alias("pos"))
     source = sinks.last_per_key(feed, ["customer_id"], "pos")
     merged = sinks.merge(target, source, ["customer_id"], ["label"], F.current_timestamp())
-    return merged.groupBy("_action", "label").agg(F.count(F.lit(1)).alias("n"))
+    return merged.groupBy("_action", "label").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -339,7 +339,7 @@ def _(t):
     # one writer per subject, so that a subject has one file per table
     sinks.write_subject_files(o.unionByName(c).repartition("subject_id"), path)
     back = t.spark.read.schema("record string, subject_id long, table string").json(path)
-    return back.groupBy("subject_id", "table").agg(F.count(F.lit(1)).alias("rows"))
+    return back.groupBy("subject_id", "table").agg(F.count("*").alias("rows"))
 
 
 @query(

@@ -167,7 +167,7 @@ def _(t):
         F.when(F.col("s_suppkey") % 4 == 1, "manager").otherwise("staff").alias("role"),
     )
     hits = filters.by_fields(users, filters.USER, role="manager", branch=True, is_active=True)
-    total = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = hits.agg(F.count("*").alias("n")).scalar()
     return hits.orderBy(F.desc("user_id")).select("user_id", total.alias("total"))
 
 

@@ -42,7 +42,7 @@ WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY created_at, event_id) -
 SELECT event_id, CAST(b AS BIGINT) AS batch_no, 'job_run_' || CAST(b AS VARCHAR) AS batch_id FROM r""",
 )
 def _(t):
-    out = ingest.batches(t.raw_events, ["created_at", "event_id"], F.date_trunc("hour", "created_at"))
+    out = ingest.batches(t.raw_events, ["created_at", "event_id"])
     return out.select("event_id", "batch_no", "batch_id")
 
 
@@ -82,7 +82,7 @@ def _(t):
     families = {"sales": ["pos", "api_sales"], "inventory": ["inventory"], "staff": ["staff"]}
     return ingest.by_source(
         t.raw_events.where("state = 'pending'"), families,
-        [F.count(F.lit(1)).alias("events"), dbl(F.sum("amount")).alias("amount"), F.sum("qty").alias("qty")],
+        [F.count("*").alias("events"), dbl(F.sum("amount")).alias("amount"), F.sum("qty").alias("qty")],
     )
 
 

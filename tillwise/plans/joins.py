@@ -43,7 +43,7 @@ def _(t):
         ],
     )
     both = good.withColumn("quarantined", F.lit(False)).unionByName(bad.withColumn("quarantined", F.lit(True)))
-    return both.groupBy("sale_id", "line_number", "date_key", "product_key", "staff_key", "quarantined").agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("sale_id", "line_number", "date_key", "product_key", "staff_key", "quarantined").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -73,7 +73,7 @@ FROM nation LEFT JOIN c ON c.branch_id = n_nationkey LEFT JOIN i ON i.branch_id
 )
 def _(t):
     recent = t.sales.where(F.col("sale_date") >= F.date_sub(marts.max_of(t.sales, "sale_date"), 30))
-    one = F.count(F.lit(1))
+    one = F.count("*")
     return joins.counts_by_parent(
         t.nation.select(F.col("n_nationkey").alias("branch_id")),
         "branch_id",
@@ -122,7 +122,7 @@ b AS (SELECT lower(category) AS name, branch_id, sum(stock_quantity) AS stock FR
 SELECT item, a.branch_id, sold, CAST(stock AS BIGINT) AS stock FROM a JOIN b ON lower(item) = lower(name) AND a.branch_id = b.branch_id""",
 )
 def _(t):
-    sold = t.sale_items.join(t.stock, "product_id").groupBy(F.upper("category").alias("item"), "branch_id").agg(F.count(F.lit(1)).alias("sold"))
+    sold = t.sale_items.join(t.stock, "product_id").groupBy(F.upper("category").alias("item"), "branch_id").agg(F.count("*").alias("sold"))
     held = t.stock.groupBy(F.lower("category").alias("name"), "branch_id").agg(F.sum("stock_quantity").alias("stock"))
     return joins.case_insensitive(sold, held, "item", "name", ["branch_id"]).drop("name")
 
@@ -134,7 +134,7 @@ policies AS (SELECT DISTINCT lang AS category, CASE lang WHEN 'en' THEN 'DELETE'
 
 
 def data_maps(t):
-    return t.documents.groupBy(F.concat_ws(".", "source", "lang").alias("location"), F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("record_count"))
+    return t.documents.groupBy(F.concat_ws(".", "source", "lang").alias("location"), F.col("lang").alias("category")).agg(F.count("*").alias("record_count"))
 
 
 def policies(t):

@@ -311,8 +311,8 @@ def _(t):
 def _(t):
     return t.sales.agg(
         dbl(F.sum("amount")).alias("total_amount"),
-        F.count(F.lit(1)).alias("sales_count"),
-        (dbl(F.sum("amount")) / F.count(F.lit(1))).alias("average_sale"),
+        F.count("*").alias("sales_count"),
+        (dbl(F.sum("amount")) / F.count("*")).alias("average_sale"),
     )
 
 

@@ -47,7 +47,7 @@ def detector(qid: str, kind: str):
     def _(t):
         rows = t.texts.where(F.col("field") == "customer_note") if kind == "name" else t.texts
         values = rows.select("text_id", F.explode(pii.found(F.col("body"), kind, "customer_note" if kind == "name" else "text")).alias("value"))
-        return values.groupBy("text_id", "value").agg(F.count(F.lit(1)).alias("n"))
+        return values.groupBy("text_id", "value").agg(F.count("*").alias("n"))
 
 
 detector("pii_email", "email")
@@ -395,7 +395,7 @@ def _(t):
     orders, _ = privacy.apply_action(t.orders, "o_custkey", part("DELETE"), "DELETE", [])
     customers, _ = privacy.apply_action(t.customer, "c_custkey", part("ANONYMIZE"), "ANONYMIZE", ["c_name"])
     _, archived = privacy.apply_action(t.events, "user_id", part("ARCHIVE"), "ARCHIVE", [])
-    n = F.count(F.lit(1)).alias("n")
+    n = F.count("*").alias("n")
     out = plan.groupBy(F.concat(F.lit("planned "), "policy_action").alias("item")).agg(n)
     out = out.unionByName(orders.agg(n).select(F.lit("orders kept").alias("item"), "n"))
     out = out.unionByName(customers.where("c_name IS NULL").agg(n).select(F.lit("customers anonymized").alias("item"), "n"))

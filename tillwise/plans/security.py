@@ -98,7 +98,7 @@ n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess
     f"WITH {SESSION_SQL.format(gap='12 HOURS', table='events')} SELECT user_id, CAST(started AS VARCHAR) AS started, CAST(ended AS VARCHAR) AS ended, requests FROM sessions WHERE requests > 10",
 )
 def _(t):
-    found = logs.over_limit(logs.sessions(t.events, "user_id", "ts", "event_id", 43200, "day"), 10)
+    found = logs.over_limit(logs.sessions(t.events, "user_id", "ts", "event_id", 43200), 10)
     return found.select("user_id", text("started").alias("started"), text("ended").alias("ended"), "requests")
 
 

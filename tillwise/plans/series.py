@@ -32,8 +32,8 @@ def _(t):
 
 @query("ts_downsample_lttb")
 def _(t):
-    e = t.events.select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("x"), "value", "ts")
-    return series.lttb(e, "event_type", "x", "value", 200, F.date_trunc("day", "ts"), "event_id")
+    e = t.events.select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("x"), "value")
+    return series.lttb(e, "event_type", "x", "value", 200, "event_id")
 
 
 @query(
@@ -55,7 +55,7 @@ a AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), max(ts), INTERV
 SELECT k.event_type, CAST(a.bucket AS VARCHAR) AS bucket, coalesce(n, 0) AS n FROM k CROSS JOIN a LEFT JOIN b ON b.event_type = k.event_type AND b.bucket = a.bucket""",
 )
 def _(t):
-    counts = t.events.groupBy("event_type", series.bucket_of("ts", "hour").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = t.events.groupBy("event_type", series.bucket_of("ts", "hour").alias("bucket")).agg(F.count("*").alias("n"))
     axis = calendar.axis_of(t.events, "ts", "hour").withColumnRenamed("t", "bucket")
     out = series.fill_gaps(counts, axis, t.events.select("event_type").distinct(), "bucket", {"n": 0})
     return out.withColumn("bucket", text("bucket"))
@@ -97,7 +97,7 @@ def _(t):
 
 @query("prom_topk", "SELECT user_id, count(*) AS value FROM audit_events GROUP BY 1 ORDER BY value DESC, user_id LIMIT 10")
 def _(t):
-    return series.topk(t.audit_events.groupBy("user_id").agg(F.count(F.lit(1)).alias("value")), 10, "value", "user_id")
+    return series.topk(t.audit_events.groupBy("user_id").agg(F.count("*").alias("value")), 10, "value", "user_id")
 
 
 @query("prom_sum_by", "SELECT rule_id, status, CAST(sum(violations_count) AS DOUBLE) AS value FROM dq_runs GROUP BY 1, 2")

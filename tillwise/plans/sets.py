@@ -16,7 +16,7 @@ UNION ALL SELECT 'exports', user_id, count(*) FROM log_entries WHERE action LIKE
 )
 def _(t):
     def counted(kind, cond):
-        return t.log_entries.where(cond).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "user_id", "n")
+        return t.log_entries.where(cond).groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "user_id", "n")
 
     return sets.union_all([counted("errors", F.col("level") == "ERROR"), counted("exports", F.col("action").contains("export"))])
 

@@ -82,7 +82,7 @@ def _(t):
         text(F.to_date("o_orderdate")).alias("sale_date"), "o_orderstatus",
         F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
     )
-    aggregates = {"total_sales": dbl(F.sum("amount")), "transaction_count": F.count(F.lit(1))}
+    aggregates = {"total_sales": dbl(F.sum("amount")), "transaction_count": F.count("*")}
     jobs.daily_sales(s, path, ["year", "sale_date", "o_orderstatus"], aggregates, "year")
     return t.spark.read.parquet(path).select("sale_date", "o_orderstatus", "total_sales", "transaction_count")
 
@@ -100,4 +100,4 @@ def _(t):
     good, bad = scratch_path(t.spark, "valid"), scratch_path(t.spark, "invalid")
     jobs.validate_split(pos_records(streams(t)), "pos", good, bad)
     both = t.spark.read.parquet(good).unionByName(t.spark.read.parquet(bad))
-    return both.groupBy("k", "n", "is_valid").agg(F.count(F.lit(1)).alias("rows"))
+    return both.groupBy("k", "n", "is_valid").agg(F.count("*").alias("rows"))

@@ -40,7 +40,7 @@ SELECT product_id, CAST(v % 1000000 AS BIGINT) AS remaining, CAST(v // 1000000 A
 def _(t):
     out = updates.deplete(
         t.stock.select("product_id", "reorder_level", "stock_quantity"), t.sale_items, "product_id", "stock_quantity", "qty",
-        ["ship_date", "sale_id", "line_number"], F.trunc("ship_date", "month"),
+        ["ship_date", "sale_id", "line_number"],
     )
     return out.select("product_id", "remaining", "accepted", "refused", (F.col("remaining") <= F.col("reorder_level")).alias("is_low"))
 
@@ -54,7 +54,7 @@ SELECT customer_id, CAST(v % 1000000 AS BIGINT) AS points_left, CAST(v // 100000
 )
 def _(t):
     asks = t.events.select(F.col("user_id").alias("customer_id"), "ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("points"))
-    out = updates.deplete(t.clients.select("customer_id", "loyalty_points"), asks, "customer_id", "loyalty_points", "points", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    out = updates.deplete(t.clients.select("customer_id", "loyalty_points"), asks, "customer_id", "loyalty_points", "points", ["ts", "event_id"])
     return out.select("customer_id", F.col("remaining").alias("points_left"), F.col("accepted").alias("redeemed"), "refused")
 
 

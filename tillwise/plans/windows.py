@@ -84,7 +84,7 @@ DAILY = """d AS (SELECT branch_id, sale_date, sum(amount) AS v, count(*) AS n FR
 
 
 def daily(t):
-    return t.sales.groupBy("branch_id", "sale_date").agg(F.sum("amount").alias("v"), F.count(F.lit(1)).alias("n"))
+    return t.sales.groupBy("branch_id", "sale_date").agg(F.sum("amount").alias("v"), F.count("*").alias("n"))
 
 
 @query(
@@ -119,7 +119,7 @@ p AS (SELECT *, lag(n) OVER w AS a, lead(n) OVER w AS b FROM m WINDOW w AS (PART
 SELECT branch_id, CAST(month AS VARCHAR) AS month, n FROM p WHERE n > a AND n > b AND n >= 8""",
 )
 def _(t):
-    months = t.sales.groupBy(F.trunc("sale_date", "month").alias("month"), "branch_id").agg(F.count(F.lit(1)).alias("n"))
+    months = t.sales.groupBy(F.trunc("sale_date", "month").alias("month"), "branch_id").agg(F.count("*").alias("n"))
     out = windows.local_peaks(months, ["branch_id"], "month", "n", F.lit(8))
     return out.select("branch_id", text("month").alias("month"), "n")
 
@@ -145,7 +145,7 @@ SELECT user_id, event_id, CAST(ts AS VARCHAR) AS ts, CAST(f AS BIGINT) AS failur
 )
 def _(t):
     e = t.events.where(F.col("event_type").isin("error", "purchase"))
-    out = windows.lockout(e, "user_id", "ts", "event_id", F.col("event_type") == "purchase", F.date_trunc("day", "ts"))
+    out = windows.lockout(e, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
     return out.withColumn("ts", text("ts"))
 
 
@@ -219,7 +219,7 @@ def _(t):
     "SELECT user_id, count(*) AS n FROM audit_events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
 )
 def _(t):
-    return t.audit_events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+    return t.audit_events.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
 
 
 @query(
@@ -243,7 +243,7 @@ WITH s AS (SELECT brand, count(*) AS v FROM stock GROUP BY 1), r AS (SELECT *, r
 SELECT brand, v, CAST(0 AS BIGINT) AS grouped FROM r WHERE rn <= 6 UNION ALL SELECT 'Other', CAST(sum(v) AS BIGINT), count(*) FROM r WHERE rn > 6 HAVING sum(v) > 0""",
 )
 def _(t):
-    s = t.stock.groupBy("brand").agg(F.count(F.lit(1)).alias("v"))
+    s = t.stock.groupBy("brand").agg(F.count("*").alias("v"))
     return windows.top_with_other(s, "brand", "v", 6)
 
 

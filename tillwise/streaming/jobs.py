@@ -33,7 +33,7 @@ def failed_login_burst(stream: DataFrame, minutes: int = 5, least: int = 5, dela
     return (
         logs.failed_logins(stream.withWatermark("ts", delay))
         .groupBy("user_id", w.alias("w"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count("*").alias("count"))
         .where(F.col("count") >= least)
         .select("user_id", "count", F.col("w.start").alias("first_seen"), F.col("w.end").alias("last_seen"))
     )
@@ -45,7 +45,7 @@ def brute_force(stream: DataFrame, minutes: int = 15, slide: int = 1, least: int
     return (
         failed.withWatermark("ts", delay)
         .groupBy("ip", w.alias("w"))
-        .agg(F.count(F.lit(1)).alias("failed_attempts"))
+        .agg(F.count("*").alias("failed_attempts"))
         .where(F.col("failed_attempts") >= least)
         .select("ip", "failed_attempts", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
     )
@@ -56,7 +56,7 @@ def rate_sessions(stream: DataFrame, key: str, gap: str, limit: int, delay: str
     return (
         stream.withWatermark("ts", delay)
         .groupBy(key, s.alias("w"))
-        .agg(F.count(F.lit(1)).alias("requests"))
+        .agg(F.count("*").alias("requests"))
         .where(F.col("requests") > limit)
         .select(key, "requests", F.col("w.start").alias("started"), F.col("w.end").alias("closed"))
     )
