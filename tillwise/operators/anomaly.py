@@ -113,9 +113,19 @@ def change_point(runs: DataFrame, sensitivity: float = 0.05, last: int = LAST) -
     # the change at position i lies between the means at i and i + 1
     h = h.withColumn("change", F.lead("mean").over(order) - F.col("mean"))
     h = h.withColumns({"height": F.stddev_pop("change").over(rule) * factor, "size": F.abs("change")})
-    peak = (
-        (F.col("size") > F.lag("size").over(order)) & (F.col("size") > F.lead("size").over(order)) & (F.col("size") >= F.col("height"))
+    # a flat top counts once, at its middle
+    h = h.withColumn("top", F.sum(F.when(~F.col("size").eqNullSafe(F.lag("size").over(order)), 1).otherwise(0)).over(order))
+    h = h.withColumns({"left": F.lag("size").over(order), "right": F.lead("size").over(order)})
+    run = Window.partitionBy("rule_id", "top")
+    h = h.withColumns({"first": F.min("pos").over(run), "last": F.max("pos").over(run)})
+    h = h.withColumns(
+        {
+            "left": F.max(F.when(F.col("pos") == F.col("first"), F.col("left"))).over(run),
+            "right": F.max(F.when(F.col("pos") == F.col("last"), F.col("right"))).over(run),
+        }
     )
+    middle = F.col("pos") == F.floor((F.col("first") + F.col("last")) / 2)
+    peak = middle & (F.col("size") > F.col("left")) & (F.col("size") > F.col("right")) & (F.col("size") >= F.col("height"))
     h = h.withColumn("peak", F.when(peak, F.col("pos")))
     # the nearest peak at most 2 positions away
     distances = [F.when(F.lag("peak", k).over(order).isNotNull(), k) for k in (0, 1, 2)] + [

@@ -23,6 +23,9 @@ COMPARISONS = {
 }
 
 
+COLUMN_CHECKS = ("null_rate", "uniqueness", "range_check", "cardinality", "timeliness")
+
+
 @dataclass
 class Compiled:
     """Aggregates of a rule and how its verdict is read from them."""
@@ -46,6 +49,8 @@ def compile_rule(rule: dict, i: int, as_of: Column | None = None) -> Compiled:
         else:
             ok = COMPARISONS[p.get("comparison", "gte")](F.col(n), F.lit(t))
         return Compiled(count, rows, F.when(ok, 0).otherwise(1).cast("long"), dbl(n), ok)
+    if kind not in COLUMN_CHECKS:
+        raise ValueError(f"unknown check type {kind}")
     v = F.col(column)
     if kind == "null_rate":
         aggs = count | {x: F.count_if(v.isNull())}
@@ -71,12 +76,11 @@ def compile_rule(rule: dict, i: int, as_of: Column | None = None) -> Compiled:
         distinct = F.approx_count_distinct(v, 0.02) if p.get("approximate") else F.count_distinct(v)
         ok = COMPARISONS[p.get("comparison", "lte")](F.col(x), F.lit(t))
         return Compiled(count | {x: distinct}, rows, F.when(ok, 0).otherwise(1).cast("long"), dbl(x), ok)
-    if kind == "timeliness":
-        aggs = count | {x: F.max(v)}
-        age = (F.unix_micros(as_of) - F.unix_micros(F.col(x))) / 1_000_000
-        ok = F.coalesce(age <= t + p.get("grace_seconds", 0), F.lit(False))
-        return Compiled(aggs, rows, F.when(ok, 0).otherwise(1).cast("long"), age, ok)
-    raise ValueError(f"unknown check type {kind}")
+    # timeliness
+    aggs = count | {x: F.max(v)}
+    age = (F.unix_micros(as_of) - F.unix_micros(F.col(x))) / 1_000_000
+    ok = F.coalesce(age <= t + p.get("grace_seconds", 0), F.lit(False))
+    return Compiled(aggs, rows, F.when(ok, 0).otherwise(1).cast("long"), age, ok)
 
 
 def run_rules(df: DataFrame, rules: list[dict], as_of: Column | None = None, window: Column | None = None) -> DataFrame:

@@ -68,7 +68,10 @@ b AS (SELECT *, least(n // 4, 10) AS w FROM a WHERE n >= 10),
 c AS (SELECT b.*, CASE WHEN b.pos >= b.w - 1 THEN (b.run - coalesce(p.run, 0)) / b.w END AS mean FROM b LEFT JOIN b p ON p.rule_id = b.rule_id AND p.pos = b.pos - b.w),
 d AS (SELECT *, abs(lead(mean) OVER w - mean) AS size, lead(mean) OVER w - mean AS change FROM c WINDOW w AS (PARTITION BY rule_id ORDER BY pos)),
 e AS (SELECT *, stddev_pop(change) OVER (PARTITION BY rule_id) * 2.0 AS height FROM d),
-f AS (SELECT *, size > lag(size) OVER w AND size > lead(size) OVER w AND size >= height AS peak FROM e WINDOW w AS (PARTITION BY rule_id ORDER BY pos)),
+p AS (SELECT *, lag(size) OVER w AS l, lead(size) OVER w AS r, size IS DISTINCT FROM lag(size) OVER w AS opens FROM e WINDOW w AS (PARTITION BY rule_id ORDER BY pos)),
+o AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY rule_id ORDER BY pos) AS top FROM p),
+t AS (SELECT rule_id, top, min(pos) AS a, max(pos) AS b, min_by(l, pos) AS l, max_by(coalesce(r, -1), pos) AS r FROM o GROUP BY 1, 2),
+f AS (SELECT o.*, coalesce(o.pos = (a + b) // 2 AND size > coalesce(t.l, 1e300) AND size > CASE WHEN t.r < 0 THEN 1e300 ELSE t.r END AND size >= height, false) AS peak FROM o JOIN t ON o.rule_id = t.rule_id AND o.top = t.top),
 g AS (SELECT x.*, (SELECT min(abs(x.pos - y.pos)) FROM f y WHERE y.rule_id = x.rule_id AND y.peak AND abs(x.pos - y.pos) <= 2) AS near FROM f x WHERE pos >= n - 40)
 SELECT rule_id, run_id, near IS NOT NULL AS is_anomaly, CASE WHEN near IS NOT NULL THEN 1.0::DOUBLE / (near + 1) ELSE 0.0 END AS confidence, round(height, 6) AS threshold_value, v AS actual_value, CAST(pos AS BIGINT) AS position FROM g""",
 )
