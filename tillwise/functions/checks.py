@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import all_of
+from tillwise.functions.columns import all_of, any_of
 from tillwise.functions.times import parse
 
 # Formats a value must have.
@@ -132,37 +132,52 @@ def _entry(field_: str, rule: str, message: Column | str, value: Column) -> Colu
     )
 
 
-def failures(checks: list[Check], columns: list[str], severity: str, extra: tuple[Column, ...] = ()) -> Column:
-    """Array of failed checks of one severity; ``extra`` are entries that are
-    null when they hold."""
-    found = [
-        F.when(~passes(c, columns), _entry(c.field, c.kind, c.message, F.col(c.field) if c.field in columns else F.lit(None)))
+ENTRIES = "array<struct<field:string,rule:string,message:string,value:string>>"
+
+
+def _gather(entries: list[tuple[Column, Column]], kind: str = ENTRIES) -> Column:
+    """Array of the entries whose condition holds. A concatenation of short
+    arrays stays in generated code; a higher-order function would evaluate all
+    checks row by row in interpreted mode."""
+    none = F.array().cast(kind)
+    if not entries:
+        return none
+    return F.concat(*[F.when(F.coalesce(hit, F.lit(False)), F.array(entry).cast(kind)).otherwise(none) for hit, entry in entries])
+
+
+def failures(checks: list[Check], columns: list[str], severity: str) -> list[tuple[Column, Column, str]]:
+    """(failed, entry, key) of the checks of one severity."""
+    return [
+        (
+            ~passes(c, columns),
+            _entry(c.field, c.kind, c.message, F.col(c.field) if c.field in columns else F.lit(None)),
+            f"{c.field}:{c.kind}",
+        )
         for c in checks
         if c.severity == severity
     ]
-    none = F.array().cast("array<struct<field:string,rule:string,message:string,value:string>>")
-    entries = [*found, *extra]
-    return F.array_compact(F.array(*entries)) if entries else none
 
 
-def sales_logic() -> tuple[Column, ...]:
+Logic = list[tuple[Column, Column, str]]
+
+
+def sales_logic() -> Logic:
     """Total within a cent of quantity times price; quantity at most 1000."""
     q, p, t = (F.coalesce(_num(F.col(c)), F.lit(0.0)) for c in ("quantity", "price", "total_amount"))
-    off = F.abs(t - q * p) > 0.01
-    return (
-        F.when(off, _entry("total_amount", "business_logic", "total differs from quantity times price", t)),
-        F.when(q > 1000, _entry("quantity", "business_logic", "unusually high quantity", q)),
-    )
+    return [
+        (F.abs(t - q * p) > 0.01, _entry("total_amount", "business_logic", "total differs from quantity times price", t), "total_amount:business_logic"),
+        (q > 1000, _entry("quantity", "business_logic", "unusually high quantity", q), "quantity:business_logic"),
+    ]
 
 
-def inventory_logic() -> tuple[Column, ...]:
+def inventory_logic() -> Logic:
     s = _num(F.col("current_stock"))
-    return (F.when(s < 0, _entry("current_stock", "business_logic", "stock cannot be negative", s)),)
+    return [(s < 0, _entry("current_stock", "business_logic", "stock cannot be negative", s), "current_stock:business_logic")]
 
 
-def staff_logic() -> tuple[Column, ...]:
+def staff_logic() -> Logic:
     h = _num(F.col("hours_worked"))
-    return (F.when(h > 16, _entry("hours_worked", "business_logic", "unusually high work hours", h)),)
+    return [(h > 16, _entry("hours_worked", "business_logic", "unusually high work hours", h), "hours_worked:business_logic")]
 
 
 LOGIC = {"pos": sales_logic, "api_sales": sales_logic, "inventory": inventory_logic, "staff": staff_logic}
@@ -210,34 +225,44 @@ def first_error(checks: list[Check], columns: list[str]) -> Column:
 
 
 def validate(df: DataFrame, source: str, checks: list[Check] | None = None) -> DataFrame:
-    """Add ``errors`` and ``warnings`` arrays and ``is_valid``."""
+    """Add ``is_valid``, the ``errors`` and ``warnings`` arrays and their keys
+    (``field:rule``).
+
+    Each is its own expression over the record, so a query builds only what it
+    reads: keeping the valid rows makes no error list.
+    """
     rules = DEFAULT_CHECKS.get(source, []) if checks is None else checks
-    logic = LOGIC[source]() if source in LOGIC else ()
+    bad = failures(rules, df.columns, "error") + (LOGIC[source]() if source in LOGIC else [])
+    odd = failures(rules, df.columns, "warning")
     return df.withColumns(
         {
-            "errors": failures(rules, df.columns, "error", logic),
-            "warnings": failures(rules, df.columns, "warning"),
+            "is_valid": ~any_of([F.coalesce(hit, F.lit(False)) for hit, _, _ in bad]),
+            "errors": _gather([(hit, entry) for hit, entry, _ in bad]),
+            "warnings": _gather([(hit, entry) for hit, entry, _ in odd]),
+            "error_keys": _gather([(hit, F.lit(key)) for hit, _, key in bad], "array<string>"),
+            "warning_keys": _gather([(hit, F.lit(key)) for hit, _, key in odd], "array<string>"),
         }
-    ).withColumn("is_valid", F.size("errors") == 0)
+    )
 
 
 def batch_summary(checked: DataFrame, top: int = 5) -> DataFrame:
-    """Counts, rates and the most common errors and warnings, as rows."""
-    totals = checked.agg(
-        F.count("*").alias("total_records"),
-        F.count_if("is_valid").alias("valid_records"),
-        F.count_if(~F.col("is_valid")).alias("invalid_records"),
-        F.count_if(F.size("warnings") > 0).alias("with_warnings"),
-    )
-    head = totals.unpivot([], totals.columns, "item", "n").select(F.lit("total").alias("section"), "item", "n")
-    for name in ("errors", "warnings"):
-        key = F.concat_ws(":", "e.field", "e.rule")
-        best = (
-            checked.select(F.explode(name).alias("e"))
-            .groupBy(key.alias("item"))
-            .agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "item")
-            .limit(top)
-        )
-        head = head.unionByName(best.select(F.lit(name).alias("section"), "item", "n"))
-    return head
+    """Counts and the most common errors and warnings as rows, from one pass.
+
+    Records are counted by their pair of key lists first; there are few
+    different ones, and only these are unfolded into labels.
+    """
+    kinds = checked.groupBy("error_keys", "warning_keys").agg(F.count("*").alias("n"))
+
+    def keyed(name: str, section: str) -> Column:
+        return F.transform(name, lambda k: F.concat(F.lit(section + "/"), k))
+
+    valid = F.when(F.size("error_keys") == 0, "total/valid_records").otherwise("total/invalid_records")
+    warned = F.when(F.size("warning_keys") > 0, F.array(F.lit("total/with_warnings"))).otherwise(F.array().cast("array<string>"))
+    labels = F.concat(F.array(F.lit("total/total_records"), valid), warned, keyed("error_keys", "errors"), keyed("warning_keys", "warnings"))
+    counts = kinds.select(F.explode(labels).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))
+    named = counts.select(F.substring_index("label", "/", 1).alias("section"), F.substring_index("label", "/", -1).alias("item"), "n")
+    totals = ["total_records", "valid_records", "invalid_records", "with_warnings"]
+    head = named.where("section = 'total'").agg(*[F.coalesce(F.max(F.when(F.col("item") == x, F.col("n"))), F.lit(0)).alias(x) for x in totals])
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "item"))
+    best = named.where("section <> 'total'").withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
+    return head.unpivot([], totals, "item", "n").select(F.lit("total").alias("section"), "item", "n").unionByName(best)

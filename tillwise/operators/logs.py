@@ -78,19 +78,40 @@ def ip_users(log: DataFrame, flagged: DataFrame) -> DataFrame:
     return pairs.join(flagged, "ip")
 
 
-def report(log: DataFrame) -> DataFrame:
-    """Findings of all four detectors with a description."""
+def user_spans(log: DataFrame) -> DataFrame:
+    """Export and request counts and spans per user from one aggregation."""
+    named = {"export": is_export(), "api": F.col("endpoint") != ""}
+    aggs = []
+    for name, hit in named.items():
+        ts = F.when(hit, F.col("ts"))
+        aggs += [F.count_if(hit).alias(f"{name}_count"), F.min(ts).alias(f"{name}_first"), F.max(ts).alias(f"{name}_last")]
+    per_user = log.groupBy("user_id").agg(*aggs)
+    rows = [
+        F.struct(F.lit(n).alias("kind"), F.col(f"{n}_count").alias("count"), F.col(f"{n}_first").alias("first_seen"), F.col(f"{n}_last").alias("last_seen"))
+        for n in named
+    ]
+    return per_user.select("user_id", F.inline(F.array(*rows)))
+
+
+def report(log: DataFrame, exports: int = 10, requests: int = 100, minutes: int = 60) -> DataFrame:
+    """Findings of all four detectors with a description. Export spikes and
+    request floods share one aggregation per user."""
     def shaped(df, kind, description, span):
-        return df.select(F.lit(kind).alias("type"), description.alias("description"), F.col("count"), span.alias("time_window"), "first_seen", "last_seen")
+        return df.select(kind.alias("type"), description.alias("description"), F.col("count"), span.alias("time_window"), "first_seen", "last_seen")
 
     hours = F.format_string("%.1f hours", seconds() / 3600)
-    minutes = F.format_string("%.1f minutes", seconds() / 60)
-    burst = failed_login_burst(log)
+    length = F.format_string("%.1f minutes", seconds() / 60)
+    many = F.col("kind") == "export"
+    spans = user_spans(log).where(
+        (many & (F.col("count") > exports)) | (~many & (F.col("count") > requests) & (seconds() < minutes * 60))
+    )
+    said = F.when(many, F.format_string("User %s performed %d data exports", "user_id", "count")).otherwise(
+        F.format_string("User %s made %d API requests in %.1f minutes", "user_id", "count", seconds() / 60)
+    )
     parts = [
-        shaped(burst, "failed_login_burst", F.format_string("User %s had %d failed login attempts in 5 minutes", "user_id", "count"), F.lit("5 minutes")),
-        shaped(export_spike(log), "data_export_spike", F.format_string("User %s performed %d data exports", "user_id", "count"), hours),
-        shaped(suspicious_api(log), "suspicious_api_access", F.format_string("User %s made %d API requests in %.1f minutes", "user_id", "count", seconds() / 60), minutes),
-        shaped(ip_many_users(log), "ip_multiple_users", F.format_string("IP %s accessed by %d different users", "ip", "users"), hours),
+        shaped(failed_login_burst(log), F.lit("failed_login_burst"), F.format_string("User %s had %d failed login attempts in 5 minutes", "user_id", "count"), F.lit("5 minutes")),
+        shaped(spans, F.when(many, "data_export_spike").otherwise("suspicious_api_access"), said, F.when(many, hours).otherwise(length)),
+        shaped(ip_many_users(log), F.lit("ip_multiple_users"), F.format_string("IP %s accessed by %d different users", "ip", "users"), hours),
     ]
     out = parts[0]
     for p in parts[1:]:

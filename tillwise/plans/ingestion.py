@@ -52,10 +52,10 @@ def _(t):
 )
 def _(t):
     good, bad = ingest.split(checks.validate(pos_records(t), "pos"))
-    listed = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e.field, e.rule)), ",")
+    listed = F.array_join("error_keys", ",")
 
     def shown(df, state):
-        return df.select("k", "n", F.lit(state).alias("state"), F.size("errors").cast("long").alias("error_count"), listed.alias("error_list"))
+        return df.select("k", "n", F.lit(state).alias("state"), F.size("error_keys").cast("long").alias("error_count"), listed.alias("error_list"))
 
     return shown(good, "valid").unionByName(shown(bad, "invalid"))
 

@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # HotSpot never compiles a method above 8000 bytes; a generated stage that
+    # large would run interpreted, the split form Spark falls back to does not.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
