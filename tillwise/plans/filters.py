@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import dbl, text
-from tillwise.operators import filters, marts, windows
+from tillwise.operators import filters, marts
 from tillwise.plans.marts import RULES_SQL, rules_of
 from tillwise.plans.registry import query
 
@@ -49,7 +49,7 @@ SELECT product_id, stock_quantity FROM stock WHERE lower(item_name) LIKE '%ring%
   AND expiry_date < (SELECT max(sale_date) FROM sales) AND expiry_date <= DATE '2001-12-31' AND is_active""",
 )
 def _(t):
-    today = marts.max_of(t.sales, "sale_date")
+    today = t.last_sale_day
     out = filters.by_fields(t.stock, filters.INVENTORY, item_name="RING", expiry=(None, F.to_date(F.lit("2001-12-31"))), is_active=True)
     return out.where(filters.low_stock() & filters.expired(today)).select("product_id", "stock_quantity")
 
@@ -136,7 +136,7 @@ SELECT product_id, is_active AND NOT (category = 'SMALL') AS is_active,
   CASE WHEN category = 'SMALL' AND is_active THEN CAST((SELECT max(sale_date) FROM sales) AS VARCHAR) END AS updated_at FROM stock""",
 )
 def _(t):
-    out = filters.soft_delete(t.stock, F.col("category") == "SMALL", marts.max_of(t.sales, "sale_date"))
+    out = filters.soft_delete(t.stock, F.col("category") == "SMALL", t.last_sale_day)
     return out.select("product_id", "is_active", text("updated_at").alias("updated_at"))
 
 
@@ -150,7 +150,7 @@ UNION ALL SELECT 'last_month', count(*) FROM x WHERE s >= date_trunc('month', d)
 UNION ALL SELECT 'this_year', count(*) FROM x WHERE s BETWEEN date_trunc('year', d) AND d""",
 )
 def _(t):
-    as_of = marts.max_of(t.sales, "sale_date")
+    as_of = t.last_sale_day
     flags = t.sales.agg(*[F.count_if(filters.in_period("sale_date", p, as_of)).alias(p) for p in filters.PERIODS])
     return flags.unpivot([], list(filters.PERIODS), "period", "n")
 

@@ -72,7 +72,7 @@ SELECT n_nationkey AS branch_id, coalesce(customers, 0) AS customers, coalesce(i
 FROM nation LEFT JOIN c ON c.branch_id = n_nationkey LEFT JOIN i ON i.branch_id = n_nationkey LEFT JOIN s ON s.branch_id = n_nationkey LEFT JOIN h ON h.branch_id = n_nationkey""",
 )
 def _(t):
-    recent = t.sales.where(F.col("sale_date") >= F.date_sub(marts.max_of(t.sales, "sale_date"), 30))
+    recent = t.sales.where(F.col("sale_date") >= F.date_sub(t.last_sale_day, 30))
     one = F.count("*")
     return joins.counts_by_parent(
         t.nation.select(F.col("n_nationkey").alias("branch_id")),

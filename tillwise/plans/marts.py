@@ -283,7 +283,7 @@ SELECT count(*) AS total_sales, CAST(sum(amount) AS DOUBLE) AS total_revenue, CA
 FROM sales WHERE is_active AND sale_date = (SELECT max(sale_date) FROM sales)""",
 )
 def _(t):
-    return marts.daily_summary(t.sales, marts.max_of(t.sales, "sale_date"))
+    return marts.daily_summary(t.sales, t.last_sale_day)
 
 
 @query(
@@ -301,7 +301,7 @@ SELECT CAST(sale_date AS VARCHAR) AS sale_date, CAST(sum(amount) AS DOUBLE) AS r
 FROM sales WHERE is_active AND sale_date >= (SELECT max(sale_date) FROM sales) - 30 GROUP BY sale_date""",
 )
 def _(t):
-    return marts.revenue_trends(t.sales, marts.max_of(t.sales, "sale_date"))
+    return marts.revenue_trends(t.sales, t.last_sale_day)
 
 
 @query(
@@ -343,7 +343,7 @@ SELECT product_id, CAST(expiry_date AS VARCHAR) AS expiry_date, CAST(expiry_date
 FROM stock WHERE is_active AND expiry_date BETWEEN (SELECT max(sale_date) FROM sales) AND (SELECT max(sale_date) FROM sales) + 30""",
 )
 def _(t):
-    return marts.expiring(t.stock, marts.max_of(t.sales, "sale_date"))
+    return marts.expiring(t.stock, t.last_sale_day)
 
 
 @query(
@@ -550,7 +550,7 @@ SELECT r AS revenue, n AS transactions, c AS customers, r / n AS avg_order_value
   CAST(n - n0 AS DOUBLE) * 100 / n0 AS transactions_change, CAST(c - c0 AS DOUBLE) * 100 / c0 AS customer_growth FROM a""",
 )
 def _(t):
-    return marts.dashboard_kpis(t.sales, marts.max_of(t.sales, "sale_date"))
+    return marts.dashboard_kpis(t.sales, t.last_sale_day)
 
 
 @query(
@@ -561,7 +561,7 @@ a AS (SELECT branch_id, CAST(sum(amount) FILTER (cur) AS DOUBLE) AS r, CAST(sum(
 SELECT branch_id, r AS revenue, r0 AS previous_revenue, n AS transactions, CASE WHEN r0 <> 0 THEN (r - r0) * 100 / r0 END AS revenue_change FROM a""",
 )
 def _(t):
-    return marts.branch_comparison(t.sales, marts.max_of(t.sales, "sale_date"))
+    return marts.branch_comparison(t.sales, t.last_sale_day)
 
 
 @query(

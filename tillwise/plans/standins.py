@@ -96,6 +96,11 @@ class Tables:
             .alias("source"),
         )
 
+    @property
+    def last_sale_day(self) -> Column:
+        """Default ``as_of`` of the sales queries, read without the join."""
+        return self.raw("orders").agg(F.max(F.to_date("o_orderdate")).alias("day")).scalar()
+
     @cached_property
     def sale_items(self) -> DataFrame:
         return self.raw("lineitem").select(

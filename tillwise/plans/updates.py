@@ -10,7 +10,7 @@ from tillwise.functions import registries
 from tillwise.functions.checks import Check, passes
 from tillwise.functions.columns import text
 from tillwise.functions.transforms import Rule, apply_rules
-from tillwise.operators import marts, updates
+from tillwise.operators import updates
 from tillwise.plans.registry import query
 from tillwise.session import scratch_path
 
@@ -63,7 +63,7 @@ def _(t):
     "SELECT product_id, CASE WHEN expiry_date < (SELECT max(sale_date) FROM sales) THEN 'expired' WHEN stock_quantity <= reorder_level THEN 'low_stock' ELSE 'in_stock' END AS status FROM stock",
 )
 def _(t):
-    status = updates.inventory_status(F.col("stock_quantity"), F.col("reorder_level"), F.col("expiry_date"), marts.max_of(t.sales, "sale_date"))
+    status = updates.inventory_status(F.col("stock_quantity"), F.col("reorder_level"), F.col("expiry_date"), t.last_sale_day)
     return t.stock.select("product_id", status.alias("status"))
 
 

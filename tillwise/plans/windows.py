@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import dbl, ratio, text
-from tillwise.operators import marts, windows
+from tillwise.operators import windows
 from tillwise.plans.registry import query
 
 
