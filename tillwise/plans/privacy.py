@@ -379,7 +379,7 @@ def _(t):
 @query(
     "gdpr_retention_apply",
     f"""
-WITH {SUBJECT_SQL}, {MAPS_SQL}, plan AS (SELECT subject_id, location, policy_action FROM places JOIN policies USING (category) WHERE is_active AND subject_id % 3 = 0),
+WITH {SUBJECT_SQL}, {MAPS_SQL}, plan AS (SELECT subject_id, location, policy_action FROM places JOIN policies USING (category) WHERE is_active AND subject_id % 3 = 0 AND subject_id IN (SELECT subject_id FROM subjects)),
 del AS (SELECT DISTINCT subject_id FROM plan WHERE policy_action = 'DELETE'), ano AS (SELECT DISTINCT subject_id FROM plan WHERE policy_action = 'ANONYMIZE'), arc AS (SELECT DISTINCT subject_id FROM plan WHERE policy_action = 'ARCHIVE')
 SELECT 'planned ' || policy_action AS item, count(*) AS n FROM plan GROUP BY policy_action
 UNION ALL SELECT 'orders kept', count(*) FROM orders WHERE o_custkey NOT IN (SELECT subject_id FROM del) UNION ALL SELECT 'customers anonymized', count(*) FROM customer WHERE c_custkey IN (SELECT subject_id FROM ano)
