@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import minhash
+from tillwise.llm import gam, line_rules, minhash, packing
 from tillwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,34 @@ found AS (
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> gam.Model:
+    """Fitted on the labels that may be learned from."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return gam.train(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gam.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def line_chain(spark: SparkSession, sf_dir: str):
+    return line_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"), line_chain(spark, sf_dir))
