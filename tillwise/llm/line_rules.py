@@ -7,8 +7,7 @@ content lines.
 
 The field is fitted on at most ``sample_rows`` labelled documents (smallest
 hash of the id), of each the first ``fit_lines`` lines: lines of documents
-labelled 0 and repeats of an earlier line count as boilerplate, other lines as
-content. Only these bounded rows of line features reach the driver. Judging
+labelled 0 count as boilerplate, other lines as content. Only these bounded rows of line features reach the driver. Judging
 reads every text whole.
 
 Null and empty texts have no words, so they fail the base rule. Without
@@ -40,12 +39,11 @@ class Params:
     least_content: float = 0.5
     sample_rows: int = 2_000
     fit_lines: int = 300
-    epochs: int = 40
+    epochs: int = 80
 
 
 #: Borders of the buckets of each line feature.
 BORDERS = {
-    "words": (1, 2, 4, 8, 16, 32, 64),
     "symbols": (1e-9, 0.1, 0.3, 0.6),
     "upper": (0.05, 0.15, 0.3, 0.6),
     "distinct": (0.2, 0.4, 0.6, 0.8),
@@ -54,7 +52,6 @@ BORDERS = {
     "marks": (1e-9, 0.05, 0.2),
     "word_length": (3, 4.5, 6, 8),
     "repeat": (0.5,),
-    "place": (0.5, 1.5, 2.5),
 }
 _SIZES = [len(b) + 1 for b in BORDERS.values()]
 _BASES = np.concatenate([[0], np.cumsum(_SIZES)])
@@ -72,12 +69,7 @@ def line_slots(words: tx.Words, lines: Lines) -> np.ndarray:
     keyed = np.unique(tx.mix(words.hash + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)[1]
     distinct = np.bincount(owner[keyed], minlength=len(n)) if len(owner) else np.zeros(len(n))
     last = words.data[words.end - 1] if len(words.end) else np.zeros(0, np.uint8)
-    place = np.ones(len(n))
-    place[lines.first[:-1]] = 0
-    place[lines.first[1:] - 1] = 2
-    place[lines.first[:-1][np.diff(lines.first) == 1]] = 3
     values = {
-        "words": lines.n_words,
         "symbols": tx.per_doc(span_counts(SYMBOL[words.data], words.start, words.end) > 0, borders) / n,
         "upper": bytes_in(UPPER[words.data]) / line_chars,
         "distinct": distinct / n,
@@ -86,7 +78,6 @@ def line_slots(words: tx.Words, lines: Lines) -> np.ndarray:
         "marks": tx.per_doc(END_MARK[last], borders) / n,
         "word_length": line_chars / n,
         "repeat": lines.repeats(),
-        "place": place,
     }
     return np.stack([np.searchsorted(BORDERS[k], values[k], side="right") + _BASES[i] for i, k in enumerate(BORDERS)], axis=1)
 
@@ -125,11 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             for rows, data, offsets in tx.slices(batch, text_column):
                 words = tx.words_of(data, offsets)
                 lines = Lines(words)
-                slots, repeat = line_slots(words, lines).astype(np.uint8), lines.repeats()
+                slots = line_slots(words, lines).astype(np.uint8)
                 found = []
                 for k, y in enumerate(rows.column("y_").to_pylist()):
                     a, b = lines.first[k], min(lines.first[k + 1], lines.first[k] + p.fit_lines)
-                    gold = np.where(repeat[a:b] | (y == 0), BOILERPLATE, CONTENT).astype(np.uint8)
+                    gold = np.full(b - a, CONTENT if y else BOILERPLATE, np.uint8)
                     found.append(np.column_stack([slots[a:b], gold]).tobytes())
                 yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(found, pa.binary())], names=[id_column, "lines"])
 
