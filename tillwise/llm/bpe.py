@@ -26,6 +26,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tillwise.llm import pretokens
 from tillwise.llm import text as tx
@@ -232,7 +233,7 @@ def decode(encoded: DataFrame, ids_column: str = "ids", path: str | None = None)
     """The rows with a further column ``bytes``: what their ids stand for. A
     null list decodes to no bytes; ids outside the vocabulary are an error."""
     path = path or default_path()
-    schema = encoded.schema.add("bytes", "binary")
+    schema = StructType([*encoded.schema.fields, StructField("bytes", BinaryType())])
 
     def run(batches):
         for batch in batches:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tillwise.llm import bpe, gam, line_rules, minhash, packing
+from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, secret_scan
 from tillwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,69 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+CONVERSATIONS_SQL = r"""
+SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')"""
+
+
+def chat_events(turns: DataFrame) -> DataFrame:
+    """Each turn as the log of its writing: the first half of its text, a delta
+    with a slip, an edit back to the first half and a delta with the rest."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    start, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    # Rows that share a turn are messages of their own.
+    same_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    message = F.struct(F.col("turn").alias("turn"), F.row_number().over(same_turn).alias("row"))
+    # Turns follow each other in time, so no edit takes back a later turn.
+    steps = [("delta", start), ("delta", F.lit("(slip)")), ("edit", start), ("delta", rest)]
+    event = lambda k: F.struct(F.lit(k).alias("step"), F.lit(steps[k][0]).alias("kind"), steps[k][1].alias("text"))
+    return (
+        turns.withColumn("message", message)
+        .select("conv_id", "message", "role", F.explode(F.array(*(event(k) for k in range(4)))).alias("e"))
+        .select(
+            F.col("conv_id").alias("conversation"),
+            "message",
+            F.struct(F.col("message.turn"), F.col("message.row"), F.col("e.step").alias("step")).alias("sequence"),
+            "role",
+            F.col("e.kind").alias("kind"),
+            F.col("e.text").alias("text"),
+        )
+    )
+
+
+@query(
+    "op1_chat_format",
+    rf"""
+WITH turns AS ({CONVERSATIONS_SQL}),
+marked AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS body,
+    replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS label
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || label || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    awkward = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], turns.schema)
+    done = chat.render(chat.fold(chat_events(turns.unionByName(extra))))
+    read = done.withColumn("messages", chat.read_back(F.col("formatted"))).withColumn("said", F.array_join(chat.under_mask(F.col("formatted"), F.col("loss")), ""))
+    listed = F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n")))
+    return read.select(
+        F.col("conversation").alias("conv_id"),
+        F.size("messages").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(listed, ""), 256).alias("turns_sha256"),
+        F.char_length("said").cast("bigint").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -82,6 +146,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_chain(spark: SparkSession, sf_dir: str):
+    return secret_scan.train(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_chain(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
