@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, secret_scan
+from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, polytope, secret_scan
 from tillwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,23 @@ def line_chain(spark: SparkSession, sf_dir: str):
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), line_chain(spark, sf_dir))
+
+
+@query(
+    "op7_polytope_near_dedup",
+    """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(v) AS component_id, vec_id = min(v) AS kept
+FROM embeddings JOIN reach ON reach.u = vec_id LEFT JOIN degrees ON degrees.u = vec_id GROUP BY vec_id""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
