@@ -1,22 +1,55 @@
-"""Corpus preparation in stages, each written and read again before the next."""
+"""Corpus preparation in stages, each written and read again before the next.
+
+Models are fitted on the labelled documents of ``sf_dir``, whatever an earlier
+stage has left of them; every stage works on all rows that it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import minhash
+from tillwise.llm import gam, line_rules, minhash, packing, queries, secret_scan
 from tillwise.session import configure, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return gam.passing(docs.select(*COLUMNS), queries.quality_model(spark, sf_dir))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules reject go."""
+    return line_rules.passing(docs.select(*COLUMNS), queries.line_chain(spark, sf_dir))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one of smallest id."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    clean = secret_scan.redacted(docs.select(*COLUMNS), queries.secret_chain(spark, sf_dir))
+    return clean.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of training sequences."""
+    packed = packing.pack_documents(docs)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secrets),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
