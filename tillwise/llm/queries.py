@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, polytope, secret_scan
+from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, polytope, pseudo_likelihood, pseudonyms, secret_scan
 from tillwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
+@query("op9_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def line_chain(spark: SparkSession, sf_dir: str):
     return line_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
