@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tillwise.functions import prefix
 
 
-@pytest.fixture(params=[10, 1000, 10_000_000], ids=["many-chunks", "some-chunks", "one-chunk"])
-def chunk_rows(request, monkeypatch):
-    monkeypatch.setattr(prefix, "ROWS_PER_CHUNK", request.param)
+@pytest.fixture(params=[300, 7, 1], ids=["many-chunks", "some-chunks", "one-chunk"])
+def chunk_rows(request, spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.fixture(scope="module")
@@ -60,13 +63,24 @@ def test_trailing_count(spark, frame, chunk_rows):
             assert out[i] == int(((t >= at - 25) & (t <= at)).sum())
 
 
-def test_chunks_are_even_and_ordered(spark, monkeypatch):
+def test_chunks_are_even_and_ordered(spark):
     df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("x"))
-    sizes = df.groupBy(prefix.even_chunks(df, ["x"], 1000).alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("c").collect()
-    assert 15 <= len(sizes) <= 20 and max(r.n for r in sizes) < 3000
+    sizes = prefix.cut(df, ["x"]).groupBy(prefix.CHUNK).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy(prefix.CHUNK).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r.n for r in sizes) < 2 * 20000 / len(sizes)
     assert all(p.b < q.a for p, q in zip(sizes, sizes[1:]))
 
 
+def test_null_keys_and_null_order_values(spark, chunk_rows):
+    rows = [(None, None, 1, 5), (None, 3, 2, 6), (None, 4, 3, None), ("a", None, 4, 1), ("a", 2, 5, 2), (None, None, 6, 7)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v int")
+    out = {r.id: r for r in prefix.running(df, ["k"], ["t", "id"], {"s": F.col("v")}, row_number="rn").collect()}
+    assert {i: (r.s, r.rn) for i, r in out.items()} == {1: (5, 1), 6: (12, 2), 2: (18, 3), 3: (18, 4), 4: (1, 1), 5: (3, 2)}
+    before = {r.id: r.p for r in prefix.previous(df, ["k"], ["t", "id"], {"p": "id"}).collect()}
+    assert before == {1: None, 6: 1, 2: 6, 3: 2, 4: None, 5: 4}
+    top = {r.id: r.m for r in prefix.max_before(df, ["k"], ["t", "id"], "v", "m").collect()}
+    assert top == {1: None, 6: 5, 2: 7, 3: 7, 4: None, 5: 1}
+
+
 @pytest.mark.parametrize("values", [[5.0], [1.0, 1.0, 1.0], list(range(1000)), [0.1] * 700 + list(range(300)), [-3.5, 1e-9, 2e-9, 7.0]])
 def test_values_at_ranks(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
@@ -77,3 +91,10 @@ def test_values_at_ranks(spark, values):
 
 def test_values_at_ranks_of_nothing(spark):
     assert prefix.values_at_ranks(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("extra", [[float("nan")], [float("inf"), float("-inf")], [1e308, -1e308], [5e-324, 1e-323]])
+def test_values_at_ranks_ends_on_extreme_values(spark, extra):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, None, *extra]], "v double")
+    finite = sorted([1.0, 2.0, 3.0, *[v for v in extra if abs(v) < float("inf")]])
+    assert prefix.values_at_ranks(df, "v", [0.0, 0.5, 0.99]) == [finite[int(len(finite) * q)] for q in (0.0, 0.5, 0.99)]

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.functions import prefix
 from tillwise.operators import series, updates
 
 
@@ -25,8 +24,7 @@ def plain_lttb(x, y, n):
 
 
 @pytest.mark.parametrize("n,points", [(3, 50), (20, 1000), (100, 997), (10, 10), (50, 7)])
-def test_lttb(spark, monkeypatch, n, points):
-    monkeypatch.setattr(prefix, "ROWS_PER_CHUNK", 100)
+def test_lttb(spark, n, points):
     rng = np.random.default_rng(points)
     x = np.cumsum(rng.random(points))
     y = rng.normal(size=points)
@@ -50,7 +48,6 @@ def test_cohort(spark):
 
 
 def test_depletion_in_order(spark, monkeypatch):
-    monkeypatch.setattr(prefix, "ROWS_PER_CHUNK", 200)
     rng = np.random.default_rng(5)
     stock = {k: int(rng.integers(0, 60)) for k in range(12)}
     asks = [(int(k), i, int(q)) for i, (k, q) in enumerate(zip(np.where(rng.random(2000) < 0.5, 0, rng.integers(0, 13, 2000)), rng.integers(0, 25, 2000)))]

@@ -1,61 +1,48 @@
 """Ordered computations that stay parallel inside one hot key.
 
 A plain window ``PARTITION BY key ORDER BY ts`` puts every row of a key into one
-task. Here rows are first cut into chunks of about equal size along the order:
-the window runs inside ``(key, chunk)``, the chunk totals (few rows per key) are
-accumulated on their own, and both are joined back on ``(key, chunk)``. A key
-that holds most of the table is then spread over as many tasks as the table has
-chunks.
+task. Here rows are first cut into chunks along the order by Spark's own range
+partitioning: the window runs inside ``(key, chunk)``, the chunk totals (few
+rows per key) are accumulated on their own, and both are joined back on
+``(key, chunk)``. A key that holds most of the table is then spread over as many
+tasks as a shuffle has partitions, whatever the size of the table.
+
+Null keys form a key of their own; null order values come first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 4096
-SAMPLES_PER_CHUNK = 20
+from tillwise.session import checkpointed
+
 CHUNK = "_chunk"
 
 
-def _plain(df: DataFrame, names: list[str]) -> list[Column]:
-    """Order columns in types whose values survive the way through the driver."""
-    kinds = dict(df.dtypes)
-    turn = {"timestamp": F.unix_micros, "date": F.unix_date}
-    return [turn[kinds[n]](n) if kinds[n] in turn else F.col(n) for n in names]
+def cut(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with their chunk number, which does not decrease along ``order``.
+
+    There are as many chunks as a shuffle has partitions. The cut is kept in a
+    checkpoint, so all steps that follow (and retried tasks) see the same one.
+    """
+    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
-def even_chunks(df: DataFrame, order: list[str], rows: int | None = None) -> Column:
-    """Chunk number of a row along ``order``, about ``rows`` rows each.
+def _chunked(df: DataFrame, order: list[str], chunk: Column | None) -> DataFrame:
+    return cut(df, order) if chunk is None else df.withColumn(CHUNK, chunk)
 
-    Borders come from a sample of the order columns (at most
-    ``MAX_CHUNKS * SAMPLES_PER_CHUNK`` rows reach the driver) and are literals
-    of the plan, so every evaluation cuts the rows alike. A row compares itself
-    with every 64th border first and then with the 64 borders around it.
-    """
-    rows = rows or ROWS_PER_CHUNK
-    n = df.count()
-    chunks = min(-(-n // rows), MAX_CHUNKS)
-    if chunks <= 1:
-        return F.lit(0)
-    plain = _plain(df, order)
-    share = min(1.0, chunks * SAMPLES_PER_CHUNK / n)
-    seen = df.select(*[c.alias(f"o{i}") for i, c in enumerate(plain)]).sample(share, 7)
-    sample = sorted(tuple(r) for r in seen.limit(2 * MAX_CHUNKS * SAMPLES_PER_CHUNK).collect())
-    borders = sorted({sample[i * len(sample) // chunks] for i in range(1, chunks)}) if sample else []
-    if not borders:
-        return F.lit(0)
-
-    def literal(values) -> Column:
-        return F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(t)]) for t in values])
-
-    me = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(plain)])
-    step = 64
-    groups = [borders[i : i + step] for i in range(0, len(borders), step)]
-    coarse = F.size(F.filter(literal([g[0] for g in groups]), lambda t: t <= me))
-    fine = F.get(F.array(*[literal(g) for g in groups]), F.greatest(coarse - 1, F.lit(0)))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda t: t <= me)))
+
+def _joined(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their (key, chunk); null keys meet each other."""
+    names = [*keys, CHUNK]
+    side = per_chunk.withColumnsRenamed({n: f"_j{i}" for i, n in enumerate(names)})
+    same = reduce(and_, [rows[n].eqNullSafe(side[f"_j{i}"]) if n != CHUNK else rows[n] == side[f"_j{i}"] for i, n in enumerate(names)])
+    return rows.join(side, same).drop(*[f"_j{i}" for i in range(len(names))])
 
 
 def running(
@@ -68,15 +55,14 @@ def running(
 ) -> DataFrame:
     """Add running sums and a row number per key, in the given order.
 
-    ``order`` should end in a unique column, keys must not be null. A given
-    ``chunk`` must not decrease along the order.
+    ``order`` should end in a unique column. A given ``chunk`` must not decrease
+    along the order.
     """
-    chunk = even_chunks(df, order) if chunk is None else chunk
     sums = dict(sums or {})
     if row_number:
         sums[row_number] = F.lit(1).cast("long")
-    cut = df.withColumn(CHUNK, chunk).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    totals = cut.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    parts = _chunked(df, order, chunk).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    totals = parts.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums]
@@ -86,8 +72,8 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = cut.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums])
-    out = local.join(offsets, [*keys, CHUNK])
+    local = parts.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums])
+    out = _joined(local, offsets, keys)
     return out.select(
         *[out[c] for c in df.columns],
         *[
@@ -107,18 +93,17 @@ def previous(
 ) -> DataFrame:
     """Add the neighbouring row's columns per key: the previous one, or the
     next one with ``following``. ``values`` maps new name to column."""
-    chunk = even_chunks(df, order) if chunk is None else chunk
-    cut = df.withColumn(CHUNK, chunk)
+    parts = _chunked(df, order, chunk)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     edge, toward = (F.min_by, F.desc) if following else (F.max_by, F.asc)
-    last = cut.groupBy(*keys, CHUNK).agg(edge(payload, F.struct(*order)).alias("_edge"))
+    last = parts.groupBy(*keys, CHUNK).agg(edge(payload, F.struct(*order)).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy(toward(CHUNK))
     carried = last.select(*keys, CHUNK, F.lag("_edge").over(across).alias("_carry"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*[toward(o) for o in order])
-    local = cut.withColumns(
+    local = parts.withColumns(
         {"_near": F.lag(payload).over(inside), "_first": F.row_number().over(inside) == 1}
     )
-    joined = local.join(carried, [*keys, CHUNK])
+    joined = _joined(local, carried, keys)
     picked = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_near"))
     return joined.withColumn("_p", picked).select(
         *[joined[c] for c in df.columns], *[F.col(f"_p.{n}").alias(n) for n in values]
@@ -129,14 +114,13 @@ def max_before(
     df: DataFrame, keys: list[str], order: list[str], value: str, name: str, chunk: Column | None = None
 ) -> DataFrame:
     """Largest ``value`` of all earlier rows of the key."""
-    chunk = even_chunks(df, order) if chunk is None else chunk
-    cut = df.withColumn(CHUNK, chunk)
+    parts = _chunked(df, order, chunk)
     rows_before = (Window.unboundedPreceding, -1)
-    tops = cut.groupBy(*keys, CHUNK).agg(F.max(value).alias("_top"))
+    tops = parts.groupBy(*keys, CHUNK).agg(F.max(value).alias("_top"))
     across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*rows_before)
     carried = tops.select(*keys, CHUNK, F.max("_top").over(across).alias("_carry"))
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(*rows_before)
-    joined = cut.withColumn("_near", F.max(value).over(inside)).join(carried, [*keys, CHUNK])
+    joined = _joined(parts.withColumn("_near", F.max(value).over(inside)), carried, keys)
     return joined.select(
         *[joined[c] for c in df.columns], F.greatest("_near", "_carry").alias(name)
     )
@@ -171,9 +155,10 @@ def values_at_ranks(df: DataFrame, value: str, fractions: list[float], bins: int
     Exact and distributed: counts per equal-width bin (at most ``bins`` rows
     reach the driver) find the bin of a rank, which is divided again until it
     holds a single value. A value that fills a third of the table is one bin.
+    Null, NaN and infinite values have no rank.
     """
     v = F.col(value).cast("double")
-    base = df.where(v.isNotNull()).select(v.alias("v"))
+    base = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(v.alias("v"))
     lo, hi, n = base.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         return [None for _ in fractions]
@@ -182,10 +167,13 @@ def values_at_ranks(df: DataFrame, value: str, fractions: list[float], bins: int
         rank, a, b = min(int(n * q), n - 1), lo, hi
         while True:
             part = base.where((F.col("v") >= a) & (F.col("v") <= b))
-            # the last bin takes the upper edge
-            bin_no = F.least(
-                F.floor((F.col("v") - a) / ((b - a) / bins)) if b > a else F.lit(0), F.lit(bins - 1)
-            )
+            width = (b - a) / bins
+            if 0 < width < float("inf"):  # the last bin takes the upper edge
+                bin_no = F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1))
+            elif width:  # the difference of the bounds overflows
+                bin_no = (F.col("v") > 0).cast("int")
+            else:  # bounds too close to divide: at most ``bins`` different numbers lie between
+                bin_no = F.col("v")
             cells = sorted(
                 part.groupBy(bin_no.alias("bin"))
                 .agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))

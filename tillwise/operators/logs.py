@@ -148,8 +148,8 @@ LIMITS = {"anonymous": (100, 3600), "authenticated": (1000, 3600), "login": (10,
 def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
     """Activity sessions per key, closed after ``gap_seconds`` of silence; gaps
     and session numbers are computed in chunks, so a busy key is split."""
-    slim = events.select(key, ts, tie)
-    chunk = prefix.even_chunks(slim, [ts, tie])
+    slim = prefix.cut(events.select(key, ts, tie), [ts, tie])
+    chunk = F.col(prefix.CHUNK)
     seen = prefix.previous(slim, [key], [ts, tie], {"_before": ts}, chunk=chunk)
     apart = F.unix_micros(ts) - F.unix_micros("_before")
     opens = F.when(F.col("_before").isNull() | (apart >= gap_seconds * 1_000_000), 1).otherwise(0).cast("long")

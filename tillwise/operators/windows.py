@@ -38,36 +38,20 @@ def success_rate_last_n(runs, n: int) -> DataFrame:
     )
 
 
-def global_rank(df, value: str, cells: int = 64) -> DataFrame:
-    """rank and dense_rank of every row, largest first, without a one-task window.
-
-    Rows are counted per value. Values fall into ordered cells (a logarithmic
-    scale, ``cells`` per doubling); the ranking window runs inside a cell and
-    the few cell totals are accumulated on their own.
-    """
+def global_rank(df, value: str) -> DataFrame:
+    """rank and dense_rank of every row, largest first and nulls last, without a
+    one-task window: rows are counted per value, and the counts are added up in
+    chunks of about equal size along the order."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    parts = counts.withColumn(
-        "_cell", F.floor(F.log2(F.abs(dbl(value)) + 1) * cells) * F.signum(dbl(value))
-    )
-    before = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_cell").agg(F.sum("_n").alias("_c"), F.count("*").alias("_k")).select(
-        "_cell",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
-        F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_p"),
-    )
-    inside = Window.partitionBy("_cell").orderBy(F.desc(value))
-    ranks = parts.withColumns(
-        {
-            "_l": F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "_d": F.row_number().over(inside),
-        }
-    ).join(offsets, "_cell")
-    return df.join(
-        ranks.select(
-            value, (F.col("_l") + F.col("_o") + 1).alias("rank"), (F.col("_d") + F.col("_p")).alias("dense_rank")
-        ),
-        value,
+    # Largest first is the reverse of the chunked order, so ranks count from the other end.
+    ahead = prefix.running(counts, [], [value], {"_up": F.col("_n")}, row_number="_place")
+    rows, values = counts.agg(F.sum("_n"), F.count("*")).first()
+    ranks = ahead.select(
+        F.col(value).alias("_value"),
+        (F.lit(rows or 0) - F.col("_up") + 1).alias("rank"),
+        (F.lit(values) - F.col("_place") + 1).alias("dense_rank"),
     )
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def brute_force(events, minutes=15, threshold=5, actions=("LOGIN_FAILED", "MFA_FAILED")) -> DataFrame:
@@ -151,7 +135,8 @@ def top_with_other(df, label: str, value: str, n: int) -> DataFrame:
     """First n labels and one 'Other' row with the sum and number of the rest.
     ``df`` has one row per label."""
     best = df.orderBy(F.desc(value), label).limit(n)
-    rest = df.join(best.select(label), label, "left_anti").agg(
+    kept = best.select(F.col(label).alias("_label"))
+    rest = df.join(kept, F.col(label).eqNullSafe(F.col("_label")), "left_anti").agg(
         F.sum(value).alias(value), F.count("*").alias("grouped")
     )
     other = rest.where(F.col(value) > 0).select(F.lit("Other").alias(label), value, "grouped")
