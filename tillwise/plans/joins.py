@@ -88,11 +88,11 @@ def _(t):
 
 @query(
     "join_anti_existing",
-    "SELECT event_id FROM raw_events WHERE business_key NOT IN (SELECT 'A' || CAST(sale_id AS VARCHAR) FROM sales WHERE NOT is_active) AND business_key IS NOT NULL",
+    "SELECT event_id FROM raw_events WHERE business_key IS NULL OR business_key NOT IN (SELECT 'A' || CAST(sale_id AS VARCHAR) FROM sales WHERE NOT is_active)",
 )
 def _(t):
     seen = t.sales.where(~F.col("is_active")).select(F.concat(F.lit("A"), text("sale_id")).alias("business_key"))
-    return joins.new_only(t.raw_events.where("business_key IS NOT NULL"), seen, ["business_key"]).select("event_id")
+    return joins.new_only(t.raw_events, seen, ["business_key"]).select("event_id")
 
 
 @query(

@@ -95,12 +95,14 @@ def _(t):
 @query(
     "pii_classify_type",
     "SELECT type, n, CASE WHEN type IN ('email', 'phone', 'ssn', 'national_id', 'name') THEN 'IDENTIFIERS' WHEN type = 'credit_card' THEN 'FINANCIAL' ELSE 'LOCATION' END AS category, CASE WHEN type IN ('email', 'phone', 'ssn', 'national_id', 'name') THEN 'MEDIUM' WHEN type = 'credit_card' THEN 'CRITICAL' ELSE 'LOW' END AS level FROM ("
-    + " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM ({FOUND_SQL[k]})" for k in ("email", "ssn", "credit_card", "ip_address"))
+    + " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM ({FOUND_SQL[k]})" for k in FOUND_SQL)
     + ")",
 )
 def _(t):
-    kinds = ("email", "ssn", "credit_card", "ip_address")
-    counts = t.texts.agg(*[F.sum(F.size(pii.found(F.col("body"), k))).alias(k) for k in kinds]).unpivot([], list(kinds), "type", "n")
+    # names are looked for in the notes only, as in the detector of their own
+    field = F.col("field") == "customer_note"
+    size = lambda k: F.when(field, F.size(pii.found(F.col("body"), k, "customer_note"))).otherwise(0) if k == "name" else F.size(pii.found(F.col("body"), k))
+    counts = t.texts.agg(*[F.coalesce(F.sum(size(k)), F.lit(0)).alias(k) for k in FOUND_SQL]).unpivot([], list(FOUND_SQL), "type", "n")
     return counts.select("type", "n", pii.category_of(F.col("type")).alias("category"), pii.level_of(F.col("type")).alias("level"))
 
 
