@@ -46,3 +46,31 @@ def test_catalogue_loads_without_a_session():
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     n, m = map(int, done.stdout.split())
     assert n == len(QUERIES) and m == len(SQL)
+
+
+def test_as_of_filters_prune_files(spark, tmp_path):
+    """A filter "last N days" reads no file that lies before it."""
+    from pyspark.sql import functions as F
+
+    from tillwise.operators import marts
+    from tillwise.session import configure
+
+    configure(spark)
+    path = str(tmp_path / "events")
+    rows = spark.range(20_000).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 600).alias("ts"))
+    rows.repartitionByRange(20, "ts").write.parquet(path)
+    df = spark.read.parquet(path)
+    as_of = marts.max_of(df, "ts")
+    for recent in (df.where(F.col("ts") >= as_of - F.expr("INTERVAL 2 DAYS")), df.where(F.to_date("ts") >= F.date_sub(as_of, 2))):
+        plan = recent.select("id")._jdf.queryExecution()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            frame = recent.select("id")
+            frame.collect()
+            plan = frame._jdf.queryExecution().executedPlan()
+            leaves = plan.collectLeaves()
+            read = sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert 0 < read <= 3_000
+    assert marts.max_of(df.where("id < 0"), "ts") is not None

@@ -266,3 +266,50 @@ def batch_summary(checked: DataFrame, top: int = 5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "item"))
     best = named.where("section <> 'total'").withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
     return head.unpivot([], totals, "item", "n").select(F.lit("total").alias("section"), "item", "n").unionByName(best)
+
+
+# --- rules over several fields of a business record --------------------------------
+
+
+def item_total_ok(quantity: Column, unit_price: Column, total: Column, discount: Column | None = None) -> Column:
+    """The line's total is quantity times price less discount (none: 0), exactly."""
+    less = F.lit(0) if discount is None else F.coalesce(discount, F.lit(0))
+    return F.coalesce(total == quantity * unit_price - less, F.lit(False))
+
+
+def sale_total_ok(n_items: Column, item_sum: Column, total: Column, discount: Column, tax: Column, tolerance: str = "0.01") -> Column:
+    """At least one item, and items less discount plus tax within the tolerance of the total."""
+    zero = F.lit(0)
+    expected = item_sum - F.coalesce(discount, zero) + F.coalesce(tax, zero)
+    near = F.abs(total - expected) <= F.lit(tolerance).cast("decimal(18,4)")
+    return F.coalesce((n_items > 0) & near, F.lit(False))
+
+
+def shift_ok(start: Column, end: Column, feedback: Column) -> Column:
+    """The shift ends after it starts; a feedback score lies between 0 and 5."""
+    return F.coalesce(end > start, F.lit(False)) & F.coalesce(feedback.between(0, 5), F.lit(True))
+
+
+def stock_update_ok(ident: Column, quantity: Column) -> Column:
+    """An update names its record and a quantity that is a number and not negative."""
+    return ident.isNotNull() & F.coalesce(quantity.try_cast("decimal(38,10)") >= 0, F.lit(False))
+
+
+def date_range_ok(start: Column, end: Column) -> Column:
+    """A range with both ends does not end before it starts."""
+    return F.coalesce(start <= end, F.lit(True))
+
+
+# Roles that must, and that must not, be tied to a branch.
+BRANCH_ROLES, FREE_ROLES = ("manager", "staff"), ("super_admin", "analyst")
+
+
+def role_branch_ok(role: Column, branch: Column) -> Column:
+    tied = F.coalesce(branch != 0, F.lit(False))
+    return F.when(role.isin(*BRANCH_ROLES), tied).when(role.isin(*FREE_ROLES), ~tied).otherwise(True)
+
+
+def chart_rows(df: DataFrame, label: Column, value: Column) -> DataFrame:
+    """Rows, rows without label or value, and whether a chart can be drawn from them."""
+    gap = label.isNull() | (F.trim(label.cast("string")) == "") | value.isNull() | (F.trim(value.cast("string")) == "")
+    return df.agg(F.count("*").alias("rows"), F.count_if(gap).alias("incomplete"), ((F.count("*") > 0) & (F.count_if(gap) == 0)).alias("valid"))

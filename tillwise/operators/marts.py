@@ -23,8 +23,17 @@ def _in_range(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
 
 
 def max_of(df: DataFrame, c: str | Column) -> Column:
-    """Largest value of a column as a scalar sub-query (default of ``as_of``)."""
-    return df.agg(F.max(col(c)).alias("as_of")).scalar()
+    """Largest value of a column (default of ``as_of``) as a literal.
+
+    It is asked for first, so that filters built on it, with any arithmetic or
+    cast around it, fold to constants and reach the file statistics. Null where
+    there are no rows.
+    """
+    top = F.max(col(c)).alias("as_of")
+    kind = df.select(col(c)).dtypes[0][1]
+    if kind == "timestamp":
+        return F.timestamp_micros(F.lit(df.agg(F.unix_micros(top)).first()[0]).cast("bigint"))
+    return F.lit(df.agg(top).first()[0]).cast(kind)
 
 
 def daily_sales(sales, sources=("pos", "api_sales"), start=None, end=None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import checks
@@ -9,6 +12,7 @@ from tillwise.functions.columns import dbl, text
 from tillwise.operators import ingest, marts
 from tillwise.plans.registry import query
 from tillwise.plans.validation import POS_SQL, pos_records
+from tillwise.session import scratch_path
 
 RAW_SQL = """keyed AS (SELECT *, CASE WHEN source IN ('pos', 'api_sales') AND trim(business_key) <> '' THEN source || '_order_id_' || business_key
   WHEN source = 'staff' AND trim(business_key) <> '' THEN source || '_employee_id_' || business_key ELSE source || '_b1_' || CAST(event_id AS VARCHAR) END AS ingest_id FROM raw_events)"""
@@ -124,16 +128,42 @@ def _(t):
     )
 
 
+# Kind, rows as (ts, state) and days: the generated events span 30 days, so most limits are shorter here.
+RETAINED = [
+    ("raw_events", "SELECT created_at AS ts, state FROM raw_events", 20),
+    ("errors", "SELECT ts, CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS state FROM events WHERE event_type = 'error'", 15),
+    ("runs", "SELECT finished_at AS ts, CASE WHEN rows_scanned % 2 = 0 THEN 'archived' ELSE 'done' END AS state FROM dq_runs", 12),
+    ("alerts", "SELECT ts, CASE WHEN event_id % 5 = 0 THEN 'resolved' END AS state FROM events WHERE event_type <> 'view'", 7),
+    ("warehouse_raw", "SELECT ts, 'any' AS state FROM events", 25),
+    ("dq", "SELECT finished_at AS ts, CAST(NULL AS VARCHAR) AS state FROM dq_runs", 10),
+]
+
+
 @query(
     "retention_cleanup",
-    """
-WITH m AS (SELECT max(ts) AS m FROM events)
-SELECT 'raw_events' AS item, count(*) FILTER (state = 'processed' AND created_at < m - INTERVAL 20 DAYS) AS dropped, count(*) FILTER (NOT (state = 'processed' AND created_at < m - INTERVAL 20 DAYS)) AS kept FROM raw_events, m
-UNION ALL SELECT 'dq', count(*) FILTER (finished_at < m - INTERVAL 10 DAYS), count(*) FILTER (NOT finished_at < m - INTERVAL 10 DAYS) FROM dq_runs, m""",
+    "WITH m AS (SELECT max(ts) AS m FROM events), r AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{kind}' AS item, coalesce(ts < m - INTERVAL {days} DAYS{f" AND state = '{state}'" if state else ''}, false) AS old FROM ({sql}), m"
+        for (kind, sql, days), state in zip(RETAINED, [s for _, s in ingest.RETENTION.values()], strict=True)
+    )
+    + ") SELECT item, count(*) FILTER (old) AS dropped, count(*) FILTER (NOT old) AS kept FROM r GROUP BY item",
 )
 def _(t):
     as_of = marts.max_of(t.events, "ts")
-    # the generated events span 30 days, so shorter limits are used here
-    _, raw = ingest.retention(t.raw_events, ingest.expired("raw_events", "created_at", "state", as_of, days=20))
-    _, dq = ingest.retention(t.dq_runs, ingest.expired("dq", "finished_at", "status", as_of, days=10))
-    return raw.select(F.lit("raw_events").alias("item"), "dropped", "kept").unionByName(dq.select(F.lit("dq").alias("item"), "dropped", "kept"))
+    turn = lambda column, by, value, other=None: F.when(F.col(column) % by == 0, value).otherwise(F.lit(other))
+    tables = {
+        "raw_events": t.raw_events.select(F.col("created_at").alias("ts"), "state"),
+        "errors": t.events.where("event_type = 'error'").select("ts", turn("event_id", 3, "resolved", "open").alias("state")),
+        "runs": t.dq_runs.select(F.col("finished_at").alias("ts"), turn("rows_scanned", 2, "archived", "done").alias("state")),
+        "alerts": t.events.where("event_type <> 'view'").select("ts", turn("event_id", 5, "resolved").alias("state")),
+        "warehouse_raw": t.events.select("ts", F.lit("any").alias("state")),
+        "dq": t.dq_runs.select(F.col("finished_at").alias("ts"), F.lit(None).cast("string").alias("state")),
+    }
+    parts = []
+    for kind, _, days in RETAINED:
+        kept, counts = ingest.retention(tables[kind], ingest.expired(kind, "ts", "state", as_of, days=days))
+        path = scratch_path(t.spark, f"kept-{kind}")
+        kept.write.parquet(path)
+        left = t.spark.read.parquet(path).agg(F.count("*").alias("kept")).select(F.lit(kind).alias("item"), "kept")
+        parts.append(counts.select(F.lit(kind).alias("item"), "dropped").join(left, "item"))
+    return reduce(DataFrame.unionByName, parts)

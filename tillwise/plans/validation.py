@@ -135,64 +135,75 @@ def _(t):
 @query(
     "val_item_total",
     """
-SELECT sale_id, line_number, product_id, CAST(line_total AS DOUBLE) AS line_total, line_total = CAST(qty * unit_cost * 2 - 10 * qty AS DECIMAL(18,2)) AS ok, count(*) AS n
-FROM sale_items JOIN stock USING (product_id) GROUP BY ALL""",
+WITH i AS (SELECT sale_id, line_number, product_id, qty, CAST(line_total * 100 AS BIGINT) AS cents FROM sale_items),
+p AS (SELECT *, (cents + qty - 1) // qty AS price FROM i)
+SELECT sale_id, line_number, product_id, cents = qty * price - CASE WHEN line_number % 2 = 0 THEN qty * price - cents ELSE 0 END AS ok, count(*) AS n FROM p GROUP BY ALL""",
 )
 def _(t):
-    i = t.sale_items.join(t.stock, "product_id")
-    expected = (F.col("qty") * F.col("unit_cost") * 2 - F.col("qty") * 10).cast("decimal(18,2)")
-    return i.groupBy("sale_id", "line_number", "product_id", dbl("line_total").alias("line_total"), (F.col("line_total") == expected).alias("ok")).agg(F.count("*").alias("n"))
+    # prices are rounded up to whole cents; every other line states the difference as its discount
+    i = t.sale_items.withColumn("cents", (F.col("line_total") * 100).cast("long")).withColumn("price", F.expr("(cents + qty - 1) div qty"))
+    discount = F.when(F.col("line_number") % 2 == 0, F.col("qty") * F.col("price") - F.col("cents"))
+    ok = ck.item_total_ok(F.col("qty"), F.col("price"), F.col("cents"), discount)
+    return i.groupBy("sale_id", "line_number", "product_id", ok.alias("ok")).agg(F.count("*").alias("n"))
 
 
 @query(
     "val_sale_total",
     """
-WITH i AS (SELECT sale_id, sum(line_total) AS items FROM sale_items GROUP BY 1)
-SELECT sale_id, items IS NOT NULL AS has_items, coalesce(abs(items - amount) <= 150000, false) AS ok FROM sales LEFT JOIN i USING (sale_id)""",
+WITH i AS (SELECT sale_id, count(*) AS n, sum(line_total) AS items FROM sale_items GROUP BY 1),
+s AS (SELECT sales.sale_id, coalesce(n, 0) AS n, items, CASE WHEN sales.sale_id % 2 = 0 THEN 1.50 END AS discount, sales.sale_id % 7 AS tax, amount FROM sales LEFT JOIN i USING (sale_id)),
+c AS (SELECT *, CASE sale_id % 4 WHEN 0 THEN amount WHEN 1 THEN items - coalesce(discount, 0) + tax + 0.01 WHEN 2 THEN items - coalesce(discount, 0) + tax + 0.02 ELSE items - coalesce(discount, 0) + tax END AS total FROM s)
+SELECT sale_id, n > 0 AS has_items, coalesce(n > 0 AND abs(total - (items - coalesce(discount, 0) + tax)) <= 0.01, false) AS ok FROM c""",
 )
 def _(t):
-    items = t.sale_items.groupBy("sale_id").agg(F.sum("line_total").alias("items"))
-    # generated totals are independent of their lines, so the tolerance is wide here
-    ok = F.coalesce(F.abs(F.col("items") - F.col("amount")) <= 150000, F.lit(False))
-    return t.sales.join(items, "sale_id", "left").select("sale_id", F.col("items").isNotNull().alias("has_items"), ok.alias("ok"))
+    items = t.sale_items.groupBy("sale_id").agg(F.count("*").alias("n"), F.sum("line_total").alias("items"))
+    tax, discount = F.col("sale_id") % 7, F.when(F.col("sale_id") % 2 == 0, F.lit("1.50").cast("decimal(4,2)"))
+    due = F.col("items") - F.coalesce(discount, F.lit(0)) + tax
+    # stated totals: the order's own, and the due one with small deviations
+    turn = F.col("sale_id") % 4
+    total = F.when(turn == 0, F.col("amount")).when(turn == 1, due + F.lit("0.01").cast("decimal(4,2)")).when(turn == 2, due + F.lit("0.02").cast("decimal(4,2)")).otherwise(due)
+    n = F.coalesce("n", F.lit(0))
+    return t.sales.join(items, "sale_id", "left").select("sale_id", (n > 0).alias("has_items"), ck.sale_total_ok(n, F.col("items"), total, discount, tax).alias("ok"))
 
 
 @query(
     "val_shift",
-    "SELECT staff_id, CAST(shift_date AS VARCHAR) AS shift_date, 20 - hours_worked > 10 AND feedback BETWEEN 0 AND 4.5 AS ok FROM shifts",
+    "SELECT staff_id, CAST(shift_date AS VARCHAR) AS shift_date, hours_worked - 6 > 0 AND feedback + 0.5 <= 5 AS ok FROM shifts",
 )
 def _(t):
-    ok = (F.lit(20) - F.col("hours_worked") > 10) & F.col("feedback").between(0, 4.5)
-    return t.shifts.select("staff_id", F.col("shift_date").cast("string").alias("shift_date"), ok.alias("ok"))
+    # shifts of up to six hours are turned into ones that end no later than they start
+    start = F.col("shift_date").cast("timestamp")
+    end = start + F.make_interval(hours=(F.col("hours_worked") - 6).cast("int"))
+    return t.shifts.select("staff_id", F.col("shift_date").cast("string").alias("shift_date"), ck.shift_ok(start, end, F.col("feedback") + 0.5).alias("ok"))
 
 
 @query(
     "val_bulk_stock",
-    "SELECT event_id, CAST(props->>'$.k' AS BIGINT) % 9 <> 0 AND value - 20 >= 0 AS ok FROM events",
+    "SELECT event_id, CAST(props->>'$.k' AS BIGINT) % 9 <> 0 AND event_id % 10 <> 0 AND CAST(value - 20 AS DECIMAL(18,2)) >= 0 AS ok FROM events",
 )
 def _(t):
     k = F.get_json_object("props", "$.k").cast("long")
-    ident = F.when(k % 9 != 0, k)
-    return t.events.select("event_id", (ident.isNotNull() & F.coalesce(F.col("value") - 20 >= 0, F.lit(False))).alias("ok"))
+    quantity = F.when(F.col("event_id") % 10 == 0, "n/a").otherwise((F.col("value") - 20).cast("decimal(18,2)").cast("string"))
+    return t.events.select("event_id", ck.stock_update_ok(F.when(k % 9 != 0, k), quantity).alias("ok"))
 
 
-@query("val_date_range", "SELECT product_id, expiry_date >= (SELECT max(sale_date) FROM sales) AS ok FROM stock")
+@query("val_date_range", "SELECT product_id, product_id % 5 = 0 OR expiry_date >= (SELECT max(sale_date) FROM sales) AS ok FROM stock")
 def _(t):
-    return t.stock.select("product_id", (t.sales.agg(F.max("sale_date").alias("m")).scalar() <= F.col("expiry_date")).alias("ok"))
+    end = F.when(F.col("product_id") % 5 != 0, F.col("expiry_date"))
+    return t.stock.select("product_id", ck.date_range_ok(t.sales.agg(F.max("sale_date").alias("m")).scalar(), end).alias("ok"))
 
 
 @query(
     "val_role_branch",
     """
-WITH u AS (SELECT s_suppkey AS user_id, CASE s_suppkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'analyst' WHEN 2 THEN 'manager' ELSE 'staff' END AS role, CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END AS b FROM supplier)
-SELECT user_id, CASE WHEN role IN ('manager', 'staff') THEN b IS NOT NULL ELSE b IS NULL END AS ok FROM u""",
+WITH u AS (SELECT s_suppkey AS user_id, CASE s_suppkey % 4 WHEN 0 THEN 'super_admin' WHEN 1 THEN 'analyst' WHEN 2 THEN 'manager' ELSE 'staff' END AS role, CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END AS b FROM supplier)
+SELECT user_id, CASE WHEN role IN ('manager', 'staff') THEN coalesce(b, 0) <> 0 ELSE coalesce(b, 0) = 0 END AS ok FROM u""",
 )
 def _(t):
     k = F.col("s_suppkey") % 4
-    role = F.when(k == 0, "admin").when(k == 1, "analyst").when(k == 2, "manager").otherwise("staff")
+    role = F.when(k == 0, "super_admin").when(k == 1, "analyst").when(k == 2, "manager").otherwise("staff")
     branch = F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey"))
-    ok = F.when(role.isin("manager", "staff"), branch.isNotNull()).otherwise(branch.isNull())
-    return t.supplier.select(F.col("s_suppkey").alias("user_id"), ok.alias("ok"))
+    return t.supplier.select(F.col("s_suppkey").alias("user_id"), ck.role_branch_ok(role, branch).alias("ok"))
 
 
 @query(
@@ -200,5 +211,4 @@ def _(t):
     f"WITH {LOOSE_SQL} SELECT count(*) AS rows, count(*) FILTER (trim(price) = '' OR tm IS NULL) AS incomplete, count(*) > 0 AND count(*) FILTER (trim(price) = '' OR tm IS NULL) = 0 AS valid FROM loose",
 )
 def _(t):
-    gap = (F.trim("price") == "") | F.col("tm").isNull()
-    return loose(t).agg(F.count("*").alias("rows"), F.count_if(gap).alias("incomplete"), ((F.count("*") > 0) & (F.count_if(gap) == 0)).alias("valid"))
+    return ck.chart_rows(loose(t), F.col("tm"), F.col("price"))

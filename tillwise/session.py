@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # Times without a zone are read as UTC instants, so that comparisons with
     # timestamps need no cast and reach the Parquet row groups.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # The default form of written times carries no statistics to prune by.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # HotSpot never compiles a method above 8000 bytes; a generated stage that
     # large would run interpreted, the split form Spark falls back to does not.
     "spark.sql.codegen.hugeMethodLimit": "8000",
