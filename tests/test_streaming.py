@@ -71,7 +71,12 @@ def test_dedup_over_files(spark, tmp_path):
     schema = "ingest_id string, created_at timestamp"
     write_files(spark, path, [spark.createDataFrame([(f"a{i % 3}", T0 + dt.timedelta(hours=k))  for i in range(6)], schema) for k in range(3)])
     stream = jobs.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
-    assert sorted(r.ingest_id for r in jobs.drain(jobs.dedup(stream), "d").collect()) == ["a0", "a1", "a2"]
+    out = str(tmp_path / "out")
+    jobs.dedup(stream, out)
+    assert sorted(r.ingest_id for r in spark.read.parquet(out).collect()) == ["a0", "a1", "a2"]
+    # the same files once more, as after a restart: nothing new
+    jobs.dedup(jobs.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=3), out)
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_daily_sales_accumulates_over_batches(spark, tmp_path):

@@ -86,10 +86,11 @@ def analyze(spark: SparkSession, table: str) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, partition: str, rows_per_file: int = 5_000_000) -> None:
     """Rewrite a partitioned table so that a partition holds few files. Rows of
-    a partition are spread over as many writers as its size needs."""
+    a partition are spread over as many writers as its size needs, by a hash of
+    the row, so that a repeated task sends every row to the same place."""
     df = checkpointed(spark.read.parquet(path))
     sizes = df.groupBy(partition).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
-    spread = df.join(sizes, partition).withColumn("_slot", F.floor(F.rand(7) * F.col("_files")))
+    spread = df.join(sizes, partition).withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
     spread.repartition(partition, "_slot").drop("_files", "_slot").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(partition).parquet(path)

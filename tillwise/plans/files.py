@@ -18,7 +18,7 @@ LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
 LINE_SQL = """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
   CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS l_quantity, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS l_extendedprice,
-  l_returnflag || ',"' || l_linestatus || '"' AS l_returnflag, strftime(l_shipdate, '%m/%d/%Y') AS l_shipdate FROM lineitem"""
+  l_returnflag || CASE WHEN l_partkey % 5 = 0 THEN chr(10) ELSE ',"' END || l_linestatus || CASE WHEN l_partkey % 5 = 0 THEN '' ELSE '"' END AS l_returnflag, strftime(l_shipdate, '%m/%d/%Y') AS l_shipdate FROM lineitem"""
 
 
 def line_text(t):
@@ -27,7 +27,9 @@ def line_text(t):
         *[text(c).alias(c) for c in LINE_COLUMNS[:4]],
         money("l_quantity").alias("l_quantity"),
         F.when(F.col("l_partkey") % 7 != 0, money("l_extendedprice")).alias("l_extendedprice"),
-        F.concat("l_returnflag", F.lit(',"'), "l_linestatus", F.lit('"')).alias("l_returnflag"),
+        F.when(F.col("l_partkey") % 5 == 0, F.concat("l_returnflag", F.lit("\n"), "l_linestatus"))  # a line break inside a value
+        .otherwise(F.concat("l_returnflag", F.lit(',"'), "l_linestatus", F.lit('"')))
+        .alias("l_returnflag"),
         F.date_format("l_shipdate", "MM/dd/yyyy").alias("l_shipdate"),
     )
 
@@ -45,8 +47,8 @@ def _(t):
 
 @query("scan_csv_text", LINE_SQL)
 def _(t):
-    lines = files.text_lines(t.spark, line_csv(t)).where(~F.col("value").startswith("l_orderkey")).select("value")
-    return files.from_lines(lines, LINE_COLUMNS)
+    texts = t.spark.read.text(line_csv(t), wholetext=True)
+    return files.from_texts(texts, LINE_COLUMNS)
 
 
 @query(
@@ -66,7 +68,7 @@ def _(t):
 
 @query(
     "csv_row_numbers",
-    "SELECT count(*) AS lines, count(*) AS distinct_positions, count(*)::BIGINT AS numbered FROM lineitem",
+    "SELECT count(*) + count(*) FILTER (l_partkey % 5 = 0) AS lines, count(*) + count(*) FILTER (l_partkey % 5 = 0) AS distinct_positions, count(*) + count(*) FILTER (l_partkey % 5 = 0) AS numbered FROM lineitem",
 )
 def _(t):
     path = scratch_path(t.spark, "csv")

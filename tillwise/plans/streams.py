@@ -68,7 +68,9 @@ def _(t):
 
 @query("stream_ingest_dedup", f"WITH {RAW_SQL} SELECT DISTINCT ingest_id FROM keyed")
 def _(t):
-    return jobs.drain(jobs.dedup(keyed(streams(t)).select("ingest_id", "created_at")), "dedup").select("ingest_id")
+    path = scratch_path(t.spark, "deduplicated")
+    jobs.dedup(keyed(streams(t)).select("ingest_id", "created_at"), path)
+    return t.spark.read.parquet(path).select("ingest_id")
 
 
 @query(

@@ -62,9 +62,24 @@ def rate_sessions(stream: DataFrame, key: str, gap: str, limit: int, delay: str
     )
 
 
-def dedup(stream: DataFrame, key: str = "ingest_id", ts: str = "created_at", delay: str = "40 days") -> DataFrame:
-    """First arrival per id; an id is remembered for ``delay`` of event time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def dedup(stream: DataFrame, path: str, key: str = "ingest_id") -> None:
+    """First arrival per id into a table. Ids are compared with all that the
+    table holds, however old; a repeated batch replaces its own rows only."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh, mode = batch.dropDuplicates([key]), "static"
+        if written(batch.sparkSession, path):
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") != batch_id)
+            fresh, mode = fresh.join(stored.select(key), key, "left_anti"), "dynamic"
+        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("batch_id").parquet(path)
+
+    _each_batch(stream, write, "dedup")
+
+
+def written(spark, path: str) -> bool:
+    """Whether a table has been written here to the end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 LOCK_STATE = "fails int, locked_until double"
@@ -74,9 +89,13 @@ LOCK_OUT = "user_id long, event_id long, outcome string, failures int"
 def lockout(stream: DataFrame, limit: int = 5, minutes: int = 30, delay: str = DELAY) -> DataFrame:
     """Outcome of every login attempt ``(user_id, event_id, ts, ok)``: accepted,
     failed, locked (this failure locks the account) or refused (while locked).
-    The state per user is a counter and the end of the lock."""
+    The state per user is a counter and the end of the lock; it goes when the
+    counter is zero and the lock lies behind the watermark."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         fails, until = state.get if state.exists else (0, 0.0)
         frames = [b for b in batches if len(b)]
         if not frames:
@@ -93,11 +112,16 @@ def lockout(stream: DataFrame, limit: int = 5, minutes: int = 30, delay: str = D
                 if fails >= limit:
                     until, outcome = r.at + minutes * 60, "locked"
             rows.append((key[0], r.event_id, outcome, fails))
-        state.update((fails, until))
+        if fails or until * 1000 > state.getCurrentWatermarkMs():
+            state.update((fails, until))
+            if not fails:
+                state.setTimeoutTimestamp(int(until * 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["user_id", "event_id", "outcome", "failures"])
 
     attempts = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts") / 1e6)
-    return attempts.groupBy("user_id").applyInPandasWithState(step, LOCK_OUT, LOCK_STATE, "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("user_id").applyInPandasWithState(step, LOCK_OUT, LOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -125,10 +149,8 @@ def daily_sales(stream: DataFrame, path: str, keys: list[str], aggregates: dict[
         if batch.isEmpty():
             return
         table = batch.withColumn("updated_at", F.lit(None).cast("timestamp"))
-        try:
-            spark.read.parquet(path)
-        except Exception:  # first batch: the table does not exist yet
-            table.write.partitionBy(partition).parquet(path)
+        if not written(spark, path):  # the first batch, or its repetition
+            table.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
             return
         sinks.upsert_table(spark, path, table.drop("updated_at"), keys, list(aggregates), F.current_timestamp(), partition)
 
@@ -142,8 +164,10 @@ def validate_split(stream: DataFrame, source_name: str, valid_path: str, invalid
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = checks.validate(batch, source_name).withColumn("batch_id", F.lit(batch_id))
         checked.persist()
-        for keep, path in ((F.col("is_valid"), valid_path), (~F.col("is_valid"), invalid_path)):
-            checked.where(keep).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        checked.unpersist()
+        try:
+            for keep, path in ((F.col("is_valid"), valid_path), (~F.col("is_valid"), invalid_path)):
+                checked.where(keep).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        finally:
+            checked.unpersist()
 
     _each_batch(stream, write, "split")
