@@ -145,6 +145,20 @@ def alerts(events: DataFrame) -> DataFrame:
 LIMITS = {"anonymous": (100, 3600), "authenticated": (1000, 3600), "login": (10, 600), "api": (500, 3600), "download": (50, 3600)}
 
 
+def limits(table: dict[str, tuple[int, int]] | None = None) -> tuple[Column, Column]:
+    """Requests allowed to a request and the life of its counters in seconds:
+    by endpoint class, else by whether the user is known."""
+    table = table or LIMITS
+
+    def pick(i: int) -> Column:
+        value = F.when(F.col("user_id").isNotNull(), table["authenticated"][i]).otherwise(table["anonymous"][i])
+        for endpoint in ("login", "api", "download"):
+            value = F.when(F.col("endpoint") == endpoint, table[endpoint][i]).otherwise(value)
+        return value
+
+    return pick(0), pick(1)
+
+
 def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
     """Activity sessions per key, closed after ``gap_seconds`` of silence; gaps
     and session numbers are computed in chunks, so a busy key is split."""

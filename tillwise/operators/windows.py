@@ -83,26 +83,6 @@ def local_peaks(series, keys: list[str], order: str, value: str, height: Column)
     return marked.where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b")) & (F.col(value) >= height)).drop("_a", "_b")
 
 
-def lockout(events, user: str, ts: str, tie: str, success: Column, limit=5) -> DataFrame:
-    """Failures since the last success per user and whether they reach the limit.
-
-    Successes before a row give the island; failures are numbered inside it.
-    Both counts are running sums split into chunks, so a single busy user is
-    spread over many tasks.
-    """
-    marked = events.withColumn("_ok", success)
-    runs = prefix.running(
-        marked, [user], [ts, tie],
-        {"_wins": F.when(F.col("_ok"), 1).otherwise(0).cast("long"),
-         "_fails": F.when(~F.col("_ok"), 1).otherwise(0).cast("long")},
-    )
-    base = runs.groupBy(user, "_wins").agg(F.min("_fails").alias("_start"), F.count_if("_ok").alias("_has"))
-    joined = runs.where(~F.col("_ok")).join(base, [user, "_wins"])
-    # an island opened by a success starts with that row's failure count
-    since = F.col("_fails") - F.when(F.col("_has") > 0, F.col("_start")).otherwise(0)
-    return joined.select(user, tie, ts, since.alias("failures"), (since >= limit).alias("locked"))
-
-
 def period_change(series, keys: list[str], order: str, value: str) -> DataFrame:
     prev = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
     return series.withColumn("previous", prev).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import text
-from tillwise.operators import logs
+from tillwise.operators import folds, logs
 from tillwise.plans.registry import query
 
 KEY = b"audit-integrity-key"
@@ -93,8 +93,55 @@ SESSION_SQL = """s AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS
 n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s), sessions AS (SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS requests FROM n GROUP BY user_id, session)"""
 
 
+# Requests and seconds for the generated events, which are sparse: (endpoint class or None, user known) → limit.
+SPARSE_LIMITS = {"login": (3, 86400), "api": (6, 86400), "download": (4, 86400), "authenticated": (8, 86400), "anonymous": (5, 43200)}
+
+
+def _counter_sql(name: str, source: str, keys: list[str], asked: str) -> str:
+    """One counter over the requests that are still open."""
+    part, same = ", ".join(keys), " AND ".join(f"a.{k} = s.{k}" for k in keys)
+    cols = "event_id, ts, ip, user_id, endpoint, us, most, hold"
+    return f"""
+{name}_a AS (SELECT {cols}, row_number() OVER (PARTITION BY {part} ORDER BY ts, event_id) AS rn FROM {source} WHERE refused_by IS NULL AND {asked}),
+{name}_s AS (
+  SELECT {cols}, rn, CAST(1 AS BIGINT) AS c, us + hold AS expires, false AS no FROM {name}_a WHERE rn = 1
+  UNION ALL
+  SELECT a.event_id, a.ts, a.ip, a.user_id, a.endpoint, a.us, a.most, a.hold, a.rn,
+    CASE WHEN a.us >= s.expires THEN 1 WHEN s.c >= a.most THEN s.c ELSE s.c + 1 END,
+    CASE WHEN a.us < s.expires AND s.c >= a.most THEN s.expires ELSE a.us + a.hold END,
+    a.us < s.expires AND s.c >= a.most
+  FROM {name}_s s JOIN {name}_a a ON {same} AND a.rn = s.rn + 1),
+{name} AS (SELECT {cols}, CASE WHEN no THEN '{name}' END AS refused_by FROM {name}_s UNION ALL SELECT {cols}, refused_by FROM {source} WHERE NOT (refused_by IS NULL AND {asked}))"""
+
+
+_LIMIT_SQL = "CASE WHEN endpoint IS NOT NULL THEN CASE endpoint " + " ".join(f"WHEN '{k}' THEN {{{i}}}".replace("{" + str(i) + "}", "{" + k + "}") for i, k in enumerate(("login", "api", "download"))) + " END WHEN user_id IS NOT NULL THEN {authenticated} ELSE {anonymous} END"
+
+
 @query(
     "sec_rate_limit",
+    f"""
+WITH RECURSIVE r AS (
+  SELECT event_id, ts, '10.0.' || CAST(user_id % 40 AS VARCHAR) AS ip, CASE WHEN user_id % 4 <> 0 THEN user_id END AS user_id,
+    CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'api' WHEN 'click' THEN 'download' END AS endpoint, epoch_us(ts) AS us FROM events),
+q AS (SELECT *, {_LIMIT_SQL.format(**{k: v[0] for k, v in SPARSE_LIMITS.items()})} AS most, CAST({_LIMIT_SQL.format(**{k: v[1] for k, v in SPARSE_LIMITS.items()})} AS BIGINT) * 1000000 AS hold, CAST(NULL AS VARCHAR) AS refused_by FROM r),
+{_counter_sql("ip", "q", ["ip"], "true")},
+{_counter_sql("user", "ip", ["user_id"], "user_id IS NOT NULL").replace("user_a", "usr_a").replace("user_s", "usr_s").replace("user AS", "usr AS")},
+{_counter_sql("endpoint", "usr", ["endpoint", "ip"], "endpoint IS NOT NULL").replace("endpoint_a", "end_a").replace("endpoint_s", "end_s").replace("endpoint AS (", "ended AS (")}
+SELECT event_id, refused_by FROM ended""",
+)
+def _(t):
+    requests = t.events.select(
+        "event_id",
+        "ts",
+        F.concat(F.lit("10.0."), text(F.col("user_id") % 40)).alias("ip"),
+        F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "view", "api").when(F.col("event_type") == "click", "download").alias("endpoint"),
+    )
+    return folds.rate_limit(requests, "ts", "event_id", *logs.limits(SPARSE_LIMITS)).select("event_id", "refused_by")
+
+
+@query(
+    "sec_sessions",
     f"WITH {SESSION_SQL.format(gap='12 HOURS', table='events')} SELECT user_id, CAST(started AS VARCHAR) AS started, CAST(ended AS VARCHAR) AS ended, requests FROM sessions WHERE requests > 10",
 )
 def _(t):

@@ -13,6 +13,7 @@ from tillwise.plans.ingestion import RAW_SQL, keyed
 from tillwise.plans.registry import query
 from tillwise.plans.security import SESSION_SQL
 from tillwise.plans.standins import Tables
+from tillwise.plans.windows import lockout_sql
 from tillwise.plans.validation import POS_SQL, pos_records
 from tillwise.session import scratch_path
 from tillwise.streaming import jobs
@@ -89,7 +90,7 @@ def _(t):
     return t.spark.read.parquet(path).select("sale_date", "o_orderstatus", "total_sales", "transaction_count")
 
 
-@query("stream_lockout")
+@query("stream_lockout", lockout_sql("events").format(limit=5, minutes=30))
 def _(t):
     attempts = streams(t).events.where(F.col("event_type").isin("error", "purchase")).select(
         "user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("ok")

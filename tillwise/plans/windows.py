@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import dbl, ratio, text
-from tillwise.operators import windows
+from tillwise.operators import folds, windows
 from tillwise.plans.registry import query
 
 
@@ -135,18 +135,26 @@ def _(t):
     return top.select("rule_id", "run_id", "violations_count", "rn")
 
 
-@query(
-    "win_lockout",
-    """
-WITH e AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')),
-i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
-n AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS f FROM i)
-SELECT user_id, event_id, CAST(ts AS VARCHAR) AS ts, CAST(f AS BIGINT) AS failures, f >= 5 AS locked FROM n WHERE NOT ok""",
-)
+def lockout_sql(source: str) -> str:
+    """Outcomes of login attempts (user_id, event_id, at, ok), row after row."""
+    return f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {source} WHERE event_type IN ('error', 'purchase')),
+s AS (
+  SELECT user_id, event_id, rn, CASE WHEN ok THEN 'accepted' ELSE 'failed' END AS outcome, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CAST(0 AS BIGINT) AS until FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.user_id, a.event_id, a.rn,
+    CASE WHEN us < until THEN 'refused' WHEN ok THEN 'accepted' WHEN failures + 1 >= {{limit}} THEN 'locked' ELSE 'failed' END,
+    CASE WHEN us < until THEN failures WHEN ok THEN 0 ELSE failures + 1 END,
+    CASE WHEN us >= until AND NOT ok AND failures + 1 >= {{limit}} THEN us + CAST({{minutes}} AS BIGINT) * 60000000 ELSE until END
+  FROM s JOIN a ON a.user_id = s.user_id AND a.rn = s.rn + 1)
+SELECT user_id, event_id, outcome, CAST(failures AS INTEGER) AS failures FROM s"""
+
+
+@query("win_lockout", lockout_sql("events").format(limit=3, minutes=2880))
 def _(t):
+    # the generated events are sparse, so an account is locked sooner and longer here
     e = t.events.where(F.col("event_type").isin("error", "purchase"))
-    out = windows.lockout(e, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
-    return out.withColumn("ts", text("ts"))
+    return folds.lockout(e, "user_id", "ts", "event_id", F.col("event_type") == "purchase", limit=3, minutes=2880).drop("ts")
 
 
 @query(
