@@ -6,6 +6,8 @@ reach the Parquet scan wherever the column is stored.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +105,13 @@ def in_period(day: str | Column, period: str, as_of: Column) -> Column:
 def log_time_range(ts: str | Column, spec: str) -> Column:
     """``a,b`` dates: later than a and before the end of b; anything that is
     not two dates, and rows without a time, stay."""
-    parts = [F.try_to_timestamp(F.lit(p.strip()), F.lit("yyyy-MM-dd")) for p in spec.split(",")]
-    if len(parts) != 2:
+    try:
+        a, b = (datetime.strptime(p.strip(), "%Y-%m-%d").date() for p in spec.split(","))
+    except ValueError:
         return F.lit(True)
-    a, b = parts
     t = col(ts)
-    return F.coalesce((t > a) & (t < b + F.expr("INTERVAL 1 DAY")), F.lit(True))
+    # written without a coalesce, so that it reaches the file statistics
+    return t.isNull() | ((t > F.lit(a).cast("timestamp")) & (t < F.lit(b + timedelta(days=1)).cast("timestamp")))
 
 
 def newest(df: DataFrame, ts: str, tie: str, limit: int = 100) -> DataFrame:

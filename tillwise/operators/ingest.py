@@ -48,6 +48,12 @@ def batches(df: DataFrame, order: list[str], size: int = 1000, job: str = "job",
     ).drop("_rn")
 
 
+def state(is_valid: Column) -> Column:
+    """Where a record goes; a job that writes both sides partitions by it and
+    checks its input once."""
+    return F.when(is_valid, "valid").otherwise("invalid")
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows and the quarantine with its error list."""
     return checked.where("is_valid"), checked.where(~F.col("is_valid"))

@@ -20,11 +20,11 @@ def lookup(fact, dim, fact_key: str, dim_key: str, columns: dict[str, str], requ
     return fact.join(d, F.col(fact_key) == F.col("_key"), "inner" if required else "left").drop("_key")
 
 
-def surrogate_keys(fact, dims: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """Resolve natural keys through the dimensions; rows with an unresolved
-    required key go to the second result.
+def resolve_keys(fact, dims: list[dict], flag: str = "quarantined") -> DataFrame:
+    """Resolve natural keys through the dimensions; ``flag`` marks rows with an
+    unresolved required key.
 
-    ``dims``: dicts with table, natural, fact_key, surrogate, required.
+    ``dims``: dicts with table, natural, fact_key, surrogate, as, required.
     """
     df = fact
     bad = F.lit(False)
@@ -33,15 +33,16 @@ def surrogate_keys(fact, dims: list[dict]) -> tuple[DataFrame, DataFrame]:
         df = df.join(side, F.col(d["fact_key"]) == F.col("_nk"), "left").drop("_nk")
         if d.get("required", True):
             bad = bad | F.col(d["as"]).isNull()
-    return df.where(~bad), df.where(bad)
+    return df.withColumn(flag, bad)
 
 
 def counts_by_parent(parents, key: str, children: dict[str, tuple[DataFrame, list[Column]]]) -> DataFrame:
-    """Aggregate every child table by the parent key before joining it."""
+    """Aggregate every child table by the parent key before joining it; parents
+    without children get zeros, their own columns stay as they are."""
     out = parents
     for df, aggregates in children.values():
         out = out.join(df.groupBy(key).agg(*aggregates), key, "left")
-    return out.na.fill(0)
+    return out.na.fill(0, [c for c in out.columns if c not in parents.columns])
 
 
 def new_only(incoming, existing, keys: list[str]) -> DataFrame:

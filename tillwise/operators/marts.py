@@ -333,7 +333,7 @@ def branch_performance(branches, sales, shifts, stock, start, end) -> DataFrame:
         dbl(F.sum(F.col("stock_quantity") * F.col("unit_cost"))).alias("stock_value"),
     )
     joined = branches.join(s, "branch_id", "left").join(p, "branch_id", "left").join(i, "branch_id", "left")
-    return joined.na.fill(0)
+    return joined.na.fill(0, [c for c in joined.columns if c not in branches.columns])
 
 
 def daily_summary(sales, day: Column) -> DataFrame:

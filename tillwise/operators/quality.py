@@ -154,7 +154,7 @@ def payload_drift(df: DataFrame, json_column: str, baseline: dict[str, str]) ->
     fields = df.select(F.explode(parsed).alias("field", "v")).groupBy("field", kind(F.col("v")).alias("type")).agg(F.count("*").alias("rows"))
     spark: SparkSession = df.sparkSession
     known = spark.createDataFrame(list(baseline.items()), T.StructType([T.StructField("field", T.StringType()), T.StructField("expected", T.StringType())]))
-    j = fields.join(F.broadcast(known), "field", "full_outer")
+    j = fields.join(known, "field", "full_outer")
     change = F.when(F.col("expected").isNull(), "added").when(F.col("type").isNull(), "removed").when(F.col("type") != F.col("expected"), "retyped")
     return j.withColumn("change", change).where(F.col("change").isNotNull()).select("field", "type", "expected", "change", F.coalesce("rows", F.lit(0)).alias("rows"))
 
@@ -185,6 +185,7 @@ def custom_query(spark: SparkSession, tables: dict[str, DataFrame], sql: str) ->
 def suggest(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     """Suggested rules: general ones, ones known from the table's name, and
     ones the data keeps today (no nulls, no negatives), from one profile."""
+    # Names, thresholds and severities of the suggested rules.
     fixed = [(f"{table}_row_count_check", "row_count", None, 1.0, "CRITICAL"), (f"{table}_primary_key_uniqueness", "uniqueness", key, 0.0, "CRITICAL")]
     if "sales" in table.lower():
         fixed += [

@@ -37,6 +37,14 @@ def bucket_agg(df: DataFrame, ts: str, value: str, order: Column, interval: str,
     )
 
 
+def bucket_aggs(df: DataFrame, ts: str, value: str, order: Column, intervals, how=("sum", "count"), keys=()) -> DataFrame:
+    """``bucket_agg`` at several intervals (column ``step``) in one pass."""
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), bucket_of(ts, i).alias("bucket")) for i in intervals]))
+    return df.withColumn("_place", places).groupBy("_place.step", *keys, "_place.bucket").agg(
+        *[AGGREGATES[h](F.col(value), order).alias(h) for h in how], F.count("*").alias("n")
+    )
+
+
 def fill_gaps(series: DataFrame, axis: DataFrame, keys: DataFrame, on: str, fills: dict[str, float]) -> DataFrame:
     """Every axis point for every key. Keys and axis are both short (labels and
     calendar steps); the axis is exploded from an array, not cross joined."""

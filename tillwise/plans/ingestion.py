@@ -55,13 +55,10 @@ def _(t):
     f"WITH {POS_SQL} SELECT k, n, CASE WHEN len(e) = 0 THEN 'valid' ELSE 'invalid' END AS state, len(e) AS error_count, array_to_string(e, ',') AS error_list FROM errs",
 )
 def _(t):
-    good, bad = ingest.split(checks.validate(pos_records(t), "pos"))
-    listed = F.array_join("error_keys", ",")
-
-    def shown(df, state):
-        return df.select("k", "n", F.lit(state).alias("state"), F.size("error_keys").cast("long").alias("error_count"), listed.alias("error_list"))
-
-    return shown(good, "valid").unionByName(shown(bad, "invalid"))
+    checked = checks.validate(pos_records(t), "pos")
+    return checked.select(
+        "k", "n", ingest.state(F.col("is_valid")).alias("state"), F.size("error_keys").cast("long").alias("error_count"), F.array_join("error_keys", ",").alias("error_list")
+    )
 
 
 @query(

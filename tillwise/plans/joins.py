@@ -35,14 +35,13 @@ def _(t):
     products = t.stock.where("is_active").withColumn("sk", F.concat(F.lit("P"), text("product_id")))
     staff = t.supplier.where("s_acctbal > 0").withColumn("sk", F.concat(F.lit("S"), text("s_suppkey")))
     facts = t.sale_items.withColumn("date_key", F.date_format("ship_date", "yyyyMMdd").cast("int"))
-    good, bad = joins.surrogate_keys(
+    both = joins.resolve_keys(
         facts,
         [
             {"table": products, "natural": "product_id", "fact_key": "product_id", "surrogate": "sk", "as": "product_key"},
             {"table": staff, "natural": "s_suppkey", "fact_key": "staff_id", "surrogate": "sk", "as": "staff_key", "required": False},
         ],
     )
-    both = good.withColumn("quarantined", F.lit(False)).unionByName(bad.withColumn("quarantined", F.lit(True)))
     return both.groupBy("sale_id", "line_number", "date_key", "product_key", "staff_key", "quarantined").agg(F.count("*").alias("n"))
 
 

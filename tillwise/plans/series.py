@@ -22,12 +22,8 @@ SELECT step, event_type, CAST(b AS VARCHAR) AS bucket, CAST(sum(v) AS DOUBLE) AS
 )
 def _(t):
     e = t.events.select("event_type", "event_id", "ts", F.col("value").cast(MONEY).alias("v"))
-    out = None
-    for step in ("hour", "week", "month"):
-        b = series.bucket_agg(e, "ts", "v", F.struct("ts", "event_id"), step, ("sum", "avg", "max", "min", "count", "first"), ["event_type"])
-        b = b.select(F.lit(step).alias("step"), "event_type", text("bucket").alias("bucket"), "sum", "avg", "max", "min", "count", "first", "n")
-        out = b if out is None else out.unionByName(b)
-    return out
+    out = series.bucket_aggs(e, "ts", "v", F.struct("ts", "event_id"), ("hour", "week", "month"), ("sum", "avg", "max", "min", "count", "first"), ["event_type"])
+    return out.withColumn("bucket", text("bucket"))
 
 
 @query("ts_downsample_lttb")
