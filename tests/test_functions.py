@@ -229,3 +229,20 @@ def test_jvm_and_python_detectors_agree(spark, sf):
         for i, t in enumerate(texts):
             want = sorted(m.group() for p in patterns for m in re.finditer(p, t) if ok(m.group()) >= 0.7)
             assert got[i] == want
+
+
+def test_hash_redaction_by_distinct_values_equals_the_plain_form(spark):
+    from tillwise.functions import pii
+
+    texts = [(1, "é ann@mail.example.org and bob@mail.example.org, ann@mail.example.org"), (2, "nothing"), (3, None), (4, ""), (5, "10.1.2.3")]
+    df = spark.createDataFrame(texts, "id int, body string")
+    plain = {r.id: r.body for r in df.select("id", pii.redact(F.col("body"), "HASH", salt=b"s").alias("body")).collect()}
+    assert {r.id: r.body for r in pii.redact_hashed(df, "id", "body", b"s").collect()} == plain
+
+
+def test_partial_masks():
+    from tillwise.functions.pii import partial_mask
+
+    assert [partial_mask(v, k) for v, k in (("ann@x.org", "email"), ("a@x", "email"), ("+1 212 555 0123", "phone"), ("12", "phone"), ("4111 1111 1111 1111", "credit_card"), ("078-05-1120", "ssn"), ("078051120", "ssn"), ("10.0.0.1", "ip_address"), ("abc", "name"))] == [
+        "an***@x.org", "a***@x", "***-***-0123", "**", "****-****-****-1111", "***-**-1120", "*****1120", "10****.1", "***",
+    ]
