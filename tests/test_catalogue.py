@@ -42,10 +42,11 @@ def test_catalogue_loads_without_a_session():
     import subprocess
     import sys
 
-    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    code = "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
-    n, m = map(int, done.stdout.split())
-    assert n == len(QUERIES) and m == len(SQL)
+    names, texts = (set(line.split()) for line in done.stdout.splitlines())
+    # further queries come from parts that can be left out
+    assert set(QUERIES) <= names and set(SQL) <= texts <= names
 
 
 def test_as_of_filters_prune_files(spark, tmp_path):
@@ -62,7 +63,6 @@ def test_as_of_filters_prune_files(spark, tmp_path):
     df = spark.read.parquet(path)
     as_of = marts.max_of(df, "ts")
     for recent in (df.where(F.col("ts") >= as_of - F.expr("INTERVAL 2 DAYS")), df.where(F.to_date("ts") >= F.date_sub(as_of, 2))):
-        plan = recent.select("id")._jdf.queryExecution()
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         try:
             frame = recent.select("id")
