@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tillwise.functions import checks  # noqa: E402
-from tillwise.operators import ingest, marts, quality  # noqa: E402
+from tillwise.operators import anomaly, ingest, marts, quality  # noqa: E402
 from tillwise.plans import registry  # noqa: E402
 from tillwise.plans.ingestion import keyed  # noqa: E402
 from tillwise.plans.quality import RULES, dq  # noqa: E402
@@ -54,6 +54,14 @@ def twenty_rules(t):
     return quality.run_rules(dq(t), RULES + more, marts.max_of(t.lineitem, "l_shipdate"))
 
 
+def ten_thousand_points(t):
+    """A history of 10,000 runs of one rule, the size the baseline's limits are stated for."""
+    return t.events.where("event_id < 10000").select(
+        F.lit("one").alias("rule_id"), F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("finished_at"),
+        F.col("value").cast("long").alias("violations_count"), F.lit(500).cast("long").alias("rows_scanned"), F.col("value").alias("duration_seconds"),
+    )
+
+
 def main() -> None:
     spark = local_session(CPUS, partitions=int(CPUS), app="bench")
     t = Tables(spark, SF_DIR)
@@ -61,6 +69,10 @@ def main() -> None:
     jobs = {name: (lambda n=name: catalogue[n](spark, SF_DIR)) for name in HEADLINE}
     jobs["ingest_to_mart"] = lambda: ingest_to_mart(t)
     jobs["dq_twenty_rules"] = lambda: twenty_rules(t)
+    points = ten_thousand_points(t)
+    jobs["anom_zscore_10k"] = lambda: anomaly.zscore(points)
+    jobs["anom_iqr_10k"] = lambda: anomaly.iqr(points)
+    jobs["anom_isolation_forest_10k"] = lambda: anomaly.isolation_forest(points)
     times = {}
     for name, make in jobs.items():
         best = None
