@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tillwise.functions.columns import any_of
 from tillwise.functions.times import java_pattern, parse, standardize
 
 TRUE_WORDS = ("true", "1", "yes", "y", "on")
@@ -370,19 +372,33 @@ def changes_summary(changes: Column, action: Column) -> Column:
 SECRET_WORDS = ("password", "token", "secret", "key", "authorization")
 
 
-def sanitize_map(m: Column, longest: int = 500) -> Column:
-    """Hide values of secret keys, cut long text."""
-    def one(k, v):
-        secret = F.lit(False)
-        for w in SECRET_WORDS:
-            secret = secret | F.lower(k).contains(w)
-        return F.when(secret, F.lit("[REDACTED]")).otherwise(F.left(v, F.lit(longest)))
-
-    return F.transform_values(m, one)
-
-
-def sanitize_list(a: Column, most: int = 10) -> Column:
-    return F.slice(a, 1, most)
+def _secret(name: str | Column) -> bool | Column:
+    if isinstance(name, str):
+        return any(w in name.lower() for w in SECRET_WORDS)
+    return any_of([F.lower(name).contains(w) for w in SECRET_WORDS])
+
+
+def sanitize_headers(m: Column, longest: int = 200) -> Column:
+    """Header values as short text, those of secret names hidden."""
+    return F.transform_values(m, lambda k, v: F.when(_secret(k), F.lit("[REDACTED]")).otherwise(F.left(v.cast("string"), F.lit(longest))))
+
+
+def sanitize(c: Column, kind: T.DataType, longest: int = 500, most: int = 10) -> Column:
+    """A value of any nesting with secret fields hidden, text cut to ``longest``
+    characters and lists to ``most`` items, at every depth."""
+    if isinstance(kind, T.StringType):
+        return F.left(c, F.lit(longest))
+    if isinstance(kind, T.StructType):
+        inner = [(F.lit("[REDACTED]") if _secret(f.name) else sanitize(c.getField(f.name), f.dataType, longest, most)).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.slice(c, 1, most), lambda x: sanitize(x, kind.elementType, longest, most))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        if isinstance(kind.valueType, T.StringType):
+            return F.transform_values(c, lambda k, v: F.when(_secret(k), F.lit("[REDACTED]")).otherwise(F.left(v, F.lit(longest))))
+        # values of another type cannot hold the mark, so secret ones become null
+        return F.transform_values(c, lambda k, v: F.when(~_secret(k), sanitize(v, kind.valueType, longest, most)))
+    return c
 
 
 def stable_suffix(*parts: Column, digits: int = 10) -> Column:

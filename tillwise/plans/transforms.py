@@ -200,12 +200,34 @@ def _(t):
 
 @query(
     "json_sanitize",
-    "SELECT doc_id, left(text, 500) AS body, '[REDACTED]' AS hidden, source AS origin FROM documents",
+    """
+SELECT doc_id, left(text, 500) AS body, '[REDACTED]' AS hidden, left(source, 500) AS origin, least(len(string_split(text, ' ')), 10) AS kept, left(string_split(text, ' ')[1], 500) AS first_note,
+  '[REDACTED]' AS first_key, left(text, 200) AS agent, '[REDACTED]' AS cookie, n_chars FROM documents""",
 )
 def _(t):
-    m = F.create_map(F.lit("body"), "text", F.lit("Api_Token"), "lang", F.lit("origin"), "source")
-    s = t.documents.select("doc_id", tr.sanitize_map(m).alias("m"))
-    return s.select("doc_id", F.col("m")["body"].alias("body"), F.col("m")["Api_Token"].alias("hidden"), F.col("m")["origin"].alias("origin"))
+    words = F.split("text", " ")
+    request = F.struct(
+        F.col("text").alias("body"),
+        F.create_map(F.lit("Api_Token"), "lang", F.lit("origin"), "source").alias("extra"),
+        F.transform(words, lambda w: F.struct(w.alias("note"), F.lit(7).alias("secret_key"))).alias("parts"),
+        F.col("n_chars").alias("size"),
+    )
+    headers = F.create_map(F.lit("User-Agent"), "text", F.lit("X-Auth-Token"), "lang")
+    df = t.documents.select("doc_id", request.alias("r"), headers.alias("h"))
+    s = df.select("doc_id", tr.sanitize(F.col("r"), df.schema["r"].dataType).alias("r"), tr.sanitize_headers(F.col("h")).alias("h"))
+    first = F.get("r.parts", F.lit(0))
+    return s.select(
+        "doc_id",
+        "r.body",
+        F.col("r.extra")["Api_Token"].alias("hidden"),
+        F.col("r.extra")["origin"].alias("origin"),
+        F.size("r.parts").cast("bigint").alias("kept"),
+        first["note"].alias("first_note"),
+        first["secret_key"].alias("first_key"),
+        F.col("h")["User-Agent"].alias("agent"),
+        F.col("h")["X-Auth-Token"].alias("cookie"),
+        F.col("r.size").alias("n_chars"),
+    )
 
 
 @query("location_display", "SELECT n_nationkey, n_name || ', ' || r_name AS location FROM nation JOIN region ON n_regionkey = r_regionkey")
