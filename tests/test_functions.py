@@ -246,3 +246,10 @@ def test_partial_masks():
     assert [partial_mask(v, k) for v, k in (("ann@x.org", "email"), ("a@x", "email"), ("+1 212 555 0123", "phone"), ("12", "phone"), ("4111 1111 1111 1111", "credit_card"), ("078-05-1120", "ssn"), ("078051120", "ssn"), ("10.0.0.1", "ip_address"), ("abc", "name"))] == [
         "an***@x.org", "a***@x", "***-***-0123", "**", "****-****-****-1111", "***-**-1120", "*****1120", "10****.1", "***",
     ]
+
+
+def test_data_map_of_nothing_still_states_the_fields(spark):
+    from tillwise.functions import pii
+
+    none = spark.createDataFrame([], "path string, pii_level string, categories string, types string")
+    assert sorted((r.section, r.n) for r in pii.data_map(none, F.lit(12)).collect()) == [("pii_fields", 0), ("total_fields", 12)]
