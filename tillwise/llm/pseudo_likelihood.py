@@ -189,6 +189,22 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.select(text_column).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, number: int) -> list[int]:
+    """Hashes of the most frequent words, ties by hash.
+
+    A histogram of counts (four bins per doubling) first tells from which bin on
+    words can be among them, so tasks do not each send their own top list."""
+    bin_ = F.floor(F.log2("n") * 4)
+    sizes = sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("c")).collect(), reverse=True)
+    total, least = 0, 0
+    for r in sizes:
+        total, least = total + r["c"], r["bin"]
+        if total >= number:
+            break
+    top = counts.where(bin_ >= least).orderBy(F.desc("n"), "hash").limit(number)
+    return [r["hash"] for r in top.collect()]
+
+
 def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFrame:
     """Blocks of every task's network after its texts: block, salt, seen, values."""
     p = model.params
@@ -246,8 +262,10 @@ def _averaged(rows: DataFrame, keys: list[str]) -> DataFrame:
 def train(docs: DataFrame, text_column: str = "text", params: Params | None = None) -> Model:
     p = params or Params()
     spark = docs.sparkSession
-    top = count_words(docs, text_column).orderBy(F.desc("n"), "hash").limit(p.frequent).collect()
-    model = Model(Vocabulary(np.array([r["hash"] for r in top], np.int64).view(np.uint64), p), initial(p), p)
+    path = scratch_path(spark, "words")
+    count_words(docs, text_column).write.parquet(path)
+    top = frequent_words(spark.read.parquet(path), p.frequent)
+    model = Model(Vocabulary(np.array(top, np.int64).view(np.uint64), p), initial(p), p)
     for turn in range(p.rounds):
         path = scratch_path(spark, "networks")
         _averaged(_round(docs, text_column, model, turn), ["block", "salt"]).write.parquet(path)
