@@ -33,7 +33,8 @@ from tillwise.llm import text as tx
 
 LONG = 256
 NONE = np.int64(1) << 40
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
+SLICE_BYTES = 1_000_000
 
 
 class Vocabulary:
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def run(batches):
         for batch in batches:
-            for rows, data, offsets in tx.slices(batch, text_column):
+            for rows, data, offsets in tx.slices(batch, text_column, SLICE_BYTES):
                 ids, first = vocabulary(path).encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column(id_column), lists], names=[id_column, "ids"])
@@ -238,8 +239,9 @@ def decode(encoded: DataFrame, ids_column: str = "ids", path: str | None = None)
     def run(batches):
         for batch in batches:
             tokens = vocabulary(path)
-            column = batch.column(ids_column)
-            out = [tokens.decode(x.values.to_pylist() if x.is_valid else []) for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+            for low in range(0, batch.num_rows, 500):
+                rows = batch.slice(low, 500)
+                out = [tokens.decode(x.values.to_pylist() if x.is_valid else []) for x in rows.column(ids_column)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=[*rows.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, schema)
