@@ -364,3 +364,12 @@ def test_pseudo_likelihood_learns_and_equals_a_plain_sum(spark, sf, docs, nothin
                 plain += logits[at] - np.log(np.exp(logits).sum())
         assert abs(plain - r.log_likelihood) < 1e-3 * max(1, abs(plain))
     assert pseudo_likelihood.score(nothing, pseudo_likelihood.train(nothing, params=p)).count() == 0
+
+
+def test_rounds_of_the_query_train_on_every_position_once():
+    p = pseudo_likelihood.Params()
+    texts = [" ".join(f"w{k}x{j}" for j in range(k)) for k in range(40)]
+    for _, data, offsets in tx.slices(pa.record_batch([pa.array(texts)], names=["text"]), "text"):
+        words = pseudo_likelihood.word_hashes(data, offsets)
+        seen = np.concatenate([pseudo_likelihood.targets(words, turn, p) for turn in range(p.rounds)])
+        assert sorted(seen.tolist()) == list(range(len(words.hash)))

@@ -9,8 +9,9 @@ within it. A text's score is the sum of the logarithms of these probabilities.
 
 Training runs on all documents. Word counts of the whole corpus decide the
 vocabulary. In each of ``rounds`` rounds every task descends from the current
-network over its own texts, at every ``every``-th position of each (another
-residue per round), and sends its network, in blocks, with the number of
+network over its own texts, at the positions of the round's residues modulo
+``every`` (the rounds share out all residues, so each position of each text is a
+target in exactly one round), and sends its network, in blocks, with the number of
 positions it saw. Blocks are averaged in two steps (salted, then whole), so a
 block is never one task's load, and what is gathered grows with the input. Only
 the averaged network (fixed size, under 1 MB) and the vocabulary (``frequent``
@@ -44,7 +45,7 @@ class Params:
     width: int = 16  # of an embedding
     hidden: int = 32
     rounds: int = 2
-    every: int = 16
+    every: int = 2  # residues of positions that the rounds share out
     batch: int = 4_096
     rate: float = 0.1
     blocks: int = 32
@@ -205,6 +206,15 @@ def frequent_words(counts: DataFrame, number: int) -> list[int]:
     return [r["hash"] for r in top.collect()]
 
 
+def targets(words: tx.Words, turn: int, p: Params) -> np.ndarray:
+    """Positions that a round trains on; those of all rounds are all positions, each once."""
+    place = np.arange(len(words.hash)) - words.first[words.doc]
+    # Texts begin at different residues, so short ones do not all meet in one round.
+    shift = (words.hash[words.first[words.doc]] % np.uint64(p.every)).astype(np.int64)
+    residue = (place + shift) % p.every
+    return np.flatnonzero((residue >= turn * p.every // p.rounds) & (residue < (turn + 1) * p.every // p.rounds))
+
+
 def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFrame:
     """Blocks of every task's network after its texts: block, salt, seen, values."""
     p = model.params
@@ -220,12 +230,7 @@ def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFr
                 if not len(words.hash):
                     continue
                 ids = model.vocabulary.ids(words.hash)
-                place = np.arange(len(ids)) - words.first[words.doc]
-                # Every text gives positions, the shortest in one of the rounds.
-                residue = (turn * p.every) // p.rounds
-                shift = (words.hash[words.first[words.doc]] % np.uint64(p.every)).astype(np.int64)
-                chosen = np.flatnonzero((place + shift) % p.every == residue)
-                chosen = np.random.default_rng(turn).permutation(chosen)
+                chosen = np.random.default_rng(turn).permutation(targets(words, turn, p))
                 for low in range(0, len(chosen), p.batch):
                     at = chosen[low : low + p.batch]
                     descend(net, squares, ids[at], neighbours(ids, words.first, words.doc, at, p), p)
