@@ -4,8 +4,8 @@ Words of each line are tagged outside, begin or inside by Viterbi decoding.
 Features of a word: length, character classes, digits and changes between
 letters and digits, its first letters, the words before it, the shape of the
 next one, and how much of the text looks like a file of settings. Spans of
-fixed forms (``base_spans``) are always reported; tagged spans that touch none
-of them are added as kind ``crf``.
+fixed forms (``base_spans``) are always reported; tagged spans that go beyond
+any one of them are added as kind ``crf``, overlapping ones too.
 
 The field is fitted on about ``fit_words`` words of each of at most
 ``sample_rows`` documents (smallest hash of the id): around the first base span
@@ -53,7 +53,6 @@ class Params:
     plain_rows: int = 500  # of these without a base span
     fit_words: int = 120  # words of a document that the fitting reads
     epochs: int = 40
-    least_length: int = 12  # of a tagged span's longest word
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -130,7 +129,7 @@ def line_borders(words: tx.Words, lines: Lines) -> np.ndarray:
     return np.concatenate([lines.word, [len(words.start)]])
 
 
-def tagged_spans(words: tx.Words, tags: np.ndarray, p: Params) -> list[tuple[int, int, int]]:
+def tagged_spans(words: tx.Words, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """Text, first and last byte (exclusive) of the tagged spans, without
     surrounding quotes and marks."""
     out = []
@@ -138,8 +137,6 @@ def tagged_spans(words: tx.Words, tags: np.ndarray, p: Params) -> list[tuple[int
         stop = k + 1
         while stop < len(tags) and tags[stop] == INSIDE and words.doc[stop] == words.doc[k]:
             stop += 1
-        if int((words.end[k:stop] - words.start[k:stop]).max()) < p.least_length:
-            continue
         raw = words.data[words.start[k] : words.end[stop - 1]].tobytes()
         left = len(raw) - len(raw.lstrip(b"\"'(<[{,;"))
         right = len(raw.rstrip(b"\"')>]},;.:"))
@@ -157,13 +154,13 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, chain: crf.Chain, p: Param
         return found
     lines = Lines(words)
     tags = chain.decode(chain.emissions(word_slots(words, lines)), line_borders(words, lines))
-    spans = tagged_spans(words, tags, p)
+    spans = tagged_spans(words, tags)
     if spans:
         points = np.zeros(len(data) + 1, np.int64)
         np.cumsum(LEAD[data], out=points[1:])
         for doc, a, b in spans:
             low, high = int(points[a] - points[offsets[doc]]), int(points[b] - points[offsets[doc]])
-            if not any(low < e and s < high for s, e, kind in found[doc] if kind != "crf"):
+            if not any(s <= low and high <= e for s, e, kind in found[doc] if kind != "crf"):
                 found[doc].append((low, high, "crf"))
     order = {k: i for i, k in enumerate(KINDS)}
     return [sorted(f, key=lambda x: (x[0], order[x[2]])) for f in found]
@@ -173,7 +170,7 @@ def _credential(r: random.Random) -> tuple[list[str], int]:
     """Words of a generated credential and how many of them lead up to it."""
     letters, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     make = lambda alphabet, a, b: "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
-    form = r.randrange(7)
+    form = r.randrange(10)  # short ones take what is left
     if form == 0:
         return ["Bearer", make(letters + "-_", 24, 60)], 1
     if form == 1:
@@ -186,7 +183,10 @@ def _credential(r: random.Random) -> tuple[list[str], int]:
         return [make(letters + "+/", 32, 60) + r.choice(["", "=", "=="])], 0
     if form == 5:
         return [r.choice(["pwd", "auth", "credential"]) + r.choice(["=", ":"]) + make(letters, 12, 32)], 0
-    return [make("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 20, 32)], 0
+    if form == 6:
+        return [make("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 20, 32)], 0
+    name, mark, value = r.choice(["pwd", "pwd", "pass", "passphrase", "credential"]), r.choice("=:"), make(letters + "#!%$@&*", 8, 14)
+    return r.choice([([name + mark, value], 1), ([name, mark, value], 2), ([name + mark + value], 0)])
 
 
 def _plain(r: random.Random) -> str:
