@@ -26,9 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates stays, the one of smallest id.
+
+    Rows are told apart by their place in the table, which is a written one and
+    read alike each time: ids may be null or repeated. Null ids come last, so
+    the one of a group stays if it has no other."""
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id())
+    found = minhash.near_duplicates(keyed, "row_key").select("row_key", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    kept = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first["row_key"].alias("row_key")).select("row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
