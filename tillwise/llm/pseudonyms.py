@@ -204,8 +204,16 @@ FORMS = {
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+1[-. ]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])|(?<!\w)\+[0-9]{1,3}(?:[-. ]?\(?[0-9]{2,4}\)?){2,5}(?![\w-])"),
-    "card": re.compile(r"(?<![\w-])[0-9](?:[- ]?[0-9]){12,18}(?![\w-])"),
+    "card": re.compile(r"(?<![\w-])[0-9](?:[- ]?[0-9]){12,}(?![\w-])"),  # runs of digit groups, cards are looked for inside
 }
+#: Lengths of IBANs by country.
+IBAN_LENGTH = {
+    c: int(n)
+    for n, names in (x.split(":") for x in "15:NO 16:BE 18:DK FI FO GL NL 19:MK SI 20:AT BA EE KZ LT LU XK 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA 23:AE GI IL TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:PT 26:IS TR 27:FR GR IT MC MR SM 28:AL AZ CY DO GT HU LB PL 29:BR PS QA UA 30:JO KW MU 31:MT SC".replace(" 1", "|1").replace(" 2", "|2").replace(" 3", "|3").split("|"))
+    for c in names.split()
+}
+#: Groups of digits that cards are printed in; one group alone is a card as well.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 _HINT = re.compile(r"[0-9]|@")
 
 
@@ -217,6 +225,67 @@ class Found:
     new: str
 
 
+def card_spans(run: str, closed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Cards of a run of digit groups, left to right: printed groupings before
+    others, then longer before shorter ones, none of them touching ``closed``."""
+    groups = [g.span() for g in re.finditer("[0-9]+", run)]
+    free: list[tuple[bool, int, int]] = []
+    for i, (start, _) in enumerate(groups):
+        digits, sizes = "", []
+        for first, end in groups[i:]:
+            digits += run[first:end]
+            sizes.append(end - first)
+            if len(digits) > 19:
+                break
+            if len(digits) < 13 or any(start < b and a < end for a, b in closed):
+                continue
+            if luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1:
+                free.append((not (len(sizes) == 1 or tuple(sizes) in CARD_GROUPS), start, -end))
+    taken: list[tuple[int, int]] = []
+    for _, start, end in sorted(free):
+        if not any(start < b and a < -end for a, b in taken):
+            taken.append((start, -end))
+    return sorted(taken)
+
+
+def iban_spans(run: str, closed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The IBAN that a run of blocks begins with: the length of its country
+    before others, then longer before shorter ones."""
+    ends = [g.end() for g in re.finditer("[A-Z0-9]+", run)]
+    bare = {end: run[:end].replace(" ", "") for end in ends}
+    for end in sorted(ends, key=lambda e: (len(bare[e]) != IBAN_LENGTH.get(run[:2]), -e)):
+        if 15 <= len(bare[end]) <= 34 and _iban_number(bare[end][4:] + bare[end][:4]) % 97 == 1 and not any(a < end and 0 < b for a, b in closed):
+            return [(0, end)]
+    return []
+
+
+def _grouped(text: str, kind: str, form: re.Pattern, permuter: Permuter, taken: list[Found]) -> list[Found]:
+    """Values of a kind whose groups may stand beside other groups.
+
+    Values of a run are permuted together until the same places are found in the
+    new run, so that turning back finds them again."""
+    spans_of = iban_spans if kind == "iban" else card_spans
+    out: list[Found] = []
+    m = form.search(text)
+    while m:
+        low, run, next_ = m.start(), m.group(), m.start() + 1
+        closed = [(f.start - low, f.end - low) for f in taken]
+        spans = spans_of(run, closed)
+        new = run
+        while spans:
+            for a, b in spans:
+                new = new[:a] + getattr(permuter, kind)(new[a:b]) + new[b:]
+            if spans_of(new, closed) == spans:
+                break
+        out += [Found(low + a, low + b, kind, new[a:b]) for a, b in spans]
+        if spans:
+            next_ = low + spans[-1][1]
+        if kind == "card":  # a run has been searched whole
+            next_ = m.end()
+        m = form.search(text, next_)
+    return out
+
+
 def find(text: str, permuter: Permuter) -> list[Found]:
     """Checked values of a text with their pseudonyms, from left to right
     without overlaps; of two that overlap the kind named first wins."""
@@ -226,6 +295,9 @@ def find(text: str, permuter: Permuter) -> list[Found]:
     for kind, form in FORMS.items():
         if kind == "email" and "@" not in text:
             continue
+        if kind in ("iban", "card"):
+            taken += _grouped(text, kind, form, permuter, taken)
+            continue
         for m in form.finditer(text):
             if any(m.start() < f.end and f.start < m.end() for f in taken):
                 continue
