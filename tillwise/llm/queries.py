@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillwise.llm import bpe, chat, gam, line_rules, minhash, packing, polytope, pseudo_likelihood, pseudonyms, secret_scan
+from tillwise.llm import bpe, chat, codes, gam, interactions, line_rules, minhash, packing, periodic, polytope, pseudo_likelihood, pseudonyms, secret_scan
 from tillwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +215,118 @@ FROM embeddings JOIN reach ON reach.u = vec_id LEFT JOIN degrees ON degrees.u =
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Plain rounds over all entries; distances of integers below 2**53, exact in doubles."""
+    product = lambda a, b: f"list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT row_no, p, min(struct_pack(d := CAST({product('x', 'x')} - 2 * {product('x', 'c')} + {product('c', 'c')} AS BIGINT), e := e)) AS best
+  FROM pieces JOIN book{r} USING (p) GROUP BY row_no, p)""")
+        if r < rounds:
+            steps.append(f"""
+means{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+    FROM pieces JOIN near{r} USING (row_no, p), unnest(generate_series(1, len(x))) AS s(i) GROUP BY p, best.e, i) GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN means{r} m USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+pieces AS MATERIALIZED (
+  SELECT row_no, p, x[p * len(x) // 4 + 1 : (p + 1) * len(x) // 4] AS x FROM kept, (VALUES (0), (1), (2), (3)) AS q(p)),
+book0 AS MATERIALIZED (
+  SELECT p, place - 1 AS e, x AS c FROM pieces JOIN (SELECT row_no, row_number() OVER (ORDER BY vec_id) AS place FROM kept) USING (row_no) WHERE place <= 256),
+{",".join(steps)},
+entries AS (SELECT p, e, i, c[i] AS v FROM book{rounds}, unnest(generate_series(1, len(c))) AS s(i)),
+coded AS (SELECT row_no, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY row_no)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) FROM entries) AS codebooks_sha256
+FROM kept JOIN coded USING (row_no)"""
+
+
+@query("op11_vector_codes", codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, found = codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    digest = None if found is None else hashlib.sha256(",".join(map(str, found.books.reshape(-1).tolist())).encode()).hexdigest()
+    # Summed up by label before they are joined, so that no label meets in one task.
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("bigint").alias("label_error"))
+    both = coded.join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return both.select("vec_id", "code", "error", "label_error", F.lit(digest).cast("string").alias("codebooks_sha256"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    model = interactions.train(docs, table(spark, sf_dir, "labels").where(~held))
+    return interactions.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+# CRC-32 of the decimal digits of an id: the reflected polynomial, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, c: list_reduce(list_concat([xor(x, c)], CAST(range(8) AS BIGINT[])), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+
+RUNS_SQL = rf"""
+WITH plain AS MATERIALIZED (
+  SELECT doc_id, {CRC_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+shape AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, h // 10 AS g FROM plain),
+tail AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM shape),
+texts AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM tail),
+words AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM texts),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+marked AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM same),
+found AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM marked GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM found GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(struct_pack(start, length, period) ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by the checksum of its id, goes on with
+    its words from a place on, over and over; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+    words = F.when(F.col("g").isNotNull(), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    n, g = F.size("w"), F.col("g")
+    shaped = chosen.withColumn("w", words).withColumn("a", F.when(n > 0, g % n).cast("int"))
+    shaped = shaped.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return shaped.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periodic_tails(table(spark, sf_dir, "documents")), ["doc_id"])
+    # Exponents are compared as fractions; runs come by start, then period.
+    ahead = lambda b, r: b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"])
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.reduce("runs", none, lambda b, r: F.when(ahead(b, r), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
