@@ -12,7 +12,7 @@ from tillwise.functions.columns import dbl, text
 from tillwise.operators import marts
 from tillwise.plans.registry import query
 from tillwise.session import scratch_path
-from tillwise.sources import calendar, files, sinks
+from tillwise.sources import calendar, delimited, files, sinks
 
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
 LINE_SQL = """
@@ -47,8 +47,9 @@ def _(t):
 
 @query("scan_csv_text", LINE_SQL)
 def _(t):
-    texts = t.spark.read.text(line_csv(t), wholetext=True)
-    return files.from_texts(texts, LINE_COLUMNS)
+    # the content is at hand as lines, cut anywhere
+    lines = delimited.text_lines(t.spark, line_csv(t))
+    return delimited.records(lines, LINE_COLUMNS, delimited.Dialect(), skip=1)
 
 
 @query(
