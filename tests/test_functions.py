@@ -253,3 +253,13 @@ def test_data_map_of_nothing_still_states_the_fields(spark):
 
     none = spark.createDataFrame([], "path string, pii_level string, categories string, types string")
     assert sorted((r.section, r.n) for r in pii.data_map(none, F.lit(12)).collect()) == [("pii_fields", 0), ("total_fields", 12)]
+
+
+def test_table_function_runs_on_arrow_batches(spark):
+    from tillwise.functions import registries
+
+    rows = spark.createDataFrame([(1, "a@b.org or c@d.org"), (2, None), (3, "")], "row long, text string")
+    out = registries.PiiSpans(rows.asTable())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPython" not in plan
+    assert sorted((r.row, r.kind, r.value) for r in out.collect()) == [(1, "email", "a@b.org"), (1, "email", "c@d.org")]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,25 @@ def test_interval_join_with_merged_and_touching_intervals(spark):
     assert sorted(r.id for r in joins.points_in_intervals(pts, merged, ["k"], "ts", "a", "b").collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_every_overlapping_interval_that_covers_a_point(spark, seed):
+    rng = np.random.default_rng(seed)
+    at = lambda s: T0 + dt.timedelta(seconds=int(s))
+    spans = []
+    for i in range(120):
+        a = int(rng.integers(0, 10_000))
+        spans.append((i, int(rng.integers(0, 3)) if rng.random() < 0.5 else 0, at(a), at(a + int(rng.choice([0, 1, 50, 3000, 100_000])))))
+    spans.append((999, 0, None, at(1)))
+    points = [(i, int(rng.integers(0, 3)), at(rng.integers(-100, 12_000))) for i in range(300)] + [(900, 0, None), (901, None, at(5)), (902, 0, spans[0][2])]
+    iv = spark.createDataFrame(spans, "c int, k int, a timestamp, b timestamp")
+    pts = spark.createDataFrame(points, "i int, k int, ts timestamp")
+    got = sorted((r.i, r.c) for r in joins.covering(pts, iv, ["k"], "ts", "a", "b").collect())
+    want = sorted((i, c) for i, k, t in points for c, k2, a, b in spans if None not in (k, t, a) and k == k2 and a <= t < b)
+    assert got == want and len(want) > 100
+    assert joins.covering(pts, iv.limit(0), ["k"], "ts", "a", "b").count() == 0
+    assert "NestedLoop" not in joins.covering(pts, iv, ["k"], "ts", "a", "b")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_integrity(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string").withColumn("h", logs.integrity_hash(["id", "x"], b"k"))
     assert logs.tampered(df, ["id", "x"], "h", b"k").count() == 0

@@ -63,3 +63,37 @@ def test_depletion_in_order(spark, monkeypatch):
     )
     got = {r.k: (r.remaining, r.accepted, r.refused) for r in out.collect()}
     assert got == {k: (left[k], done[k], n[k] - done[k]) for k in stock}
+
+
+def test_downsampling_plan_is_short_and_null_series_count(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 3 else "s", float(x), float(y), i) for i, (x, y) in enumerate(zip(np.cumsum(rng.random(3000)), rng.normal(size=3000)))]
+    df = spark.createDataFrame(rows, "s string, x double, y double, id long").repartition(6)
+    out = series.lttb(df, "s", "x", "y", 40, "id")
+    for name in (None, "s"):
+        mine = [r for r in rows if r[0] == name]
+        got = [r.i for r in out.where(F.col("s").eqNullSafe(F.lit(name))).orderBy("i").collect()]
+        assert got == plain_lttb(np.array([r[1] for r in mine]), np.array([r[2] for r in mine]), 40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6 and plan.count("Scan ExistingRDD") <= 2
+
+
+@pytest.mark.parametrize("qs", [(0.5, 0.95), (0.0, 0.25, 1.0)])
+def test_radix_selection_equals_exact_percentiles(spark, qs):
+    rng = np.random.default_rng(7)
+    hot = [("hot", float(v)) for v in rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000)]
+    rows = hot + [(None, float(v)) for v in rng.integers(-3, 3, 50)] + [("one", -0.0), ("none", None), ("inf", float("-inf")), ("inf", 5.0), ("two", 1.5), ("two", None), ("two", 2.5)]
+    df = spark.createDataFrame(rows, "l string, v double").repartition(5)
+    got = {r.l: tuple(r)[1:] for r in series.quantiles(df, ["l"], "v", qs).collect()}
+    want = {r.l: tuple(r)[1:] for r in df.groupBy("l").agg(*[F.percentile("v", q) for q in qs]).collect()}
+    assert got.keys() == want.keys()
+    for name in got:
+        assert [None if g is None else repr(g + 0.0) for g in got[name]] == [None if w is None else repr(w + 0.0) for w in want[name]], name
+
+
+def test_no_window_over_raw_samples(spark):
+    df = spark.createDataFrame([("a", t, t % 7) for t in range(200)], "l string, s int, v long").withColumn("ts", F.timestamp_seconds("s"))
+    for out in (series.increase(df, ["l"], "ts", "v", F.timestamp_seconds(F.lit(300)), "1 HOUR"), series.firing_for(df, ["l"], "ts", F.col("v") > 2, 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_chunk" in line for line in plan.splitlines() if "Window [" in line)
+    assert sorted((r.samples for r in series.firing_for(df, ["l"], "ts", F.col("v") > 2, 2).collect()))[-1] == 4

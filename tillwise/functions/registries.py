@@ -1,13 +1,14 @@
-"""Named user functions: Column functions, pandas UDFs and table functions."""
+"""Named user functions: Column functions, pandas UDFs and Arrow table functions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tillwise.functions import checks, pii, transforms
 
@@ -70,10 +71,20 @@ def register_defaults() -> None:
     checks.register("starts_with", lambda v, p: v.cast("string").startswith(p["prefix"]))
 
 
-@F.udtf(returnType="kind string, start int, end int, value string")
-class PiiSpans:
-    """Table function: one row per span of a text."""
+SPANS = StructType([*(StructField(n, LongType()) for n in ("row",)), StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("value", StringType())])
+
 
-    def eval(self, text: str):
-        for kind, _, start, end, value, _ in pii.spans(text or ""):
-            yield kind, start, end, value
+@F.arrow_udtf(returnType=SPANS)
+class PiiSpans:
+    """Table function over a table argument ``(row, text)``: one row per span,
+    made and handed over as Arrow batches."""
+
+    def eval(self, table: pa.RecordBatch):
+        rows, found = [], []
+        for row, text in zip(table.column("row").to_pylist(), table.column("text").to_pylist(), strict=True):
+            for kind, _, start, end, value, _ in pii.spans(text or ""):
+                rows.append(row)
+                found.append((kind, start, end, value))
+        columns = [[f[k] for f in found] for k in range(4)]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+        yield pa.Table.from_arrays([pa.array(rows, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "kind", "start", "end", "value"])

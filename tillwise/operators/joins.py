@@ -106,6 +106,53 @@ def points_in_intervals(points, intervals, keys: list[str], ts: str, start: str,
     return inside.select("_row.*", "_last.*")
 
 
+LEVELS = 40  # at most: levels of the interval index
+
+
+def covering(points, intervals, keys: list[str], ts: str, start: str, end: str) -> DataFrame:
+    """All pairs of a point and an interval that covers it: equal keys and
+    ``start <= ts < end``. Intervals may overlap in any way.
+
+    Time is cut into cells, about as many as there are intervals. An interval
+    becomes at most two dyadic nodes per level, a point the nodes above its
+    cell, so the pairs come from an equi join on (key, level, node); the times
+    themselves decide in the cells an interval covers in part. Levels without a
+    node are left out of the points' paths. Null times and empty intervals meet
+    nothing. Sizes, range and levels are asked for first.
+    """
+    span = intervals.where(F.col(start) < F.col(end)).withColumns({"_a": F.unix_micros(start), "_b": F.unix_micros(F.col(end))})
+    low, high, count = span.agg(F.min("_a"), F.max("_b"), F.count("*")).first()
+    rest = [c for c in intervals.columns if c not in keys]
+    clash = set(rest) & set(points.columns)
+    if clash:
+        raise ValueError(f"points and intervals share columns: {sorted(clash)}")
+    if not count:
+        return points.join(intervals, keys).limit(0)
+    top = min(LEVELS, max(1, (count - 1).bit_length()))
+    width = max(1, -(-(high - low) // (1 << top)))
+    level = F.sequence(F.lit(0), F.lit(top))
+    cell = lambda c: F.floor((c - F.lit(low)) / F.lit(width)).cast("bigint")
+
+    def nodes(j: Column) -> Column:
+        # The cells [first, behind) at level j that no node above takes.
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+        first = F.floor((F.col("_first") + size - 1) / size).cast("bigint")
+        behind = F.floor((F.col("_last") + 1) / size).cast("bigint")
+        node = lambda n: F.struct(j.alias("level"), n.alias("node"))
+        left = F.when((first < behind) & ((first % 2 == 1) | (j == top)), node(first))
+        right = F.when((first < behind) & (behind % 2 == 1) & ((j < top) | (behind - 1 > first)), node(behind - 1))
+        return F.array(left, right)
+
+    cells = span.withColumns({"_first": cell(F.col("_a")), "_last": cell(F.col("_b") - 1)})
+    spread = cells.withColumn("_n", F.explode(F.array_compact(F.flatten(F.transform(level, nodes))))).select(*keys, *rest, "_n.level", "_n.node")
+    used = sorted(r[0] for r in spread.select("level").distinct().collect())
+    known = points.withColumn("_c", cell(F.unix_micros(ts))).where((F.unix_micros(ts) >= low) & (F.unix_micros(ts) < high))
+    above = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright("_c", j).alias("node")) for j in used])
+    paths = known.withColumn("_n", F.explode(above)).select(*points.columns, "_n.level", "_n.node")
+    met = paths.join(spread, [*keys, "level", "node"])
+    return met.where((F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end))).select(*points.columns, *rest)
+
+
 def both_kinds(spans, span, points, row) -> list[tuple[str, str]]:
     """Types of the two packed columns."""
     return [("span", spans.select(span.alias("s")).dtypes[0][1]), ("row", points.select(row.alias("r")).dtypes[0][1])]

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType
 
 from tillwise.functions import prefix
 from tillwise.functions.columns import dbl, ratio
 from tillwise.functions.times import sunday_week
+from tillwise.session import checkpointed
 
 
 def bucket_of(ts: str, interval: str) -> Column:
@@ -87,50 +93,114 @@ def _hull(i: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.unique(np.array(chain(order) + chain(order[::-1])))
 
 
+CORNERS = "b int, total bigint, sx double, sy double, m bigint, i array<bigint>, x array<double>, y array<double>"
+
+
+def _bucket(i: np.ndarray, total: int, n: int) -> np.ndarray:
+    """Bucket of each place: -1 the first point, n - 2 the last, all places if they are few."""
+    if total <= n:
+        return i
+    inner = np.minimum(np.floor((i - 1) / ((total - 2) / float(n - 2))), n - 3).astype(np.int64)
+    return np.where(i == 0, -1, np.where(i == total - 1, n - 2, inner))
+
+
+def _bucket_hulls(n: int):
+    """Sorted points of a chunk → per series and bucket the corners of their
+    hull, their number and sums; a bucket may come in several parts."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("s").dictionary_encode()
+            code = key.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            total, i, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("total", "i", "x", "y"))
+            edge = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            rows, at = [], []
+            for low, high in zip(edge[:-1], edge[1:], strict=True):
+                b = _bucket(i[low:high], int(total[low]), n)
+                inner = [low, *(low + np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), high]
+                for p, q in zip(inner[:-1], inner[1:], strict=True):
+                    keep = p + _hull(i[p:q], x[p:q], y[p:q])
+                    rows.append((int(b[p - low]), int(total[p]), float(x[p:q].sum()), float(y[p:q].sum()), q - p, i[keep].tolist(), x[keep].tolist(), y[keep].tolist()))
+                    at.append(p)
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(at)), *columns], names=["s", "b", "total", "sx", "sy", "m", "i", "x", "y"])
+
+    return run
+
+
+def _merged_buckets(batches):
+    """Parts of buckets in order → (series, total, corners' places, x, y, mean) of each bucket."""
+
+    def whole(parts: list[dict]) -> tuple:
+        i, x, y = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in ("i", "x", "y"))
+        keep = _hull(i, x, y)
+        keep = keep[np.argsort(i[keep], kind="stable")]
+        m = sum(p["m"] for p in parts)
+        mean = sum(p["sx"] for p in parts) / m, sum(p["sy"] for p in parts) / m
+        return parts[0]["s"], parts[0]["total"], i[keep], x[keep], y[keep], mean
+
+    parts: list[dict] = []
+    for batch in batches:
+        for part in batch.to_pylist():
+            if parts and (part["s"], part["b"]) != (parts[0]["s"], parts[0]["b"]):
+                yield whole(parts)
+                parts = []
+            parts.append(part)
+    if parts:
+        yield whole(parts)
+
+
+def _chosen(n: int, kind: pa.DataType):
+    """Buckets of a series in order → its chosen points. A bucket waits for the
+    mean of the next one, so two buckets are all that is kept."""
+
+    def run(batches):
+        out, before, picked = [], None, None
+        for bucket in itertools.chain(_merged_buckets(batches), [None]):
+            if before is not None:
+                series_, total, i, x, y, _ = before
+                following = bucket[5] if bucket is not None and bucket[0] == series_ else None
+                k = 0
+                if following is not None and picked is not None and total > n:
+                    k = int(np.argmax(np.abs((picked[1] - following[0]) * (y - picked[2]) - (picked[1] - x) * (following[1] - picked[2]))))
+                picked = int(i[k]), float(x[k]), float(y[k])
+                out.append((series_, *picked))
+                if following is None:
+                    picked = None
+            before = bucket
+        kinds = (kind, pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kinds[c]) for c in range(4)], names=["s", "i", "x", "y"])
+
+    return run
+
+
 def lttb(points: DataFrame, series: str, x: str, y: str, n: int, tie: str) -> DataFrame:
     """Exact downsampling of every series to n points, first and last kept.
 
     The chosen point of a bucket maximises a triangle area, which is linear in
-    the point, so it is a corner of the bucket's convex hull. Hulls are taken
-    per Arrow batch and then per bucket, in parallel; only the corners, a few
-    per bucket, and the bucket means meet in the last step per series.
+    the point, so it is a corner of the bucket's convex hull. Points are cut into
+    chunks along series and time; a chunk makes the hulls and sums of its
+    buckets in one pass, and parts of a bucket merge to the hull of their
+    corners. Then a series is a row per bucket, which are gone through in order.
+    Null series are one; points without x or y are left out.
     """
-    base = points.select(F.col(series).alias("s"), dbl(x).alias("x"), dbl(y).alias("y"), F.col(tie).alias("t"))
-    ranked = prefix.running(base, ["s"], ["x", "t"], row_number="rn").withColumn("i", F.col("rn") - 1)
-    sizes = ranked.groupBy("s").agg(F.count("*").alias("total"))
-    sized = ranked.join(sizes, "s")
-    every = (F.col("total") - 2) / float(n - 2)
-    inner = F.least(F.floor((F.col("i") - 1) / every), F.lit(n - 3)).cast("int")
-    bucket = F.when(F.col("total") <= n, F.col("i").cast("int")).when(F.col("i") == 0, -1).when(F.col("i") == F.col("total") - 1, n - 2).otherwise(inner)
-    cut = sized.select("s", "i", "x", "y", "total", bucket.alias("b"))
-    means = cut.groupBy("s", "b").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-
-    def corners(batches):
-        for pdf in batches:
-            parts = []
-            for _, g in pdf.groupby(["s", "b"], sort=False):
-                keep = _hull(g["i"].to_numpy(), g["x"].to_numpy(), g["y"].to_numpy())
-                parts.append(g.iloc[keep])
-            if parts:
-                yield pd.concat(parts)
-
-    hulls = cut.mapInPandas(corners, cut.schema).repartition("s", "b").mapInPandas(corners, cut.schema)
-    few = hulls.join(means, ["s", "b"])
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["b", "i"], kind="stable")
-        if int(pdf["total"].iloc[0]) <= n:
-            return pdf[["s", "i", "x", "y"]]
-        groups = [g for _, g in pdf.groupby("b", sort=True)]
-        picked = [groups[0].iloc[0]]
-        for k in range(1, len(groups) - 1):
-            g, nxt, a = groups[k], groups[k + 1].iloc[0], picked[-1]
-            area = np.abs((a["x"] - nxt["mx"]) * (g["y"].to_numpy() - a["y"]) - (a["x"] - g["x"].to_numpy()) * (nxt["my"] - a["y"]))
-            picked.append(g.iloc[int(np.argmax(area))])
-        picked.append(groups[-1].iloc[0])
-        return pd.DataFrame(picked)[["s", "i", "x", "y"]]
-
-    out = few.groupBy("s").applyInPandas(choose, f"s {dict(cut.dtypes)['s']}, i long, x double, y double")
+    base = points.select(F.col(series).alias("s"), dbl(x).alias("x"), dbl(y).alias("y"), F.col(tie).alias("t")).where("x IS NOT NULL AND y IS NOT NULL")
+    parts = prefix.cut(base, ["s", "x", "t"])
+    kind = dict(parts.dtypes)["s"]
+    counts = parts.groupBy("s", prefix.CHUNK).agg(F.count("*").alias("c"))
+    of_series = Window.partitionBy("s")
+    before = of_series.orderBy(prefix.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(F.col("s").alias("s_"), F.col(prefix.CHUNK).alias("c_"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"), F.sum("c").over(of_series).alias("total"))
+    inside = Window.partitionBy("s", prefix.CHUNK).orderBy("x", "t")
+    placed = parts.join(places, parts["s"].eqNullSafe(places["s_"]) & (parts[prefix.CHUNK] == places["c_"]))
+    ranked = placed.select("s", prefix.CHUNK, "t", "x", "y", "total", (F.row_number().over(inside) - 1 + F.col("offset")).alias("i"))
+    sorted_ = ranked.sortWithinPartitions("s", "i").select("s", "i", "x", "y", "total")
+    hulls = sorted_.mapInArrow(_bucket_hulls(n), f"s {kind}, {CORNERS}")
+    in_order = hulls.repartition("s").sortWithinPartitions("s", "b", F.col("i")[0])
+    out = in_order.mapInArrow(_chosen(n, to_arrow_type(parts.schema["s"].dataType)), f"s {kind}, i bigint, x double, y double")
     return out.select(F.col("s").alias(series), "i", "x", "y")
 
 
@@ -157,11 +227,13 @@ def cohort_grid(cells: DataFrame, periods: int) -> DataFrame:
 
 
 def increase(metrics: DataFrame, labels: list[str], ts: str, value: str, as_of: Column, window: str) -> DataFrame:
-    """Growth of a counter inside the window; a drop is a restart from zero."""
+    """Growth of a counter inside the window; a drop is a restart from zero.
+    Neighbours are found in chunks, so a busy label is no single task."""
     recent = metrics.where((F.col(ts) > as_of - F.expr(f"INTERVAL {window}")) & (F.col(ts) <= as_of))
-    prev = F.lag(value).over(Window.partitionBy(*labels).orderBy(ts))
+    steps = prefix.previous(recent.select(*labels, ts, value), labels, [ts, value], {"_prev": value})
+    prev = F.col("_prev")
     step = F.when(prev.isNull(), 0).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
-    return recent.withColumn("_step", step).groupBy(*labels).agg(F.sum("_step").alias("increase"))
+    return steps.withColumn("_step", step).groupBy(*labels).agg(F.sum("_step").alias("increase"))
 
 
 def rate(metrics, labels, ts, value, as_of: Column, window: str, seconds: int) -> DataFrame:
@@ -185,24 +257,70 @@ def success_ratio(runs, labels, below: float = 0.95) -> DataFrame:
     return runs.groupBy(*labels).agg(r.alias("ratio")).withColumn("firing", F.col("ratio") < below)
 
 
-def quantiles(metrics, labels, value: str, qs=(0.5, 0.95), approximate=False) -> DataFrame:
-    """Interpolated quantiles per label set. ``approximate`` bounds the memory
-    of groups with very many distinct values."""
-    def one(q):
-        return F.percentile_approx(value, q, 10000) if approximate else F.percentile(dbl(value), q)
+DIGIT = 16  # bits that one aggregation of a selection decides
+
+
+@F.pandas_udf(LongType())
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    """Whole numbers in the order of the doubles; NaN is the largest."""
+    x = np.where(np.isnan(v.to_numpy(np.float64)), np.nan, v.to_numpy(np.float64)) + 0.0
+    bits = x.view(np.int64)
+    return pd.Series(np.where(np.isnan(x), np.int64(0x7FF8 << 48), bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))))
+
 
-    return metrics.groupBy(*labels).agg(*[one(q).alias(f"p{int(q * 100)}") for q in qs])
+@F.pandas_udf(DoubleType())
+def _from_bits(k: pd.Series) -> pd.Series:
+    bits = k.to_numpy(np.int64)
+    return pd.Series((bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64))
+
+
+def quantiles(metrics, labels, value: str, qs=(0.5, 0.95), approximate=False) -> DataFrame:
+    """Interpolated quantiles per label set, null where it has no value.
+
+    Radix selection: values become whole numbers of the same order, and four
+    aggregations decide 16 bits each, for all labels and ranks at once: rows are
+    counted by (label, bits so far, next digit), and running counts over the
+    digits find the one a rank falls into. No label's values are gathered or
+    sorted. ``approximate`` takes one pass with a sketch instead."""
+    if approximate:
+        return metrics.groupBy(*labels).agg(*[F.percentile_approx(value, q, 10000).alias(f"p{int(q * 100)}") for q in qs])
+    rows = checkpointed(metrics.select(F.struct(*labels).alias("g"), dbl(value).alias("v")))
+    keyed = rows.where("v IS NOT NULL").select("g", _ordered_bits("v").alias("k"))
+    sizes = rows.groupBy("g").agg(F.count("v").alias("n"))
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    asked = F.array(*[F.struct(F.lit(j).alias("q"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(place(q)).alias("rank")) for j, q in enumerate(qs) for up in (False, True)])
+    ranks = sizes.where("n > 0").select("g", F.explode(asked).alias("a")).select("g", "a.*", F.lit(0).cast("bigint").alias("bits"))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        if shift == 64 - DIGIT:
+            part = keyed.withColumn("bits", F.lit(0).cast("bigint"))
+        else:
+            part = keyed.withColumn("bits", F.shiftright("k", shift + DIGIT)).join(ranks.select("g", "bits").distinct(), ["g", "bits"])
+        counts = part.groupBy("g", "bits", F.shiftright("k", shift).alias("next")).agg(F.count("*").alias("c"))
+        # At most 2**16 counts per label and digit, whatever the number of rows.
+        upto = F.sum("c").over(Window.partitionBy("g", "bits").orderBy("next"))
+        cells = counts.select("g", "bits", "next", (upto - F.col("c")).alias("low"), upto.alias("high"))
+        met = ranks.join(cells, ["g", "bits"]).where("rank >= low AND rank < high")
+        ranks = checkpointed(met.select("g", "q", "up", (F.col("rank") - F.col("low")).alias("rank"), F.col("next").alias("bits")))
+    found = ranks.withColumn("v", _from_bits("bits")).groupBy("g").agg(
+        *[F.max(F.when((F.col("q") == j) & (F.col("up") == F.lit(up)), F.col("v"))).alias(f"v{j}{int(up)}") for j in range(len(qs)) for up in (False, True)]
+    )
+    out = sizes.join(found, "g", "left")
+    made = []
+    for j, q in enumerate(qs):
+        low, high, at = F.col(f"v{j}0"), F.col(f"v{j}1"), place(q)
+        mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        made.append(F.when(low == high, low).otherwise(mixed).alias(f"p{int(q * 100)}"))
+    return out.select("g.*", *made)
 
 
 def firing_for(series: DataFrame, keys: list[str], ts: str, condition: Column, seconds: int) -> DataFrame:
-    """Spans in which the condition holds on every sample for at least ``seconds``."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    marked = series.withColumn("_on", F.coalesce(condition, F.lit(False)))
-    starts = marked.withColumn("_g", F.sum(F.when(~F.col("_on"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = starts.where("_on").groupBy(*keys, "_g").agg(
+    """Spans in which the condition holds on every sample for at least
+    ``seconds``. Samples of one instant are taken in the order of the condition,
+    broken ones first; breaks are counted in chunks."""
+    marked = series.select(*keys, ts, F.coalesce(condition, F.lit(False)).alias("_on"))
+    counted = prefix.running(marked, keys, [ts, "_on"], {"_g": F.when(F.col("_on"), 0).otherwise(1).cast("long")})
+    spans = counted.where("_on").groupBy(*keys, "_g").agg(
         F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("samples")
     )
     held = F.unix_timestamp("ended") - F.unix_timestamp("started")
     return spans.where(held >= seconds).drop("_g")
-
-

@@ -205,21 +205,21 @@ def _(t):
 @query(
     "join_range_consent",
     """
-WITH c AS (SELECT user_id AS subject_id, ts AS given, least(ts + to_seconds(CAST(value * 600 AS BIGINT)), (SELECT max(ts) FROM events) + INTERVAL 1 SECOND) AS until FROM events WHERE event_type = 'signup'),
-p AS (SELECT event_id, user_id AS subject_id, ts FROM events WHERE event_type = 'purchase')
-SELECT event_id, p.subject_id FROM p WHERE EXISTS (SELECT 1 FROM c WHERE c.subject_id = p.subject_id AND given <= p.ts AND p.ts < until)""",
+WITH c AS (SELECT event_id AS consent_id, user_id AS subject_id, ts AS given, least(ts + to_seconds(CAST(value * 6000 AS BIGINT)), (SELECT max(ts) FROM events) + INTERVAL 1 SECOND) AS until FROM events WHERE event_type IN ('signup', 'view'))
+SELECT p.event_id, p.user_id AS subject_id, consent_id FROM events p JOIN c ON c.subject_id = p.user_id AND given <= p.ts AND p.ts < until WHERE p.event_type = 'purchase'""",
 )
 def _(t):
+    # consents of a subject overlap: every one that covers a use is named
     horizon = marts.max_of(t.events, "ts") + F.expr("INTERVAL 1 SECOND")
-    seconds = F.round(F.col("value") * 600).cast("long")
-    given = t.events.where("event_type = 'signup'").select(
+    seconds = F.round(F.col("value") * 6000).cast("long")
+    consents = t.events.where(F.col("event_type").isin("signup", "view")).select(
+        F.col("event_id").alias("consent_id"),
         F.col("user_id").alias("subject_id"),
         F.col("ts").alias("given"),
         F.least(F.timestamp_micros(F.unix_micros("ts") + seconds * 1000000), horizon).alias("until"),
     )
-    consents = joins.merge_intervals(given, ["subject_id"], "given", "until")
     used = t.events.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("subject_id"), "ts")
-    return joins.points_in_intervals(used, consents, ["subject_id"], "ts", "given", "until").select("event_id", "subject_id")
+    return joins.covering(used, consents, ["subject_id"], "ts", "given", "until").select("event_id", "subject_id", "consent_id")
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tillwise.functions import prefix
 from tillwise.functions.columns import text
 from tillwise.operators import marts, series
 from tillwise.plans.registry import query
@@ -26,7 +26,22 @@ def _(t):
     return out.withColumn("bucket", text("bucket"))
 
 
-@query("ts_downsample_lttb")
+# The plain algorithm: from the point chosen last, the largest triangle with the mean of the next bucket.
+LTTB_SQL = """
+WITH RECURSIVE p AS (
+  SELECT event_type AS s, event_id, epoch_us(ts) / 1e6 AS x, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS total FROM events),
+b AS (SELECT *, CASE WHEN total <= {n} THEN i WHEN i = 0 THEN -1 WHEN i = total - 1 THEN {n} - 2 ELSE least(CAST(floor((i - 1) / ((total - 2) / CAST({n} - 2 AS DOUBLE))) AS BIGINT), {n} - 3) END AS b FROM p),
+m AS (SELECT s, b, sum(x) / count(*) AS mx, sum(y) / count(*) AS my FROM b GROUP BY s, b),
+c AS (
+  SELECT s, b, i, x, y FROM b WHERE i = 0 AND total > {n}
+  UNION ALL
+  SELECT s, b, i, x, y FROM (
+    SELECT b.s, b.b, b.i, b.x, b.y, row_number() OVER (PARTITION BY b.s ORDER BY abs((c.x - m.mx) * (b.y - c.y) - (c.x - b.x) * (m.my - c.y)) DESC NULLS LAST, b.i) AS rn
+    FROM c JOIN b ON b.s = c.s AND b.b = c.b + 1 LEFT JOIN m ON m.s = c.s AND m.b = c.b + 2) WHERE rn = 1)
+SELECT s AS event_type, i, x, y FROM c UNION ALL SELECT s, i, x, y FROM b WHERE total <= {n}"""
+
+
+@query("ts_downsample_lttb", LTTB_SQL.format(n=200))
 def _(t):
     e = t.events.select("event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("x"), "value")
     return series.lttb(e, "event_type", "x", "value", 200, "event_id")
@@ -73,8 +88,8 @@ COUNTER_SQL = """counters AS (SELECT rule_id, finished_at AS ts, CAST(sum(violat
 
 
 def counters(t):
-    w = Window.partitionBy("rule_id", F.to_date("finished_at")).orderBy("finished_at")
-    return t.dq_runs.select("rule_id", F.col("finished_at").alias("ts"), F.sum("violations_count").over(w).alias("value"))
+    runs = t.dq_runs.select("rule_id", "run_id", F.col("finished_at").alias("ts"), F.to_date("finished_at").alias("day"), "violations_count")
+    return prefix.running(runs, ["rule_id", "day"], ["ts", "run_id"], {"value": F.col("violations_count")}).select("rule_id", "ts", "value")
 
 
 INCREASE_SQL = f"""WITH {COUNTER_SQL}, r AS (SELECT * FROM counters WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 72 HOURS), s AS (SELECT *, lag(value) OVER (PARTITION BY rule_id ORDER BY ts) AS p FROM r),
