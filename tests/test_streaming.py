@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillwise.operators import logs
-from tillwise.streaming import jobs
+from tillwise.streaming import idindex, jobs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -95,3 +95,75 @@ def test_split_keeps_every_row(spark, tmp_path):
     stream = jobs.source(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
     jobs.validate_split(stream, "csv_upload", good, bad)
     assert (spark.read.parquet(good).count(), spark.read.parquet(bad).count()) == (3, 6)
+
+
+def test_id_index_opens_only_buckets_whose_filter_hits(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    opened = []
+    real = idindex._read
+
+    def watched(spark_, root_, schema, paths):
+        df = real(spark_, root_, schema, paths)
+        if root_.endswith("/ids"):
+            opened.append(len(df.inputFiles()) if paths else 0)
+        return df
+
+    monkeypatch.setattr(idindex, "_read", watched)
+    monkeypatch.setattr(idindex, "_compact", lambda *a: None)
+    batch = lambda k, n=40: spark.createDataFrame([(f"id{k}-{i}", k) for i in range(n)], "ingest_id string, k int")
+    for k in range(6):
+        assert idindex.claim(batch(k), "ingest_id", root, k, 4).count() == 40
+    assert opened == [0] * 6  # new ids open nothing, however long the history
+    assert idindex.claim(batch(0).limit(1).unionByName(spark.createDataFrame([("new", 9), (None, 1)], "ingest_id string, k int")), "ingest_id", root, 6, 4).collect() == [("new", 9)]
+    assert 0 < opened[-1] <= 7
+    # the same batch once more, as after a failure, gives the same rows
+    assert idindex.claim(spark.createDataFrame([("new", 9)], "ingest_id string, k int"), "ingest_id", root, 6, 4).collect() == [("new", 9)]
+
+
+def test_id_index_keeps_few_parts_and_refuses_repeats_of_any_age(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idindex, "MOST_PARTS", 3)
+    root = str(tmp_path / "index")
+    batch = lambda k: spark.createDataFrame([(k * 1000 + i,) for i in range(30)], "ingest_id long")
+    for k in range(9):
+        assert idindex.claim(batch(k), "ingest_id", root, k, 2).count() == 30
+        assert all(len(idindex._children(spark, f"{root}/ids/bucket={b}")) <= 4 for b in range(2))
+    for k in range(9):
+        assert idindex.claim(batch(k), "ingest_id", root, 20 + k, 2).count() == 0
+
+
+def test_filters_know_their_ids():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    ids, others = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
+    bits = idindex.with_ids(idindex.with_ids(None, ids), ids[:10])
+    assert idindex.may_hold(bits, ids).all() and idindex.may_hold(bits, others).mean() < 0.05
+
+
+def test_lockout_state_ends(spark, tmp_path):
+    path, state, out = (str(tmp_path / n) for n in ("in", "state", "out"))
+    schema = "user_id long, event_id long, ts timestamp, ok boolean"
+    day = dt.timedelta(days=1)
+    rows = [
+        [(1, 1, T0, False), (2, 2, T0, False), (3, 3, T0, True)],
+        [(2, 4, T0 + day, True), (9, 5, T0 + 5 * day, True)],
+        [(9, 6, T0 + 6 * day, True)],
+    ]
+    write_files(spark, path, [spark.createDataFrame(r, schema) for r in rows])
+    stream = jobs.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    found = jobs.lockout(stream, forget_days=2)
+    q = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    assert {r.event_id: r.outcome for r in spark.read.parquet(out).collect()} == {1: "failed", 2: "failed", 3: "accepted", 4: "accepted", 5: "accepted", 6: "accepted"}
+    left = spark.read.format("statestore").option("stateVarName", "lock").load(state)
+    assert left.count() == 0
+
+
+def test_open_failures_are_forgotten_within_a_batch_too(spark, tmp_path):
+    path = str(tmp_path / "in")
+    day = dt.timedelta(days=1)
+    rows = [(1, k, T0 + k * 3 * day, False) for k in range(6)] + [(2, 10 + k, T0 + k * dt.timedelta(minutes=1), False) for k in range(6)]
+    write_files(spark, path, [spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, ok boolean")])
+    got = {r.event_id: r.outcome for r in jobs.drain(jobs.lockout(jobs.source(spark, path, spark.read.parquet(path).schema), forget_days=2), "lock").collect()}
+    assert [got[k] for k in range(6)] == ["failed"] * 6
+    assert [got[10 + k] for k in range(6)] == ["failed"] * 4 + ["locked", "refused"]

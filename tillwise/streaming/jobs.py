@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tillwise.functions import checks
 from tillwise.operators import logs
 from tillwise.session import scratch_path
 from tillwise.sources import sinks
+from tillwise.streaming import idindex
 
 DELAY = "10 minutes"
 
@@ -62,15 +62,15 @@ def rate_sessions(stream: DataFrame, key: str, gap: str, limit: int, delay: str
     )
 
 
-def dedup(stream: DataFrame, path: str, key: str = "ingest_id") -> None:
-    """First arrival per id into a table. Ids are compared with all that the
-    table holds, however old; a repeated batch replaces its own rows only."""
+def dedup(stream: DataFrame, path: str, key: str = "ingest_id", buckets: int = 64) -> None:
+    """First arrival per id into a table. Ids are compared with all that came
+    before, however old, by an index of ids in hash buckets (``idindex``): a
+    batch reads the filters of its buckets, and ids only of buckets whose filter
+    hits. A repeated batch replaces its own rows only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh, mode = batch.dropDuplicates([key]), "static"
-        if written(batch.sparkSession, path):
-            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") != batch_id)
-            fresh, mode = fresh.join(stored.select(key), key, "left_anti"), "dynamic"
+        fresh = idindex.claim(batch.dropDuplicates([key]), key, f"{path.rstrip('/')}-ids", batch_id, buckets)
+        mode = "dynamic" if written(batch.sparkSession, path) else "static"
         fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("batch_id").parquet(path)
 
     _each_batch(stream, write, "dedup")
@@ -82,46 +82,70 @@ def written(spark, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-LOCK_STATE = "fails int, locked_until double"
 LOCK_OUT = "user_id long, event_id long, outcome string, failures int"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def lockout(stream: DataFrame, limit: int = 5, minutes: int = 30, delay: str = DELAY) -> DataFrame:
-    """Outcome of every login attempt ``(user_id, event_id, ts, ok)``: accepted,
-    failed, locked (this failure locks the account) or refused (while locked).
-    The state per user is a counter and the end of the lock; it goes when the
-    counter is zero and the lock lies behind the watermark."""
+class LockoutProcessor(StatefulProcessor):
+    """Attempts of a user, rows as they come in a batch by time and event.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fails, until = state.get if state.exists else (0, 0.0)
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        rows = []
-        for r in pd.concat(frames).sort_values(["at", "event_id"]).itertuples():
-            if r.at < until:
+    State: failures and end of the lock, in microseconds. A timer in event time
+    ends it: with a lock, when that is over and nothing keeps the failures (they
+    stand until an accepted attempt); open failures without a further attempt
+    are forgotten ``forget`` after the last one."""
+
+    def __init__(self, limit: int, hold: int, forget: int):
+        self.limit, self.hold, self.forget = limit, hold, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("lock", "fails int, locked_until bigint, keep_until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.state.get() if self.state.exists() else (0, 0, 0)
+        fails, until, keep = before
+        # Rows of one batch and user, ordered by time: a heap of their times and outcomes only.
+        for at, event_id, ok in sorted((r["at"], r["event_id"], r["ok"]) for r in rows):
+            if keep and at >= keep:
+                fails, until = 0, 0
+            if at < until:
                 outcome = "refused"
-            elif r.ok:
+            elif ok:
                 fails, outcome = 0, "accepted"
             else:
                 fails += 1
                 outcome = "failed"
-                if fails >= limit:
-                    until, outcome = r.at + minutes * 60, "locked"
-            rows.append((key[0], r.event_id, outcome, fails))
-        if fails or until * 1000 > state.getCurrentWatermarkMs():
-            state.update((fails, until))
-            if not fails:
-                state.setTimeoutTimestamp(int(until * 1000) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "outcome", "failures"])
-
-    attempts = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts") / 1e6)
-    return attempts.groupBy("user_id").applyInPandasWithState(step, LOCK_OUT, LOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                if fails >= self.limit:
+                    until, outcome = at + self.hold, "locked"
+            if outcome != "refused":
+                keep = max(at, until) + self.forget if fails else 0
+            yield Row(user_id=key[0], event_id=event_id, outcome=outcome, failures=fails)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if fails:
+            self.state.update((fails, until, keep))
+            self.handle.registerTimer(-(-keep // 1000))
+        elif self.state.exists():
+            self.state.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lockout(stream: DataFrame, limit: int = 5, minutes: int = 30, delay: str = DELAY, forget_days: int = 365) -> DataFrame:
+    """Outcome of every login attempt ``(user_id, event_id, ts, ok)``: accepted,
+    failed, locked (this failure locks the account) or refused (while locked).
+
+    Open failures are forgotten ``forget_days`` after the last attempt that was
+    not refused, so the state of every user ends. Needs the RocksDB state store."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    attempts = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    processor = LockoutProcessor(limit, minutes * 60_000_000, forget_days * 86_400_000_000)
+    return attempts.groupBy("user_id").transformWithState(processor, LOCK_OUT, "Append", "EventTime")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
