@@ -263,3 +263,26 @@ def test_table_function_runs_on_arrow_batches(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPython" not in plan
     assert sorted((r.row, r.kind, r.value) for r in out.collect()) == [(1, "email", "a@b.org"), (1, "email", "c@d.org")]
+
+
+def test_hashed_redaction_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "write to a@b.org"), (None, "c@d.org, a@b.org!"), (7, "a@b.org"), (7, "none"), (8, None), (9, "é " * 3000 + "a@b.org " * 500)]
+    df = spark.createDataFrame(rows, "id long, body string").repartition(3)
+    got = sorted((str(r.id), str(r.body)) for r in pii.redact_hashed(df, "id", "body", b"s", rounds=2).collect())
+
+    def plain(text):
+        if text is None:
+            return None
+        for value in ("a@b.org", "c@d.org"):
+            text = text.replace(value, f"<HASH_{pii.slow_hash(value, b's', 2)[:8]}>")
+        return text
+
+    assert got == sorted((str(i), str(plain(b))) for i, b in rows)
+
+
+@pytest.mark.parametrize("value,kind,shown", [
+    ("abc@x.org", "email", "ab***@x.org"), ("a@x.org", "email", "a***@x.org"), ("+1 202 555 0143", "phone", "***-***-0143"), ("12345", "phone", "12*45"),
+    ("4111-1111-1111-1111", "credit_card", "****-****-****-1111"), ("123-45-6789", "ssn", "***-**-6789"), ("123456789", "ssn", "*****6789"), ("AB123456C", "national_id", "AB*****6C"), ("abcd", "name", "****"),
+])
+def test_partly_hidden_values(value, kind, shown):
+    assert pii.partial_mask(value, kind) == shown

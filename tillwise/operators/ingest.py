@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions import prefix
@@ -96,15 +96,26 @@ def run_metrics(rows: DataFrame, run: Column) -> DataFrame:
     ).withColumn("success_rate", percent(n - bad, n, 0))
 
 
-def lineage(stages: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
-    """One row per stage ``(event, source table, target table, rows)``."""
-    out = None
-    for event, src, dst, df in stages:
-        row = df.agg(F.count("*").alias("affected_rows")).select(
-            F.lit(event).alias("event_type"), F.lit(src).alias("source_table"), F.lit(dst).alias("target_table"), "affected_rows"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+class Lineage:
+    """Rows per stage of a run, counted while the run writes its result: each
+    stage is observed where it stands in the plan, so nothing is read twice.
+
+    Spark counts with accumulators: the tasks of a stage that has to run again,
+    because an executor was lost with its shuffle files, are counted again."""
+
+    def __init__(self) -> None:
+        self.stages: list[tuple[str, str, str, Observation]] = []
+
+    def stage(self, df: DataFrame, event: str, source: str, target: str, counted: Column | None = None) -> DataFrame:
+        """The rows, observed; ``counted``: the rows that the stage affects (all)."""
+        seen = Observation(f"{event}-{len(self.stages)}")
+        self.stages.append((event, source, target, seen))
+        return df.observe(seen, F.count_if(counted if counted is not None else F.lit(True)).alias("n"))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """One row per stage, after the run has been written."""
+        found = [(event, source, target, seen.get["n"]) for event, source, target, seen in self.stages]
+        return spark.createDataFrame(found, "event_type string, source_table string, target_table string, affected_rows bigint")
 
 
 # Days to keep and the state that allows deletion.

@@ -55,17 +55,25 @@ def monthly_sales(sales, sources=("pos", "api_sales"), approximate=False, start=
     )
 
 
-def monthly_customer_sketches(sales) -> DataFrame:
-    """HLL sketch per month and branch; sketches merge over any coarser group."""
-    return sales.groupBy(F.trunc("sale_date", "month").alias("month"), "branch_id").agg(
-        F.hll_sketch_agg("customer_id", 12).alias("customers")
-    )
+def daily_customer_sketches(sales) -> DataFrame:
+    """HLL sketch of the customers per day and branch. Sketches are small and
+    merge over any coarser group, so no later count reads the sales again."""
+    return sales.groupBy("sale_date", "branch_id").agg(F.hll_sketch_agg("customer_id", 12).alias("customers"))
 
 
-def merge_customer_sketches(sketches, keys) -> DataFrame:
-    return sketches.groupBy(*keys).agg(
-        F.hll_sketch_estimate(F.hll_union_agg("customers")).alias("unique_customers")
-    )
+def store_customer_sketches(spark, path: str, sales, months: list | None = None) -> None:
+    """Write the sketches per day and branch of these months (first days; all, if
+    none are named) into a table by month; months written again are replaced."""
+    month = F.trunc("sale_date", "month").alias("month")
+    picked = sales if months is None else sales.where(F.trunc("sale_date", "month").isin(*months))
+    # A month is some thousand bytes per day and branch: one writer each.
+    kept = daily_customer_sketches(picked).select(month, "*").repartition("month")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def customers_of(sketches, keys) -> DataFrame:
+    """Estimated different customers per group of stored sketches."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("customers")).alias("unique_customers"))
 
 
 def inventory_snapshot(readings, as_of: Column, days=7) -> DataFrame:

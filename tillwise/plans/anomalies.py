@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators import anomaly, marts
 from tillwise.plans.registry import query
-from tillwise.session import scratch_path
+from tillwise.session import checkpointed, scratch_path
 
 
 def rounded(df, *names, digits=6):
@@ -128,8 +128,24 @@ def _(t):
     return anomaly.volume_iqr(t.dq_runs, marts.max_of(t.events, "ts"), "7d")
 
 
-@query("anom_isolation_forest")
+# One run of each rule is planted far off: violations and duration a hundred times the largest.
+@query(
+    "anom_isolation_forest",
+    """
+SELECT rule_id, rule_id || '-planted' AS run_id, true AS is_anomaly, true AS among_first FROM dq_runs GROUP BY rule_id
+UNION ALL SELECT 'all', 'scored', count(*) + count(DISTINCT rule_id) > 0, true FROM dq_runs""",
+)
 def _(t):
-    return anomaly.isolation_forest(t.dq_runs)
-
-
+    far = t.dq_runs.groupBy("rule_id").agg(
+        F.max("finished_at").alias("finished_at"), (F.max("violations_count") * 100).alias("violations_count"),
+        (F.max("rows_scanned") * 100).alias("rows_scanned"), (F.max("duration_seconds") * 100).alias("duration_seconds"),
+    ).withColumn("run_id", F.concat("rule_id", F.lit("-planted")))
+    runs = t.dq_runs.unionByName(far, allowMissingColumns=True)
+    scored = checkpointed(anomaly.isolation_forest(runs))
+    planted = F.col("run_id").endswith("-planted")
+    most = scored.where(~planted).agg(F.max("score")).scalar()
+    found = scored.where(planted).select("rule_id", "run_id", "is_anomaly", (F.col("score") > most).alias("among_first"))
+    # every run has a score, and about the asked share of them is marked
+    n = F.count("*")
+    whole = scored.agg((F.count("score") == n).alias("is_anomaly"), (F.count_if("is_anomaly") <= 0.06 * n).alias("among_first"))
+    return found.unionByName(whole.select(F.lit("all").alias("rule_id"), F.lit("scored").alias("run_id"), "is_anomaly", "among_first"))

@@ -111,18 +111,18 @@ def _(t):
 @query(
     "ingest_lineage_log",
     f"""
-WITH {RAW_SQL} SELECT 'INGEST' AS event_type, 'source' AS source_table, 'raw_events' AS target_table, count(DISTINCT ingest_id) AS affected_rows FROM keyed
-UNION ALL SELECT 'VALIDATE', 'raw_events', 'raw_errors', count(*) FROM raw_events WHERE state = 'error' UNION ALL SELECT 'AGGREGATE', 'raw_events', 'daily', count(*) FROM (SELECT DISTINCT source, CAST(created_at AS DATE) FROM raw_events)""",
+WITH {RAW_SQL}, r AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY ingest_id ORDER BY event_id) = 1)
+SELECT 'INGEST' AS event_type, 'source' AS source_table, 'raw_events' AS target_table, count(*) AS affected_rows FROM r
+UNION ALL SELECT 'VALIDATE', 'raw_events', 'raw_errors', count(*) FROM r WHERE state = 'error'
+UNION ALL SELECT 'AGGREGATE', 'raw_events', 'daily', count(*) FROM (SELECT DISTINCT source, CAST(created_at AS DATE) FROM r WHERE state <> 'error')""",
 )
 def _(t):
-    raw = t.raw_events
-    return ingest.lineage(
-        [
-            ("INGEST", "source", "raw_events", ingest.deduplicate(keyed(t), ["event_id"])),
-            ("VALIDATE", "raw_events", "raw_errors", raw.where("state = 'error'")),
-            ("AGGREGATE", "raw_events", "daily", raw.select("source", F.to_date("created_at")).distinct()),
-        ]
-    )
+    run = ingest.Lineage()
+    fresh = run.stage(ingest.deduplicate(keyed(t), ["event_id"]), "INGEST", "source", "raw_events")
+    checked = run.stage(fresh, "VALIDATE", "raw_events", "raw_errors", F.col("state") == "error")
+    daily = checked.where("state <> 'error'").groupBy("source", F.to_date("created_at").alias("day")).agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+    run.stage(daily, "AGGREGATE", "raw_events", "daily").write.parquet(scratch_path(t.spark, "daily"))
+    return run.rows(t.spark)
 
 
 # Kind, rows as (ts, state) and days: the generated events span 30 days, so most limits are shorter here.

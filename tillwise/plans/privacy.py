@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,34 @@ UNION ALL SELECT text_id, p FROM (SELECT text_id, unnest({every(pii.PHONES['UK']
 }
 
 
+def _hits(order: int, kind: str, sure: float, level: str, pattern: str, good: str, flags: str = "") -> str:
+    """Matches of a pattern with their places: the text is split at them, and a
+    match starts behind all pieces and matches before it."""
+    p = flags + sql_text(pattern)
+    return f"""
+SELECT text_id, field, {order} AS o, '{kind}' AS type, CAST({sure} AS DOUBLE) AS confidence, start, start + length(v) AS "end", v AS value, '{level}' AS level FROM (
+  SELECT text_id, field, unnest(vs) AS v, unnest([CAST(list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda x: length(x))), 0) AS BIGINT) for k in range(1, len(vs) + 1)]) AS start
+  FROM (SELECT text_id, field, regexp_extract_all(body, '{p}') AS vs, string_split_regex(body, '{p}') AS ps FROM texts) WHERE len(vs) > 0) WHERE {good}"""
+
+
+DIGITS = "regexp_replace(v, '[^\\d+]', '', 'g')"
+HITS = [
+    ("email", 0.95, "MEDIUM", pii.EMAIL, re.sub(r"\be\b", "v", GOOD_EMAIL), "(?i)"),
+    ("phone", 0.9, "MEDIUM", pii.PHONES["US"], f"regexp_matches({DIGITS}, '^\\+1[2-9]\\d{{2}}[2-9]\\d{{6}}$|^\\+447[1-9]\\d{{8}}$')"),
+    ("phone", 0.9, "MEDIUM", pii.PHONES["UK"], f"regexp_matches({DIGITS}, '^\\+1[2-9]\\d{{2}}[2-9]\\d{{6}}$|^\\+447[1-9]\\d{{8}}$')"),
+    ("ssn", 0.8, "HIGH", pii.SSN, "NOT starts_with(v, '000') AND substring(v, 5, 2) <> '00' AND NOT ends_with(v, '0000')"),
+    *[("credit_card", 0.9, "CRITICAL", p, re.sub(r"\bd\b", "regexp_replace(v, '[\\\\s-]', '', 'g')", LUHN)) for p in pii.CARDS.values()],
+    *[("national_id", 0.8, "HIGH", p, "true") for p in pii.NATIONAL_IDS.values()],
+    ("ip_address", 0.8, "LOW", pii.IPV4, "len(list_filter(string_split(v, '.'), lambda x: CAST(x AS INTEGER) > 255)) = 0"),
+]
+# Hits by start; of hits that meet, the first stays unless a later one is more certain.
+SPANS_SQL = f"""
+hits AS ({" UNION ALL ".join(_hits(o, *h) for o, h in enumerate(HITS))}),
+lists AS (SELECT text_id, field, list([struct_pack(s := start, e := "end", c := confidence, t := type, v := value, l := level)] ORDER BY start, o) AS h FROM hits GROUP BY text_id, field),
+swept AS (SELECT text_id, field, unnest(list_reduce(h, lambda a, x: CASE WHEN a[-1].e < x[1].s THEN a || x WHEN x[1].c > a[-1].c THEN a[:-2] || x ELSE a END)) AS m FROM lists),
+spans AS (SELECT text_id, field, m.t AS type, m.c AS confidence, CAST(m.s AS INTEGER) AS start, CAST(m.e AS INTEGER) AS "end", m.v AS value, m.l AS level FROM swept)"""
+
+
 def detector(qid: str, kind: str):
     @query(qid, f"SELECT text_id, v AS value, count(*) AS n FROM ({FOUND_SQL[kind]}) GROUP BY 1, 2")
     def _(t):
@@ -59,7 +88,7 @@ detector("pii_ip", "ip_address")
 detector("pii_name", "name")
 
 
-@query("pii_scan_text")
+@query("pii_scan_text", f"WITH {SPANS_SQL} SELECT text_id, type, confidence, start, \"end\", value, level FROM spans")
 def _(t):
     spans = t.texts.select("text_id", F.explode(pii.scan(F.col("body"))).alias("m"))
     return spans.select("text_id", "m.*")
@@ -112,12 +141,30 @@ def field_spans(t):
     return t.texts.select(field.alias("path"), F.explode(pii.scan(F.col("body"))).alias("m")).select("path", "m.type", "m.confidence")
 
 
-@query("pii_classify_field")
+FIELDS_SQL = f"""
+WITH {SPANS_SQL},
+paths AS (SELECT CASE WHEN field = 'text' THEN 'text' ELSE 'note_' || CAST(length(text_id) AS VARCHAR) END AS path, type, confidence FROM spans),
+kinds AS (SELECT path, type, max(confidence) AS c, count(*) AS n,
+  CASE type WHEN 'credit_card' THEN 'FINANCIAL' WHEN 'ip_address' THEN 'LOCATION' ELSE 'IDENTIFIERS' END AS category,
+  CASE type WHEN 'credit_card' THEN 4 WHEN 'ip_address' THEN 1 ELSE 2 END AS rank FROM paths GROUP BY path, type),
+fields AS (
+  SELECT path, CASE max(rank) WHEN 4 THEN 'CRITICAL' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS pii_level, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories,
+    array_to_string(list_sort(list(type)), ',') AS types, max(c) AS confidence, CAST(sum(n) AS BIGINT) AS match_count FROM kinds GROUP BY path)"""
+
+
+@query("pii_classify_field", f"{FIELDS_SQL} SELECT path, pii_level, categories, types, confidence, match_count FROM fields")
 def _(t):
     return pii.classify_fields(field_spans(t))
 
 
-@query("agg_pii_data_map")
+@query(
+    "agg_pii_data_map",
+    f"""{FIELDS_SQL}
+SELECT 'pii_fields' AS section, 'all' AS item, count(*) AS n FROM fields UNION ALL SELECT 'total_fields', 'all', count(DISTINCT field) FROM texts
+UNION ALL SELECT 'level', pii_level, count(*) FROM fields GROUP BY pii_level
+UNION ALL SELECT 'category', item, count(*) FROM (SELECT unnest(string_split(categories, ',')) AS item FROM fields) GROUP BY item
+UNION ALL SELECT 'type', item, count(*) FROM (SELECT unnest(string_split(types, ',')) AS item FROM fields) GROUP BY item""",
+)
 def _(t):
     total = t.texts.agg(F.count_distinct("field").alias("n")).scalar()
     return pii.data_map(pii.classify_fields(field_spans(t)), total)
@@ -174,10 +221,26 @@ for _strategy in REPLACED_SQL:
     redaction(_strategy)
 
 
-@query("pii_redact_hash")
+def _pad_sql(value: str, byte: int) -> str:
+    """A text of at most 64 bytes as an HMAC key block, combined with a byte, in hex."""
+    return f"array_to_string([printf('%02x', xor(CAST(('0x' || substring(rpad(hex(CAST({value} AS BLOB)), 128, '0'), 2 * i + 1, 2)) AS INTEGER), {byte})) for i in range(64)], '')"
+
+
+# One round of PBKDF2 is an HMAC keyed with the value over the salt and the block number.
+HASHED_SQL = f"""sha256(from_hex({_pad_sql('value', 0x5C)} || sha256(from_hex({_pad_sql('value', 0x36)} || '{b"salt".hex()}00000001'))))"""
+
+
+@query(
+    "pii_redact_hash",
+    f"""
+WITH {SPANS_SQL}, known AS (SELECT value, '<HASH_' || left({HASHED_SQL}, 8) || '>' AS new FROM (SELECT DISTINCT value FROM spans)),
+placed AS (SELECT text_id, list(struct_pack(s := start, e := "end", n := new) ORDER BY start) AS h FROM spans JOIN known USING (value) WHERE field = 'text' GROUP BY text_id)
+SELECT text_id, CASE WHEN h IS NULL THEN body ELSE array_to_string(list_transform(range(1, len(h) + 1), lambda i: substring(body, CASE WHEN i = 1 THEN 1 ELSE h[i - 1].e + 1 END, h[i].s - CASE WHEN i = 1 THEN 0 ELSE h[i - 1].e END) || h[i].n), '') || substring(body, h[-1].e + 1) END AS body
+FROM texts LEFT JOIN placed USING (text_id) WHERE field = 'text'""",
+)
 def _(t):
-    # PBKDF2 is slow by design; every different value of the documents is hashed once
-    return pii.redact_hashed(t.texts.where("field = 'text'"), "text_id", "body", salt=b"salt")
+    # every different value of the documents is hashed once; SQL can state one round only, the default are 100,000
+    return pii.redact_hashed(t.texts.where("field = 'text'"), "text_id", "body", salt=b"salt", rounds=1)
 
 
 def hmac_sql(key: bytes, message: str) -> str:
