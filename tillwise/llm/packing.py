@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tillwise.llm import pretokens
 from tillwise.llm import text as tx
@@ -129,7 +130,57 @@ def _special(path: str) -> list[str]:
     return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
-_cache: dict[str, np.ndarray] = {}
+@cache
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes that each id stands for; a byte-level vocabulary writes one character per byte."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    out[list(vocabulary.values())] = [len(t) for t in vocabulary]
+    return out
+
+
+JOINED = 100  # words that are encoded in one go
+
+
+def encode_pieces(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces, one after the other, and how many each has.
+
+    A blank and letters is a piece wherever it stands among its like, so such
+    words are encoded joined; ids then fall to the words by their bytes. If a
+    word did not end where an id ends, all are encoded one by one.
+    """
+    model = _tokenizer(path)
+    number = np.zeros(len(pieces), np.int64)
+    joined = [k for k, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+    parts: dict[int, list[int]] = {}
+    flat = np.zeros(0, np.uint32)
+    if joined:
+        runs = ["".join(pieces[k] for k in joined[low : low + JOINED]) for low in range(0, len(joined), JOINED)]
+        flat = np.array([i for e in model.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.cumsum(_token_bytes(path)[flat])
+        wanted = np.cumsum([len(pieces[k].encode()) for k in joined])
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+            number[joined] = np.diff(np.concatenate([[-1], last]))
+        else:
+            joined, flat = [], flat[:0]
+    single = np.ones(len(pieces), bool)
+    single[joined] = False
+    rest = np.flatnonzero(single).tolist()
+    for low in range(0, len(rest), 10_000):
+        part = rest[low : low + 10_000]
+        for k, e in zip(part, model.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False), strict=True):
+            parts[k] = e.ids
+            number[k] = len(e.ids)
+    singles = np.array([i for k in rest for i in parts[k]], np.uint32)
+    # Back into the order of the pieces.
+    begin = np.zeros(len(pieces), np.int64)
+    begin[joined] = np.cumsum(number[joined]) - number[joined]
+    begin[rest] = len(flat) + np.cumsum(number[rest]) - number[rest]
+    return tx.ragged(np.concatenate([flat, singles]), begin, number), number
+
+
+_known: dict[str, pretokens.Known] = {}
 
 
 def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -141,20 +192,10 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
     """
     model = _tokenizer(path)
     pieces = pretokens.cut(data, offsets)
-    new = [p for p in pieces.distinct if p not in _cache]
-    if len(_cache) + len(new) > CACHE_PIECES:
-        _cache.clear()
-        new = pieces.distinct
-    for low in range(0, len(new), 10_000):
-        part = new[low : low + 10_000]
-        for p, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _cache[p] = np.array(e.ids, np.uint32)
-    found = [_cache[p] for p in pieces.distinct]
-    size = np.array([len(x) for x in found], np.int64)
-    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-    begin = np.cumsum(size) - size
+    known = _known.setdefault(path, pretokens.Known(CACHE_PIECES, np.uint32))
+    flat, begin, size = known.look_up(pieces, lambda new: encode_pieces(new, path))
     per_piece = size[pieces.codes] if len(size) else np.zeros(0, np.int64)
-    ids = tx.ragged(flat, begin[pieces.codes], per_piece) if len(size) else flat
+    ids = tx.ragged(flat, begin[pieces.codes], per_piece) if len(size) else flat[:0]
     first = np.concatenate([[0], np.cumsum(per_piece)])[pieces.first]
     whole = data.tobytes()
     if any(s.encode() in whole for s in _special(path)):
@@ -218,6 +259,6 @@ def pack_documents(
         if held:
             yield flush()
 
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(docs.schema[id_column].dataType)
     loss = F.lit(0) if loss_from is None else loss_from
     return docs.select(id_column, text_column, loss.cast("int").alias("loss_from_")).mapInArrow(run, schema)

@@ -7,8 +7,9 @@ from a few comparisons of whole arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,67 @@ def class_table() -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """Pieces of a slice: ``distinct`` strings, the code of each piece in order,
-    and each text's first piece (with the total at the end)."""
+    """Pieces of a slice: where the different ones stand in the text and their
+    hashes, the code of each piece in order, and each text's first piece (with
+    the total at the end)."""
 
-    distinct: list[str]
+    text: str
+    start: np.ndarray
+    end: np.ndarray
+    keys: np.ndarray
     codes: np.ndarray
     first: np.ndarray
 
+    def strings(self, at: np.ndarray) -> list[str]:
+        """Some of the different pieces."""
+        return [self.text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+    @cached_property
+    def distinct(self) -> list[str]:
+        return self.strings(np.arange(len(self.keys)))
+
+
+class Known:
+    """Ids of the pieces that a worker has met, by hash, in one array. When there
+    are too many, the older half is let go: pieces not met since the last time."""
+
+    def __init__(self, most: int, kind: type) -> None:
+        self.most, self.kind = most, kind
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, kind)
+        self.before: Known | None = None
+
+    def _add(self, keys: np.ndarray, flat: np.ndarray, number: np.ndarray) -> None:
+        self.keys = np.concatenate([self.keys, keys])
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(number)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return pd.Index(self.keys).get_indexer(keys)
+
+    def look_up(self, pieces: Pieces, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids known, and where the ids of each different piece begin and how
+        many they are. ``encode``: ids of new pieces, one after the other, and
+        how many each has."""
+        at = self._places(pieces.keys)
+        new = np.flatnonzero(at < 0)
+        if len(self.keys) + len(new) > self.most and len(self.keys):
+            older = Known(self.most, self.kind)
+            older.keys, older.begin, older.flat = self.keys, self.begin, self.flat
+            self.__init__(self.most, self.kind)
+            self.before, new = older, np.arange(len(pieces.keys))
+        if len(new):
+            if self.before is not None:
+                old = self.before
+                where = old._places(pieces.keys[new])
+                kept, where = new[where >= 0], where[where >= 0]
+                size = old.begin[where + 1] - old.begin[where]
+                self._add(pieces.keys[kept], tx.ragged(old.flat, old.begin[where], size), size)
+                new = np.setdiff1d(new, kept, assume_unique=True)
+            self._add(pieces.keys[new], *encode(pieces.strings(new)))
+            at = self._places(pieces.keys)
+        return self.flat, self.begin[at], self.begin[at + 1] - self.begin[at]
+
 
 def piece_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Whether a piece starts at each code point; ``borders``: the texts' places."""
@@ -86,7 +141,8 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     np.cumsum(LEAD[data], out=lead[1:])
     borders = lead[offsets]
     if not len(points):
-        return Pieces([], np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
+        none = np.zeros(0, np.int64)
+        return Pieces("", none, none, none.astype(np.uint64), none, np.zeros(len(offsets), np.int64))
     start = np.flatnonzero(piece_starts(points, borders))
     end = np.append(start[1:], len(points))
     codes = np.empty(len(start), np.uint64)
@@ -99,5 +155,4 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     code, seen = pd.factorize(codes)
     where = np.empty(len(seen), np.int64)
     where[code[::-1]] = np.arange(len(code))[::-1]
-    distinct = [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-    return Pieces(distinct, code, np.searchsorted(start, borders))
+    return Pieces(text, start[where], end[where], seen, code, np.searchsorted(start, borders))
