@@ -56,7 +56,7 @@ class Vocabulary:
                     right.append(b)
                     rank.append(r)
         self._build(self.key(np.array(left, np.int64), np.array(right, np.int64)), np.array(rank, np.int64))
-        self.known: dict[str, np.ndarray] = {}
+        self.known = pretokens.Known(CACHE_PIECES, np.int32)
 
     @staticmethod
     def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -190,19 +190,17 @@ class Vocabulary:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a slice and where each text's ids begin."""
         pieces = pretokens.cut(data, offsets)
-        new = [p for p in pieces.distinct if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = pieces.distinct
-        self.known.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
-        found = [self.known[p] for p in pieces.distinct]
-        if not found:
+        if not len(pieces.keys):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        size = np.array([len(x) for x in found], np.int64)
+        flat, begin, size = self.known.look_up(pieces, self._encode_new)
         per_piece = size[pieces.codes]
-        ids = tx.ragged(np.concatenate(found), (np.cumsum(size) - size)[pieces.codes], per_piece)
+        ids = tx.ragged(flat, begin[pieces.codes], per_piece)
         return ids, np.concatenate([[0], np.cumsum(per_piece)])[pieces.first]
 
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode_pieces([p.encode() for p in pieces])
+        return np.concatenate([*found, np.zeros(0, np.int32)]), np.array([len(x) for x in found], np.int64)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
