@@ -1,12 +1,17 @@
 """Corpus preparation in stages, each written and read again before the next.
 
 Models are fitted on the labelled documents of ``sf_dir``, whatever an earlier
-stage has left of them; every stage works on all rows that it is given.
+stage has left of them; every stage works on all rows that it is given, of the
+columns in COLUMNS; further columns are dropped. Null texts count as empty ones
+and are rejected by the quality stages, as texts of few words are. Null and
+repeated ids are rows like others. Texts of any length are read whole, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.llm import gam, line_rules, minhash, packing, queries, secret_scan
@@ -25,13 +30,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_rules.passing(docs.select(*COLUMNS), queries.line_chain(spark, sf_dir))
 
 
+def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """COLUMNS and ``row_key``, a number per row that is the same whenever the
+    table is read, however it is split: the rank of its file by name and its
+    place there. A table that is not read from files is written first."""
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        path = scratch_path(spark, "rows")
+        docs.select(*COLUMNS).write.parquet(path)
+        return with_row_key(spark, spark.read.parquet(path))
+    rank = F.row_number().over(Window.orderBy("file"))  # one row per file
+    files = placed.select("file").distinct().withColumn("rank", rank)
+    key = F.shiftleft(F.col("rank").cast("bigint"), 40) + F.col("place")
+    return placed.join(files, "file").select(*COLUMNS, key.alias("row_key"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, the one of smallest id.
 
-    Rows are told apart by their place in the table, which is a written one and
-    read alike each time: ids may be null or repeated. Null ids come last, so
-    the one of a group stays if it has no other."""
-    keyed = docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id())
+    Rows are told apart by their place in the written table: ids may be null or
+    repeated. Null ids come last, so the one of a group stays if it has no other."""
+    keyed = with_row_key(spark, docs)
     found = minhash.near_duplicates(keyed, "row_key").select("row_key", "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     kept = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first["row_key"].alias("row_key")).select("row_key")
