@@ -23,6 +23,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -259,7 +260,7 @@ def iban_spans(run: str, closed: list[tuple[int, int]]) -> list[tuple[int, int]]
     return []
 
 
-def _grouped(text: str, kind: str, form: re.Pattern, permuter: Permuter, taken: list[Found]) -> list[Found]:
+def _grouped(text: str, kind: str, form: re.Pattern, permuter: Permuter, taken: Taken) -> list[Found]:
     """Values of a kind whose groups may stand beside other groups.
 
     Values of a run are permuted together until the same places are found in the
@@ -269,7 +270,7 @@ def _grouped(text: str, kind: str, form: re.Pattern, permuter: Permuter, taken:
     m = form.search(text)
     while m:
         low, run, next_ = m.start(), m.group(), m.start() + 1
-        closed = [(f.start - low, f.end - low) for f in taken]
+        closed = [(f.start - low, f.end - low) for f in taken.between(low, m.end())]
         spans = spans_of(run, closed)
         new = run
         while spans:
@@ -286,25 +287,42 @@ def _grouped(text: str, kind: str, form: re.Pattern, permuter: Permuter, taken:
     return out
 
 
+class Taken:
+    """Found values, apart and in order, so that a place is looked up by bisection."""
+
+    def __init__(self) -> None:
+        self.found: list[Found] = []
+        self.starts: list[int] = []
+
+    def between(self, low: int, high: int) -> list[Found]:
+        """Values that share a character with [low, high)."""
+        first = max(0, bisect_right(self.starts, low) - 1)
+        return [f for f in self.found[first : bisect_left(self.starts, high)] if low < f.end]
+
+    def add(self, new: list[Found]) -> None:
+        if new:
+            self.found = sorted([*self.found, *new], key=lambda f: f.start)
+            self.starts = [f.start for f in self.found]
+
+
 def find(text: str, permuter: Permuter) -> list[Found]:
     """Checked values of a text with their pseudonyms, from left to right
     without overlaps; of two that overlap the kind named first wins."""
     if not _HINT.search(text):
         return []
-    taken: list[Found] = []
+    taken = Taken()
     for kind, form in FORMS.items():
         if kind == "email" and "@" not in text:
             continue
         if kind in ("iban", "card"):
-            taken += _grouped(text, kind, form, permuter, taken)
+            taken.add(_grouped(text, kind, form, permuter, taken))
             continue
+        new = []
         for m in form.finditer(text):
-            if any(m.start() < f.end and f.start < m.end() for f in taken):
-                continue
-            new = getattr(permuter, kind)(m.group())
-            if new is not None:
-                taken.append(Found(m.start(), m.end(), kind, new))
-    return sorted(taken, key=lambda f: f.start)
+            if not taken.between(m.start(), m.end()) and (value := getattr(permuter, kind)(m.group())) is not None:
+                new.append(Found(m.start(), m.end(), kind, value))
+        taken.add(new)  # matches of one form never overlap
+    return taken.found
 
 
 def replaced(text: str, found: list[Found]) -> str:
