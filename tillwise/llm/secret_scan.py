@@ -7,12 +7,14 @@ next one, and how much of the text looks like a file of settings. Spans of
 fixed forms (``base_spans``) are always reported; tagged spans that go beyond
 any one of them are added as kind ``crf``, overlapping ones too.
 
-The field is fitted on about ``fit_words`` words of each of at most
-``sample_rows`` documents (smallest hash of the id): around the first base span
-of those that have one, from the start of ``plain_rows`` others. Words under a
-base span are tagged as secret there; and generated credentials of other forms
-are put into copies of the lines, so that shape and neighbours are learned
-rather than the fixed forms alone. Scanning reads every text whole.
+The field is fitted on windows of about ``fit_words`` words, cut from the whole
+texts of ``sample_rows`` documents (smallest hash of the id): by hash of the
+window ``fit_windows`` that may hold a base span and ``plain_windows`` others.
+These documented bounds are all that reaches the driver. Words under a base span
+are tagged as secret there; and generated credentials of other forms are put
+into copies of the lines, so that shape and neighbours are learned rather than
+the fixed forms alone. Scanning reads every text whole, and what decoding tags
+is reported.
 
 Null and empty texts have no spans. Repeated rows are scanned one by one; an
 empty table gives an empty result, and a field of zero weights marks nothing.
@@ -24,7 +26,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,9 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 @dataclass(frozen=True)
 class Params:
     sample_rows: int = 3_000
-    plain_rows: int = 500  # of these without a base span
-    fit_words: int = 120  # words of a document that the fitting reads
+    fit_windows: int = 2_500  # windows that may hold a base span
+    plain_windows: int = 500  # and others
+    fit_words: int = 120  # words of a window
     epochs: int = 40
 
 
@@ -140,7 +145,7 @@ def tagged_spans(words: tx.Words, tags: np.ndarray) -> list[tuple[int, int, int]
         raw = words.data[words.start[k] : words.end[stop - 1]].tobytes()
         left = len(raw) - len(raw.lstrip(b"\"'(<[{,;"))
         right = len(raw.rstrip(b"\"')>]},;.:"))
-        if right > left and re.search(rb"[A-Za-z]", raw):  # a number alone is personal data, not a credential
+        if right > left:
             out.append((int(words.doc[k]), int(words.start[k]) + left, int(words.start[k]) + right))
     return out
 
@@ -158,9 +163,15 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, chain: crf.Chain, p: Param
     if spans:
         points = np.zeros(len(data) + 1, np.int64)
         np.cumsum(LEAD[data], out=points[1:])
+        reach: dict[int, tuple[list[int], list[int]]] = {}  # of the base spans: starts, farthest end so far
         for doc, a, b in spans:
             low, high = int(points[a] - points[offsets[doc]]), int(points[b] - points[offsets[doc]])
-            if not any(s <= low and high <= e for s, e, kind in found[doc] if kind != "crf"):
+            if doc not in reach:
+                base = sorted(found[doc])
+                reach[doc] = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+            starts, ends = reach[doc]
+            before = bisect_right(starts, low)
+            if not before or ends[before - 1] < high:
                 found[doc].append((low, high, "crf"))
     order = {k: i for i, k in enumerate(KINDS)}
     return [sorted(f, key=lambda x: (x[0], order[x[2]])) for f in found]
@@ -212,7 +223,7 @@ def _plain(r: random.Random) -> str:
 
 
 def examples(texts: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, tags and line borders to fit on, from the first words of texts."""
+    """Slots, tags and line borders to fit on, from the words of windows."""
     r = random.Random(11)
     lines_out, tags_out = [], []
     for text in texts:
@@ -253,18 +264,46 @@ def examples(texts: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(slots), np.array(gold, np.int64), np.array(first, np.int64)
 
 
+def windows(text: str, width: int) -> list[str]:
+    """The whole text in stretches of at most ``width`` characters that end
+    behind a line or, in long lines, behind a blank."""
+    out, at = [], 0
+    while at < len(text):
+        stop = at + width
+        if stop < len(text):
+            border = text.rfind("\n", at + width // 2, stop)
+            border = border if border > at else text.rfind(" ", at, stop)
+            stop = border + 1 if border > at else stop
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
+def sample(docs: DataFrame, id_column: str, text_column: str, p: Params) -> list[str]:
+    """Windows to fit on: of the whole texts of ``sample_rows`` documents, those
+    of smallest hash, ``fit_windows`` with something likely and ``plain_windows``
+    without. Equal windows count once."""
+    ids = docs.where(F.col(id_column).isNotNull()).select(id_column).distinct().orderBy(F.xxhash64(id_column), id_column).limit(p.sample_rows)
+    # At most sample_rows ids: the side that is sent out has a fixed bound.
+    rows = docs.select(id_column, text_column).join(F.broadcast(ids), id_column).select(text_column)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = windows(text or "", 8 * p.fit_words)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["w"])
+
+    cut = rows.mapInArrow(run, "w string").distinct().withColumn("likely", F.col("w").rlike(LIKELY))
+    first = lambda likely, n: cut.where(F.col("likely") == likely).orderBy(F.xxhash64("w"), "w").limit(n)
+    both = first(True, p.fit_windows).unionByName(first(False, p.plain_windows))
+    return [r[0] for r in sorted(both.select("w", "likely").collect(), key=lambda r: (not r[1], r[0]))]
+
+
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", params: Params | None = None) -> crf.Chain:
-    """Fit the field on a bounded sample of documents."""
+    """Fit the field on a bounded sample of windows."""
     p = params or Params()
-    sample = docs.where(F.col(id_column).isNotNull()).select(id_column).orderBy(F.xxhash64(id_column), id_column).limit(p.sample_rows)
-    # At most sample_rows ids: the side that is sent out has a fixed bound.
-    rows = docs.select(id_column, text_column).join(F.broadcast(sample.distinct()), id_column)
-    at = F.regexp_instr(text_column, F.lit(LIKELY))
-    width = 8 * p.fit_words
-    window = F.substring(F.col(text_column), F.greatest(at - width // 2, F.lit(1)), F.lit(width))
-    found = sorted((r[0], r[1] or "", r[2] or 0) for r in rows.select(id_column, window, at).collect())
-    chosen = [t for _, t, k in found if k] + [t for _, t, k in found if not k][: p.plain_rows]
-    slots, gold, first = examples(chosen, p)
+    slots, gold, first = examples(sample(docs, id_column, text_column, p), p)
     return crf.fit(slots, gold, first, N_IDS, 3, p.epochs, forbidden=((OUTSIDE, INSIDE),), not_first=(INSIDE,))
 
 
