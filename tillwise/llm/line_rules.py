@@ -5,10 +5,11 @@ conditional random field over the lines of a text marks each line as content or
 boilerplate by Viterbi decoding; a text stays if enough of its words stand in
 content lines.
 
-The field is fitted on at most ``sample_rows`` labelled documents (smallest
-hash of the id), of each the first ``fit_lines`` lines: lines of documents
-labelled 0 count as boilerplate, other lines as content. Only these bounded rows of line features reach the driver. Judging
-reads every text whole.
+The field is fitted on stretches of at most ``fit_lines`` lines, cut from the
+whole texts of ``sample_rows`` labelled documents (smallest hash of the id): the
+``fit_stretches`` of smallest hash, equal ones once. Lines of documents labelled
+0 count as boilerplate, other lines as content. These bounded rows of line
+features are all that reaches the driver. Judging reads every text whole.
 
 Null and empty texts have no words, so they fail the base rule. Without
 labelled rows the field has zero weights and takes every line for content.
@@ -38,6 +39,7 @@ class Params:
     most_repeat_percent: int = 50
     least_content: float = 0.5
     sample_rows: int = 2_000
+    fit_stretches: int = 2_000
     fit_lines: int = 300
     epochs: int = 80
 
@@ -119,16 +121,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 slots = line_slots(words, lines).astype(np.uint8)
                 found = []
                 for k, y in enumerate(rows.column("y_").to_pylist()):
-                    a, b = lines.first[k], min(lines.first[k + 1], lines.first[k] + p.fit_lines)
-                    gold = np.full(b - a, CONTENT if y else BOILERPLATE, np.uint8)
-                    found.append(np.column_stack([slots[a:b], gold]).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(found, pa.binary())], names=[id_column, "lines"])
+                    for a in range(lines.first[k], lines.first[k + 1], p.fit_lines):
+                        b = min(lines.first[k + 1], a + p.fit_lines)
+                        gold = np.full(b - a, CONTENT if y else BOILERPLATE, np.uint8)
+                        found.append(np.column_stack([slots[a:b], gold]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["lines"])
 
-    kind = dict(docs.dtypes)[id_column]
     # At most sample_rows ids: the side that is sent out has a fixed bound.
-    rows = docs.select(id_column, text_column).join(F.broadcast(sample), id_column)
-    found = sorted((r[0], bytes(r[1])) for r in rows.mapInArrow(run, f"`{id_column}` {kind}, lines binary").collect())
-    parts = [np.frombuffer(r[1], np.uint8).reshape(-1, len(BORDERS) + 1) for r in found]
+    rows = docs.select(id_column, text_column).join(F.broadcast(sample), id_column).select(text_column, "y_")
+    chosen = rows.mapInArrow(run, "lines binary").distinct().orderBy(F.xxhash64("lines"), "lines").limit(p.fit_stretches)
+    found = sorted(bytes(r[0]) for r in chosen.collect())
+    parts = [np.frombuffer(r, np.uint8).reshape(-1, len(BORDERS) + 1) for r in found]
     table = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, len(BORDERS) + 1), np.int64)
     first = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     return crf.fit(table[:, :-1], table[:, -1], first, N_IDS, 2, p.epochs)
