@@ -8,13 +8,14 @@ intercept plus one table entry per feature and pair, so scoring is a vectorised
 sum of bin look-ups.
 
 Fitting reads at most ``sample_rows`` labelled rows (those with the smallest
-hash of their id); their feature rows, some hundred bytes each, are the only
-thing that reaches the driver. Scoring reads every text whole.
+hash of their id), one per id and label; their feature rows, some hundred bytes
+each, are the only thing that reaches the driver. Scoring reads every text whole.
 
 Null and empty texts score as texts of zero words. Without labelled rows, or
 with one class only, every score is the smoothed share of class 1. Null labels
-and null ids are not learned from; repeated labels of an id count as often as
-they occur. An empty table gives an empty result. Other columns are not read.
+and null ids are not learned from; of the rows of a repeated id the one of
+smallest features counts, once per label. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -172,11 +173,11 @@ def featured(docs: DataFrame, id_column: str, text_column: str, keep: list[str])
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", params: Params | None = None) -> Model:
     """Fit on labelled documents; ``labels``: the rows that may be learned from."""
     p = params or Params()
-    usable = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y_"))
+    usable = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y_")).distinct()
     sample = usable.orderBy(F.xxhash64(id_column), id_column, "y_").limit(p.sample_rows)
     # At most sample_rows ids: the side that is sent out has a fixed bound.
     rows = docs.select(id_column, text_column).join(F.broadcast(sample), id_column)
-    found = featured(rows, id_column, text_column, [id_column, "y_"]).collect()
+    found = featured(rows, id_column, text_column, [id_column, "y_"]).groupBy(id_column, "y_").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.array([r[2] for r in found]).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r[1] for r in found], float), p)
