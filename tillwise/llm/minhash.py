@@ -112,12 +112,13 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def _sketch_schema(id_column: str) -> str:
-    return f"`{id_column}` bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>"
+    return f"`{id_column}` bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>"
 
 
 def sketch(docs: DataFrame, id_column: str, text_column: str, p: Params) -> DataFrame:
-    """id, n_shingles, set digest (set_a, set_b), band keys and packed low bits;
-    keys and bits are null for an empty set."""
+    """id, text_hash, n_shingles, set digest (set_a, set_b), band keys and packed
+    low bits; keys and bits are null for an empty set. Id and hash tell the
+    texts of a repeated id apart."""
 
     def run(batches):
         for batch in batches:
@@ -147,16 +148,17 @@ def sketch(docs: DataFrame, id_column: str, text_column: str, p: Params) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(id_column).cast(pa.int64()),
+                        rows.column("text_hash"),
                         pa.array(sizes),
                         pa.array(_long(digest[0])),
                         pa.array(_long(digest[1])),
                         _lists(bands).take(take) if len(full) else empty,
                         _lists(packed).take(take) if len(full) else empty,
                     ],
-                    names=[id_column, "n_shingles", "set_a", "set_b", "bands", "packed"],
+                    names=[id_column, "text_hash", "n_shingles", "set_a", "set_b", "bands", "packed"],
                 )
 
-    return docs.select(F.col(id_column).cast("bigint").alias(id_column), text_column).mapInArrow(run, _sketch_schema(id_column))
+    return docs.select(F.col(id_column).cast("bigint").alias(id_column), F.xxhash64(text_column).alias("text_hash"), text_column).mapInArrow(run, _sketch_schema(id_column))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
@@ -180,11 +182,11 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return flat.reshape(table.num_rows, -1)
 
 
-def _dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], member: list[str], block: int) -> DataFrame:
     """Copies of the rows for every pair of blocks (i <= j) their block is in;
     ``side`` 0 is block i, 1 is block j; a block meets itself once."""
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*member), F.col("blocks")).cast("int")
     return (
         rows.join(sizes, keys)
         .withColumn("blocks", blocks)
@@ -198,6 +200,7 @@ def _dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], member: str, bloc
 
 
 SLOT = ["band", "key", "i", "j"]
+MEMBER = ["rep", "rep_hash"]  # a text: its id and hash
 
 
 def _sorted_slots(rows: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def _possible(p: Params):
             hit[left[good.any(1)]] = True
             hit[right[good.any(0)]] = True
             if hit.any():
-                yield from slot.select(["rep", *SLOT, "side"]).filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from slot.select([*MEMBER, *SLOT, "side"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
@@ -308,7 +311,7 @@ def _with_sets(p: Params, text_column: str):
             for rows, data, offsets in tx.slices(batch, text_column):
                 hashes, first = shingle_hashes(tx.words_of(tx.LOWER[data], offsets), p.words)
                 sets = pa.array([s.tobytes() for s in distinct_sets(hashes, first)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("slots"), sets], names=["rep", "slots", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in MEMBER), rows.column("slots"), sets], names=[*MEMBER, "slots", "shingles"])
 
     return run
 
@@ -325,15 +328,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sketch(docs, id_column, text_column, p).write.parquet(path)
     sketches = spark.read.parquet(path).withColumnRenamed(id_column, "id")
 
-    exact = sketches.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = sketches.where("n_shingles > 0").join(exact.select(F.col("rep").alias("id")), "id")
-    keys = reps.select(F.col("id").alias("rep"), F.posexplode("bands").alias("band", "key"))
+    digest = ["set_a", "set_b", "n_shingles"]
+    filled = sketches.where("n_shingles > 0")
+    # Texts of one set are one class; the smallest id stands for it, with one of its texts.
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))
+    exact = filled.groupBy(*digest).agg(F.min(known).alias("r")).select(*digest, F.col("r.id").alias("rep"), F.col("r.text_hash").alias("rep_hash"))
+    chosen = exact.select(*digest, F.col("rep").alias("id"), F.col("rep_hash").alias("text_hash"))
+    reps = filled.join(chosen, [*digest, "id", "text_hash"]).dropDuplicates(["id", "text_hash"]).withColumnsRenamed({"id": "rep", "text_hash": "rep_hash"})
+    keys = reps.select(*MEMBER, F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = _dealt(keys, sizes, ["band", "key"], "rep", p.block).join(reps.select(F.col("id").alias("rep"), "bands", "packed"), "rep")
-    possible = _sorted_slots(members).mapInArrow(_possible(p), "rep bigint, band int, key bigint, i int, j int, side int")
-    slots = possible.groupBy("rep").agg(F.collect_list(F.struct(*SLOT, "side")).alias("slots"))
-    texts = docs.select(F.col(id_column).cast("bigint").alias("rep"), text_column)
-    sets = texts.join(slots, "rep").mapInArrow(_with_sets(p, text_column), f"rep bigint, slots {SLOTS}, shingles binary")
+    members = _dealt(keys, sizes, ["band", "key"], MEMBER, p.block).join(reps.select(*MEMBER, "bands", "packed"), MEMBER)
+    possible = _sorted_slots(members).mapInArrow(_possible(p), "rep bigint, rep_hash bigint, band int, key bigint, i int, j int, side int")
+    slots = possible.groupBy(*MEMBER).agg(F.collect_list(F.struct(*SLOT, "side")).alias("slots"))
+    texts = docs.select(F.col(id_column).cast("bigint").alias("rep"), F.xxhash64(text_column).alias("rep_hash"), F.col(text_column).alias("t"))
+    # Repeated rows count once.
+    wanted = texts.join(slots, MEMBER).groupBy(*MEMBER).agg(F.first("t").alias("t"), F.first("slots").alias("slots"))
+    sets = wanted.mapInArrow(_with_sets(p, "t"), f"rep bigint, rep_hash bigint, slots {SLOTS}, shingles binary")
     placed = sets.select("rep", "shingles", F.inline("slots"))
     links = _sorted_slots(placed).mapInArrow(_confirmed(p), "u bigint, v bigint")
     found = components(links)
@@ -341,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     root = F.coalesce("component", "rep", "id")
     return (
         sketches.select("id", "n_shingles", "set_a", "set_b")
-        .join(exact, ["set_a", "set_b", "n_shingles"], "left")
+        .join(exact.drop("rep_hash"), digest, "left")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("id").alias(id_column), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
     )
