@@ -23,10 +23,12 @@ Template of a message: ``### role: text</turn>`` and a line feed. In texts
 ``:`` as ``\\c``), so neither mark occurs inside a text, and the form reads back
 to exactly what went in.
 
-Null texts and roles count as empty. Events without conversation or message are
-no part of any conversation and are left out. Events of equal sequence number
-are ordered by kind, then text; repeated deltas append twice. An empty log
-gives an empty result. Other columns are not read.
+Null texts and roles count as empty. Events without a conversation are one
+conversation of their own; those without a message are left out. A null or
+unknown kind is a delta. Events without a sequence number come before all
+others, so any reset of their message or an earlier one takes them back. Events
+of equal sequence number are ordered by kind, then text; repeated deltas append
+twice. An empty log gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,15 +66,16 @@ def fold(events: DataFrame) -> DataFrame:
     """conversation, message, role, text: the messages that stand at the end.
 
     The role is that of the message's last event."""
-    known = events.where("conversation IS NOT NULL AND message IS NOT NULL").select(
+    known = events.where("message IS NOT NULL").select(
         "conversation", "message", "sequence", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     is_reset = F.col("kind").isin("edit", "regenerate")
     resets = known.groupBy("conversation", "message").agg(F.max(F.when(is_reset, F.col("sequence"))).alias("reset"))
     earlier = Window.partitionBy("conversation").orderBy("message").rowsBetween(Window.unboundedPreceding, 0)
-    border = resets.select("conversation", "message", F.max("reset").over(earlier).alias("border"))
+    border = resets.select(F.col("conversation").alias("c_"), F.col("message").alias("m_"), F.max("reset").over(earlier).alias("border"))
     # The message's own reset event counts; what it or an earlier one took back does not.
-    alive = known.join(border, ["conversation", "message"]).where("border IS NULL OR sequence >= border")
+    same = known["conversation"].eqNullSafe(border["c_"]) & (known["message"] == border["m_"])
+    alive = known.join(border, same).where("border IS NULL OR sequence >= border")
     written = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
     pieces = F.array_sort(F.collect_list(F.struct("sequence", "kind", written.alias("text"))))
     return alive.groupBy("conversation", "message").agg(

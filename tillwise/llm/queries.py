@@ -67,29 +67,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONVERSATIONS_SQL = r"""
-SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')"""
 
 
 def chat_events(turns: DataFrame) -> DataFrame:
-    """Each turn as the log of its writing: the first half of its text, a delta
-    with a slip, an edit back to the first half and a delta with the rest."""
+    """Each turn as the log of its writing: a draft, a regeneration that drops
+    it, the first half of the text, a delta with a slip, the start of the next
+    message said too early, an edit back to the first half, which takes that
+    start back as well, and a delta with the rest."""
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.char_length(text) / 2).cast("int")
     start, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
     # Rows that share a turn are messages of their own.
     same_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    message = F.struct(F.col("turn").alias("turn"), F.row_number().over(same_turn).alias("row"))
-    # Turns follow each other in time, so no edit takes back a later turn.
-    steps = [("delta", start), ("delta", F.lit("(slip)")), ("edit", start), ("delta", rest)]
-    event = lambda k: F.struct(F.lit(k).alias("step"), F.lit(steps[k][0]).alias("kind"), steps[k][1].alias("text"))
+    place = F.row_number().over(same_turn)
+    # A message between this one and the next, so that it stands behind this one only.
+    steps = [("delta", F.lit("(draft)"), 0), ("regenerate", F.lit("ignored"), 0), ("delta", start, 0), ("delta", F.lit("(slip)"), 0), ("delta", F.lit("(too early)"), 1), ("edit", start, 0), ("delta", rest, 0)]
+    event = lambda k: F.struct(F.lit(k).alias("step"), F.lit(steps[k][0]).alias("kind"), steps[k][1].alias("text"), F.lit(steps[k][2]).alias("behind"))
     return (
-        turns.withColumn("message", message)
-        .select("conv_id", "message", "role", F.explode(F.array(*(event(k) for k in range(4)))).alias("e"))
+        turns.withColumn("row", place)
+        .select("conv_id", "turn", "row", "role", F.explode(F.array(*(event(k) for k in range(len(steps))))).alias("e"))
         .select(
             F.col("conv_id").alias("conversation"),
-            "message",
-            F.struct(F.col("message.turn"), F.col("message.row"), F.col("e.step").alias("step")).alias("sequence"),
+            F.struct("turn", "row", F.col("e.behind").alias("behind")).alias("message"),
+            F.struct("turn", "row", F.col("e.step").alias("step")).alias("sequence"),
             "role",
             F.col("e.kind").alias("kind"),
             F.col("e.text").alias("text"),
@@ -106,9 +108,9 @@ marked AS (
     replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS label
   FROM turns)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('### ' || label || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
 )
@@ -162,7 +164,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Rows without an id are not held out; their labels are not learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> gam.Model:
@@ -261,7 +264,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_toxicity")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents")
     model = interactions.train(docs, table(spark, sf_dir, "labels").where(~held))
     return interactions.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
@@ -274,7 +277,8 @@ CRC_SQL = """xor(4294967295, list_reduce(
 
 RUNS_SQL = rf"""
 WITH plain AS MATERIALIZED (
-  SELECT doc_id, {CRC_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, {CRC_SQL} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 shape AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, h // 10 AS g FROM plain),
 tail AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM shape),
 texts AS MATERIALIZED (
