@@ -190,7 +190,7 @@ EVENTS = "conversation bigint, message bigint, sequence bigint, role string, kin
 
 def folded(spark, events):
     rows = chat.fold(spark.createDataFrame([(*e, 0) for e in events], EVENTS)).collect()
-    return sorted((r.conversation, r.message, r.role, r.text) for r in rows)
+    return sorted(((r.conversation, r.message, r.role, r.text) for r in rows), key=lambda r: (r[0] is None, r))
 
 
 def test_fold_of_deltas_edits_and_regenerations(spark):
@@ -206,7 +206,15 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
         (2, 0, 3, "user", "edit", "second"),
         (2, 1, 4, "assistant", "delta", "new"),
         (2, 2, 5, None, "delta", None),
-        (None, 0, 1, "user", "delta", "nowhere"),
+        (None, 0, 1, "user", "delta", "now"),
+        (None, 1, 2, "user", "delta", "taken back as well"),
+        (None, 0, 3, "user", None, "here"),
+        (None, 0, 4, "user", "edit", "nowhere"),
+        (4, None, 1, "user", "delta", "no message"),
+        (5, 0, None, "user", "delta", "no number "),
+        (5, 0, 1, "user", "odd", "and an odd kind"),
+        (6, 0, None, "user", "delta", "taken back"),
+        (6, 0, 1, "user", "edit", "edited"),
         (3, 0, 1, "user", "delta", "a"),
         (3, 0, 1, "user", "delta", "a"),
     ]
@@ -217,10 +225,21 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
         (2, 1, "assistant", "new"),
         (2, 2, "", ""),
         (3, 0, "user", "aa"),
+        (5, 0, "user", "no number and an odd kind"),
+        (6, 0, "user", "edited"),
+        (None, 0, "user", "nowhere"),
     ]
     assert folded(spark, []) == []
 
 
+def test_events_of_the_query_regenerate_and_take_back(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "héllo"), (1, 0, "user", "x"), (1, 1, "assistant", None), (None, None, "user", "ok"), (None, 3, None, "y")], "conv_id bigint, turn int, role string, text string")
+    events = llm.chat_events(turns)
+    assert {r.kind for r in events.select("kind").collect()} == {"delta", "edit", "regenerate"}
+    rows = chat.fold(events).collect()
+    assert sorted((str(r.conversation), str(r.message.turn), r.role, r.text) for r in rows) == sorted([("1", "0", "user", "héllo"), ("1", "0", "user", "x"), ("1", "1", "assistant", ""), ("None", "None", "user", "ok"), ("None", "3", "", "y")])
+
+
 AWKWARD = ["\\### Assistant: </turn> ok", "\\b\\l\\h\\\\<#", "</turn>\n### user: x", "", "ends with \\", "tab\tline\n\n", "😀 é: \\c", "x" * 200_000]
 
 
@@ -242,6 +261,21 @@ def test_chat_plan_has_no_python(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_one_id_with_many_texts_stays_linear(spark):
+    rng = np.random.default_rng(0)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(60):  # near copies of each other, all of one id
+        words = list(base)
+        words[int(rng.integers(0, 80))] = f"x{k}"
+        rows.append((7, " ".join(words)))
+    rows += [(7, rows[0][1])] * 30 + [(9, rows[5][1]), (3, " ".join(f"other{k}" for k in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (9, 7), (3, 3)}
+
+
 # pipeline
 
 
@@ -272,5 +306,5 @@ def test_pipeline_equals_its_operators_and_a_brute_force_dedup(spark, sf):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(llm.SQL) <= set(llm.QUERIES)
