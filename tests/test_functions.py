@@ -286,3 +286,18 @@ def test_hashed_redaction_of_rows_with_null_and_repeated_ids(spark):
 ])
 def test_partly_hidden_values(value, kind, shown):
     assert pii.partial_mask(value, kind) == shown
+
+
+@pytest.mark.parametrize("pattern", ["[{}]", "{0}-{0:>6}", "{:*^9}", "{:^8}|", "{0:<7.3}{{x}}", "{:05}", "{:.2s}", "{0:é>5}", "plain", "", "}}{{"])
+def test_text_formats_equal_the_language_s_own(spark, pattern):
+    values = ["", "a", "héllo", "much longer than any width"]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    got = {r.v: r.f for r in df.select("v", tr.format_text(F.col("v"), pattern).alias("f")).collect()}
+    fits = "{" in pattern.replace("{{", "") or pattern in ("plain", "", "}}{{")
+    assert fits and {v: got[v] for v in values} == {v: pattern.format(v) for v in values}
+
+
+@pytest.mark.parametrize("pattern", ["{} {}", "{1}", "{:d}", "{!r}", "{name}", "{:>5.2f}"])
+def test_formats_that_a_text_does_not_fit(spark, pattern):
+    with pytest.raises(ValueError):
+        tr.format_text(F.lit("x"), pattern)

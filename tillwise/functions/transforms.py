@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -66,11 +67,38 @@ def fmt(v: Column, params: dict) -> Column:
         n = F.trim(s).try_cast("double")
         return F.when(n.isNotNull(), F.format_string(pattern, n)).otherwise(s)
     if kind == "string":
-        head, _, tail = params.get("format", "{}").partition("{}")
-        return F.concat(F.lit(head), s, F.lit(tail))
+        return format_text(s, params.get("format") or "{}")
     return s
 
 
+# Format marks of a text: fill, side, width and number of characters shown.
+MARKS = re.compile(r"(?:(?P<fill>.)?(?P<side>[<>^]))?(?P<zero>0)?(?P<width>\d+)?(?:\.(?P<most>\d+))?s?", re.DOTALL)
+
+
+def format_text(s: Column, pattern: str) -> Column:
+    """The pattern with the value in its fields: ``{}`` once or ``{0}`` any number
+    of times, each with marks of its own (``{0:*^12.5}``); ``{{`` and ``}}`` are
+    braces. Marks for other types than text, conversions and further fields
+    raise a ValueError."""
+    parts, automatic = [], 0
+    for literal, name, spec, conversion in string.Formatter().parse(pattern):
+        parts.append(F.lit(literal))
+        if name is None:
+            continue
+        automatic += name == ""
+        m = MARKS.fullmatch(spec)
+        if name not in ("", "0") or automatic > 1 or conversion not in (None, "s") or m is None:
+            raise ValueError(f"a text can't be put into the format {pattern!r}")
+        shown = s if m["most"] is None else F.left(s, F.lit(int(m["most"])))
+        width = int(m["width"] or 0)
+        fill = m["fill"] or ("0" if m["zero"] else " ")
+        free = F.greatest(F.lit(width) - F.char_length(shown), F.lit(0))
+        before = {">": free, "^": F.floor(free / 2).cast("int")}.get(m["side"], F.lit(0))
+        pad = lambda n, c=fill: F.repeat(F.lit(c), n)
+        parts.append(F.concat(pad(before), shown, pad(free - before)) if width else shown)
+    return F.concat(*parts) if parts else F.when(s.isNotNull(), "")
+
+
 def normalize(v: Column, params: dict) -> Column:
     s = v.cast("string")
     if params.get("trim", True):

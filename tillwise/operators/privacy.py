@@ -55,31 +55,63 @@ def key_usage(rows: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
 
 # --- access report ----------------------------------------------------------------
 
-LIMITS = {"activities": 100, "transmissions": 50, "analyses": 20}
-
-
-def _listed(df: DataFrame, name: str, k: int, record: Column) -> DataFrame:
-    """Newest k records per subject as one list; bounded before collecting."""
-    top = top_per_key(df, ["subject_id"], [F.desc("ts"), F.desc("event_id")], k)
-    return top.groupBy("subject_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", record.alias("r")))), lambda x: x.r).alias(name)
-    )
-
-
-def access_report(subjects: DataFrame, activity: DataFrame, consents: DataFrame, places: DataFrame, record: Column) -> DataFrame:
-    """One row per subject with a bounded list per section. ``consents`` is one
-    row per purpose and version, ``places`` one per location."""
+# Newest records shown per subject and section; the counts beside them are of all.
+LIMITS = {"processing_activities": 100, "sharing_information": 50, "automated_processing": 20, "consent_records": 1000, "data_sources": 1000}
+
+# Fields of a record, by section.
+RECORDS = {
+    "processing_activities": ("kind", "purpose", "legal_basis", "ts", "system", "processor", "data_categories", "is_compliant"),
+    "sharing_information": ("ts", "recipients", "purpose", "legal_basis", "data_categories"),
+    "automated_processing": ("ts", "system", "purpose", "logic", "significance", "consequences"),
+    "consent_records": ("purpose", "legal_basis", "is_active", "given", "withdrawn", "expiry", "source", "version"),
+    "data_sources": ("location", "pii_type", "category", "sensitivity", "is_encrypted", "is_tokenized", "record_count", "last_verified"),
+}
+BASIC = ("subject_id", "external_id", "email", "phone", "name")
+ACCOUNT = ("is_active", "consent_given", "consent_date", "deletion_requested", "deletion_scheduled")
+PROFILE = ("data_sources", "processing_purposes", "legal_basis")
+POLICY = ("name", "category", "retention_days", "action")
+UNSAID = "Not specified"
+
+
+def _section(df: DataFrame, name: str, order: list) -> DataFrame:
+    """The first records per subject as one list, bounded before collecting."""
+    top = top_per_key(df, ["subject_id"], order, LIMITS[name])
+    record = F.struct("rn", F.struct(*RECORDS[name]).alias("r"))
+    return top.groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(record)), lambda x: x.r).alias(name))
+
+
+def access_report(subjects: DataFrame, activity: DataFrame, consents: DataFrame, places: DataFrame, policies: DataFrame, today: Column) -> DataFrame:
+    """One row per subject with seven sections of whole records.
+
+    ``subjects``: profile, one row each. ``activity``: processing records (kind,
+    ts, event_id, …). ``places``: where data of a subject lies. ``policies``: the
+    retention policies, of which the active ones (a short list) are shown to
+    everyone. Lists are cut to ``LIMITS``; ``consent_count`` and ``place_count``
+    tell how many there are."""
+    newest = [F.desc("ts"), F.desc("event_id")]
+    said = {c: F.coalesce(c, F.lit(UNSAID)) for c in ("logic", "significance", "consequences")}
     parts = [
-        _listed(activity, "activities", LIMITS["activities"], record),
-        _listed(activity.where("kind = 'TRANSMISSION'"), "transmissions", LIMITS["transmissions"], record),
-        _listed(activity.where("kind = 'ANALYSIS'"), "analyses", LIMITS["analyses"], record),
-        consents.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("purpose", "version"))).alias("consents")),
-        places.groupBy("subject_id").agg(F.array_sort(F.collect_set("location")).alias("locations")),
+        _section(activity, "processing_activities", newest),
+        _section(activity.where("kind = 'TRANSMISSION'"), "sharing_information", newest),
+        _section(activity.where("kind = 'ANALYSIS' AND automated").withColumns(said), "automated_processing", newest),
+        _section(consents, "consent_records", [F.desc("given"), F.desc("consent_id")]),
+        _section(places, "data_sources", [F.asc("location")]),
+        consents.groupBy("subject_id").agg(F.count("*").alias("consent_count")),
+        places.groupBy("subject_id").agg(F.count("*").alias("place_count")),
     ]
-    out = subjects
+    profile = subjects.select(
+        "subject_id",
+        F.struct(F.struct(*BASIC).alias("basic_information"), F.struct(*ACCOUNT).alias("account_status"), *PROFILE).alias("personal_data"),
+        "deletion_scheduled",
+    )
+    out = estimated_deletion(profile, places, policies, today)
     for p in parts:
         out = out.join(p, "subject_id", "left")
-    return out
+    listed = policies.where("is_active").select(F.struct(*POLICY).alias("p")).agg(F.array_sort(F.collect_list("p"))).scalar()
+    lists = {c: F.coalesce(c, F.array()) for c in RECORDS}
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("consent_count", "place_count")}
+    retention = F.struct(listed.alias("policies"), F.col("estimated_deletion").alias("estimated_deletion_date"))
+    return out.withColumns({**lists, **counts, "retention_information": retention}).select("subject_id", "personal_data", *RECORDS, "retention_information", *counts)
 
 
 def estimated_deletion(subjects: DataFrame, places: DataFrame, policies: DataFrame, now: Column) -> DataFrame:

@@ -177,12 +177,15 @@ def landed_pages(t):
 @query(
     "scan_paged_json",
     """
-WITH p AS (SELECT event_type AS endpoint, event_id // 250 AS page, event_id, row_number() OVER (PARTITION BY event_type, event_id // 250 ORDER BY CAST(event_id AS VARCHAR)) AS rn FROM events)
-SELECT endpoint, CAST(page AS BIGINT) AS page, event_id FROM p WHERE endpoint = 'error' OR (endpoint = 'view' AND page <= 20) OR (endpoint = 'click' AND page <= 10)
-  OR (endpoint = 'purchase' AND page < 15) OR (endpoint = 'signup' AND rn = 1)""",
+WITH p AS (SELECT event_type AS endpoint, event_id // 250 AS page, event_id, row_number() OVER (PARTITION BY event_type, event_id // 250 ORDER BY CAST(event_id AS VARCHAR)) AS rn,
+  count(*) OVER (PARTITION BY event_type, event_id // 250) AS n FROM events),
+last AS (SELECT endpoint, min(page) AS stop FROM p WHERE (endpoint <> 'signup' AND n < 40) OR (endpoint = 'view' AND page = 20) OR (endpoint = 'click' AND page >= 10) GROUP BY 1)
+SELECT endpoint, CAST(page AS BIGINT) AS page, event_id FROM p LEFT JOIN last USING (endpoint)
+WHERE (stop IS NULL OR page <= stop) AND (endpoint <> 'purchase' OR page < 15) AND (endpoint <> 'signup' OR rn = 1)""",
 )
 def _(t):
-    out = files.page_records(landed_pages(t), page_size=1)
+    # pages hold about 50 records; one of fewer than 40 is the last of its endpoint
+    out = files.page_records(landed_pages(t), page_size=40)
     return out.select("endpoint", "page", F.get_json_object("record", "$.event_id").cast("long").alias("event_id"))
 
 
@@ -320,15 +323,52 @@ def _(t):
     return out.select("customer_id", "segment", text("effective_from").alias("effective_from"), text("effective_to").alias("effective_to"))
 
 
+# Rules, findings and metrics derived from products, errors and runs, as (id, rule_name, …).
+EXPORT_SQL = """rules AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'null_rate' WHEN 1 THEN 'range_check' ELSE 'row_count' END AS check_type, CASE WHEN p_size > 40 THEN 'HIGH' ELSE 'LOW' END AS severity, p_size / 50.0 AS threshold FROM part),
+now AS (SELECT max(ts) AS m FROM events),
+chosen_rules AS (SELECT id, name FROM rules WHERE name ILIKE '%RE%' AND check_type = 'null_rate' AND severity = 'LOW'),
+chosen_runs AS (SELECT run_id, rule_id FROM dq_runs, now WHERE finished_at >= m - INTERVAL 7 DAYS AND rule_id ILIKE '%E%' ORDER BY finished_at DESC, run_id DESC LIMIT 120),
+chosen_violations AS (SELECT event_id, 'check ' || CAST(user_id % 7 AS VARCHAR) AS rule FROM events, now WHERE event_type = 'error' AND ts >= m - INTERVAL 20 DAYS AND user_id % 7 = 3 ORDER BY ts DESC, event_id DESC LIMIT 10000),
+chosen_metrics AS (SELECT run_id, rule_id, rows_scanned FROM dq_runs, now WHERE finished_at >= m - INTERVAL 2 DAYS ORDER BY finished_at DESC, run_id DESC LIMIT 10000)"""
+
+
 @query(
     "sink_export",
-    "SELECT run_id, rule_id, violations_count FROM dq_runs WHERE finished_at >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS AND status = 'FAILED' ORDER BY finished_at DESC, run_id DESC LIMIT 10000",
+    f"""
+WITH {EXPORT_SQL}, read AS (
+  SELECT 'rules' AS export_type, CAST(id AS VARCHAR) AS id, name AS label FROM chosen_rules UNION ALL SELECT 'runs', run_id, rule_id FROM chosen_runs
+  UNION ALL SELECT 'violations', CAST(event_id AS VARCHAR), rule FROM chosen_violations UNION ALL SELECT 'metrics', run_id, rule_id || ' ' || CAST(rows_scanned AS VARCHAR) FROM chosen_metrics)
+SELECT f AS format, export_type, id, label, count(*) OVER (PARTITION BY f, export_type) AS total_records FROM read, (VALUES ('csv'), ('json')) AS v(f)""",
 )
 def _(t):
-    rows = sinks.export_rows(t.dq_runs, "finished_at", marts.max_of(t.events, "ts"), "run_id", days=7, where=F.col("status") == "FAILED")
-    path = scratch_path(t.spark, "export")
-    rows.write.json(path)
-    return t.spark.read.schema("run_id string, rule_id string, violations_count long").json(path)
+    now = marts.max_of(t.events, "ts")
+    check = F.col("p_partkey") % 3
+    rules = t.part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(check == 0, "null_rate").when(check == 1, "range_check").otherwise("row_count").alias("check_type"),
+        F.when(F.col("p_size") > 40, "HIGH").otherwise("LOW").alias("severity"), (F.col("p_size") / 50.0).alias("threshold"),
+    )
+    runs = t.dq_runs.withColumnsRenamed({"run_id": "id", "rule_id": "rule_name"})
+    violations = t.events.where("event_type = 'error'").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("check "), text(F.col("user_id") % 7)).alias("rule_name"), F.lit("OUT_OF_RANGE").alias("violation_type"), F.col("ts").alias("detected_at"),
+    )
+    metrics = t.dq_runs.select(F.col("run_id").alias("id"), F.col("rule_id").alias("rule_name"), F.lit("rows_scanned").alias("metric_name"), F.col("rows_scanned").alias("metric_value"), F.col("finished_at").alias("recorded_at"))
+    chosen = {
+        "rules": (sinks.export_rows(rules, "rules", rule_name="RE", check_type="null_rate", severity="LOW"), F.col("name")),
+        "runs": (sinks.export_rows(runs, "runs", now, days=7, rule_name="E", limit=120), F.col("rule_name")),
+        "violations": (sinks.export_rows(violations, "violations", now, days=20, rule_name="CHECK 3"), F.col("rule_name")),
+        "metrics": (sinks.export_rows(metrics, "metrics", now, days=2), F.concat_ws(" ", "rule_name", "metric_value")),
+    }
+    out = None
+    for name, (rows, label) in chosen.items():
+        for form in ("csv", "json"):
+            path = scratch_path(t.spark, f"export-{name}")
+            sinks.write_export(rows, path, form, name)
+            data = t.spark.read.schema(rows.schema) if form == "json" else t.spark.read.option("header", True)
+            read = data.format(form).load(f"{path}/data").select(F.lit(form).alias("format"), F.lit(name).alias("export_type"), text("id").alias("id"), text(label).alias("label"))
+            head = t.spark.read.schema("export_type string, exported_at string, total_records bigint").json(f"{path}/envelope")
+            part = read.join(head.select("export_type", "total_records"), "export_type")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

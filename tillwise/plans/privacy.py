@@ -360,7 +360,12 @@ def _(t):
 
 # Subjects are the users of the events; consents are their sign-ups.
 SUBJECT_SQL = """subjects AS (SELECT DISTINCT user_id AS subject_id FROM events),
-activity AS (SELECT user_id AS subject_id, event_id, ts, CASE event_type WHEN 'click' THEN 'TRANSMISSION' WHEN 'view' THEN 'ANALYSIS' ELSE 'STORAGE' END AS kind FROM events),
+profiles AS (SELECT DISTINCT user_id AS subject_id, 'x' || CAST(user_id * 7 AS VARCHAR) AS external_id, 'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email, CASE WHEN user_id % 3 <> 0 THEN '+1202555' || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') END AS phone,
+  'User ' || CAST(user_id AS VARCHAR) AS name, user_id % 50 <> 0 AS is_active, user_id % 2 = 0 AS consent_given, CASE WHEN user_id % 2 = 0 THEN DATE '2024-01-01' END AS consent_date, user_id % 4 = 0 AS deletion_requested,
+  CASE WHEN user_id % 4 = 0 THEN DATE '2024-03-01' END AS deletion_scheduled, 'crm,pos' AS data_sources, 'orders' AS processing_purposes, CASE WHEN user_id % 5 = 0 THEN 'CONSENT' ELSE 'CONTRACT' END AS legal_basis FROM events),
+activity AS (SELECT user_id AS subject_id, event_id, ts, CASE event_type WHEN 'click' THEN 'TRANSMISSION' WHEN 'view' THEN 'ANALYSIS' ELSE 'STORAGE' END AS kind, 'p' || CAST(event_id % 5 AS VARCHAR) AS purpose,
+  CASE event_id % 3 WHEN 0 THEN 'CONSENT' WHEN 1 THEN 'CONTRACT' END AS legal_basis, event_type AS system, CASE WHEN event_id % 4 <> 0 THEN 'processor ' || CAST(event_id % 4 AS VARCHAR) END AS processor,
+  'c' || CAST(event_id % 2 AS VARCHAR) AS data_categories, event_id % 9 <> 0 AS is_compliant, 'r' || CAST(event_id % 6 AS VARCHAR) AS recipients, event_id % 2 = 0 AS automated, CASE WHEN event_id % 10 = 0 THEN 'score' END AS logic FROM events),
 consents AS (SELECT user_id AS subject_id, event_id AS consent_id, 'p' || CAST(event_id % 3 AS VARCHAR) AS purpose, 'v' || CAST(event_id % 2 AS VARCHAR) AS version, ts AS given,
   ts + to_seconds(CAST(round(value * 3600) AS BIGINT)) AS expiry, event_id % 7 <> 0 AS is_active FROM events WHERE event_type = 'signup'),
 places AS (SELECT DISTINCT doc_id % 150 AS subject_id, source || '.' || lang AS location, lang AS category FROM documents)"""
@@ -370,9 +375,30 @@ def subjects(t):
     return t.events.select(F.col("user_id").alias("subject_id")).distinct()
 
 
+def profiles(t):
+    """Profile of every subject, derived from the id."""
+    u = F.col("user_id")
+    day = lambda d: F.to_date(F.lit(d))
+    return t.events.select(
+        u.alias("subject_id"), F.concat(F.lit("x"), text(u * 7)).alias("external_id"), F.concat(F.lit("user"), text(u), F.lit("@example.com")).alias("email"),
+        F.when(u % 3 != 0, F.concat(F.lit("+1202555"), F.lpad(text(u % 10000), 4, "0"))).alias("phone"), F.concat(F.lit("User "), text(u)).alias("name"),
+        (u % 50 != 0).alias("is_active"), (u % 2 == 0).alias("consent_given"), F.when(u % 2 == 0, day("2024-01-01")).alias("consent_date"),
+        (u % 4 == 0).alias("deletion_requested"), F.when(u % 4 == 0, day("2024-03-01")).alias("deletion_scheduled"),
+        F.lit("crm,pos").alias("data_sources"), F.lit("orders").alias("processing_purposes"), F.when(u % 5 == 0, "CONSENT").otherwise("CONTRACT").alias("legal_basis"),
+    ).distinct()
+
+
 def activity(t):
+    e = F.col("event_id")
     kind = F.when(F.col("event_type") == "click", "TRANSMISSION").when(F.col("event_type") == "view", "ANALYSIS").otherwise("STORAGE")
-    return t.events.select(F.col("user_id").alias("subject_id"), "event_id", "ts", kind.alias("kind"))
+    tagged = lambda prefix, n: F.concat(F.lit(prefix), text(e % n))
+    nothing = F.lit(None).cast("string")
+    return t.events.select(
+        F.col("user_id").alias("subject_id"), "event_id", "ts", kind.alias("kind"), tagged("p", 5).alias("purpose"),
+        F.when(e % 3 == 0, "CONSENT").when(e % 3 == 1, "CONTRACT").alias("legal_basis"), F.col("event_type").alias("system"),
+        F.when(e % 4 != 0, tagged("processor ", 4)).alias("processor"), tagged("c", 2).alias("data_categories"), (e % 9 != 0).alias("is_compliant"),
+        tagged("r", 6).alias("recipients"), (e % 2 == 0).alias("automated"), F.when(e % 10 == 0, "score").alias("logic"), nothing.alias("significance"), nothing.alias("consequences"),
+    )
 
 
 def consents(t):
@@ -391,22 +417,59 @@ def places(t):
     ).distinct()
 
 
+def _records_sql(name: str, source: str, fields: str, order: str) -> str:
+    """Records of a section as text, in order, at most its limit per subject."""
+    return f"""{name} AS (
+  SELECT subject_id, string_agg(concat_ws('|', {fields}), ';' ORDER BY rn) AS {name} FROM (
+    SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {order}) AS rn FROM {source}) WHERE rn <= {privacy.LIMITS[name]} GROUP BY subject_id)"""
+
+
+REPORT_SQL = ",\n".join(
+    [
+        "known AS (SELECT *, CASE WHEN consent_id % 3 = 1 THEN 'CONTRACT' ELSE 'CONSENT' END AS legal_basis, CASE WHEN consent_id % 2 = 0 THEN 'web' END AS source FROM consents)",
+        "held AS (SELECT *, 'email' AS pii_type, CASE category WHEN 'en' THEN 'HIGH' ELSE 'LOW' END AS sensitivity, category = 'fr' AS is_encrypted, false AS is_tokenized, length(location) AS record_count FROM places)",
+        _records_sql("processing_activities", "activity", "kind, purpose, legal_basis, ts, system, processor, data_categories, is_compliant", "ts DESC, event_id DESC"),
+        _records_sql("sharing_information", "(SELECT * FROM activity WHERE kind = 'TRANSMISSION')", "ts, recipients, purpose, legal_basis, data_categories", "ts DESC, event_id DESC"),
+        _records_sql("automated_processing", "(SELECT * FROM activity WHERE kind = 'ANALYSIS' AND automated)", "ts, system, purpose, coalesce(logic, 'Not specified'), 'Not specified', 'Not specified'", "ts DESC, event_id DESC"),
+        _records_sql("consent_records", "known", "purpose, legal_basis, is_active, given, expiry, source, version", "given DESC, consent_id DESC"),
+        _records_sql("data_sources", "held", "location, pii_type, category, sensitivity, is_encrypted, is_tokenized, record_count", "location"),
+        "longest AS (SELECT subject_id, max(retention_days) AS d FROM places JOIN policies USING (category) WHERE is_active GROUP BY 1)",
+        "counted AS (SELECT subject_id, count(*) AS consent_count FROM consents GROUP BY 1)",
+        "placed AS (SELECT subject_id, count(*) AS place_count FROM places GROUP BY 1)",
+    ]
+)
+
+
 @query(
     "gdpr_access_report",
     f"""
-WITH {SUBJECT_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ts DESC, event_id DESC) AS rn, row_number() OVER (PARTITION BY subject_id, kind ORDER BY ts DESC, event_id DESC) AS rk FROM activity)
-SELECT subject_id, (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) FROM a WHERE a.subject_id = s.subject_id AND rn <= 100) AS activities,
-  (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) FROM a WHERE a.subject_id = s.subject_id AND kind = 'TRANSMISSION' AND rk <= 50) AS transmissions,
-  (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) FROM a WHERE a.subject_id = s.subject_id AND kind = 'ANALYSIS' AND rk <= 20) AS analyses,
-  (SELECT string_agg(purpose || version, ',' ORDER BY purpose, version) FROM (SELECT DISTINCT subject_id, purpose, version FROM consents) c WHERE c.subject_id = s.subject_id) AS consents,
-  (SELECT string_agg(location, ',' ORDER BY location) FROM places p WHERE p.subject_id = s.subject_id) AS locations FROM subjects s""",
+WITH {SUBJECT_SQL}, {MAPS_SQL}, {REPORT_SQL}
+SELECT subject_id, concat_ws('|', subject_id, external_id, email, phone, name, is_active, consent_given, consent_date, deletion_requested, deletion_scheduled, p.data_sources, processing_purposes, legal_basis) AS personal_data,
+  coalesce(processing_activities, '') AS processing_activities, coalesce(sharing_information, '') AS sharing_information, coalesce(automated_processing, '') AS automated_processing,
+  coalesce(consent_records, '') AS consent_records, coalesce(x.data_sources, '') AS data_sources,
+  (SELECT string_agg(concat_ws('|', 'keep ' || category, category, retention_days, policy_action), ';' ORDER BY category) FROM policies WHERE is_active)
+    || coalesce('|' || CAST(coalesce(deletion_scheduled, DATE '2024-01-31' + CAST(d AS INTEGER)) AS VARCHAR), '') AS retention_information,
+  coalesce(consent_count, 0) AS consent_count, coalesce(place_count, 0) AS place_count
+FROM profiles p LEFT JOIN processing_activities USING (subject_id) LEFT JOIN sharing_information USING (subject_id) LEFT JOIN automated_processing USING (subject_id)
+  LEFT JOIN consent_records USING (subject_id) LEFT JOIN data_sources x USING (subject_id) LEFT JOIN longest USING (subject_id) LEFT JOIN counted USING (subject_id) LEFT JOIN placed USING (subject_id)""",
 )
 def _(t):
-    per_version = consents(t).select("subject_id", "purpose", "version").distinct()
-    r = privacy.access_report(subjects(t), activity(t), per_version, places(t), text("event_id"))
-    lists = ("activities", "transmissions", "analyses", "locations")
-    shown = F.array_join(F.transform("consents", lambda c: F.concat(c.purpose, c.version)), ",")
-    return r.select("subject_id", *[F.array_join(c, ",").alias(c) for c in lists], shown.alias("consents"))
+    given = consents(t).withColumns({
+        "legal_basis": F.when(F.col("consent_id") % 3 == 1, "CONTRACT").otherwise("CONSENT"), "source": F.when(F.col("consent_id") % 2 == 0, "web"),
+    })
+    held = places(t).withColumns({
+        "pii_type": F.lit("email"), "sensitivity": F.when(F.col("category") == "en", "HIGH").otherwise("LOW"), "is_encrypted": F.col("category") == "fr",
+        "is_tokenized": F.lit(False), "record_count": F.length("location"), "last_verified": F.lit(None).cast("timestamp"),
+    })
+    kept = policies(t).withColumns({"name": F.concat(F.lit("keep "), "category"), "action": F.col("policy_action")})
+    r = privacy.access_report(profiles(t), activity(t), given, held, kept, F.to_date(F.lit("2024-01-31")))
+    shown = lambda record, fields: F.concat_ws("|", *[text(record[f]) for f in fields])
+    joined = lambda records, fields: F.array_join(F.transform(records, lambda x: shown(x, fields)), ";")
+    lists = [joined(name, fields).alias(name) for name, fields in privacy.RECORDS.items()]
+    me = F.col("personal_data")
+    profile = F.concat_ws("|", shown(me["basic_information"], privacy.BASIC), shown(me["account_status"], privacy.ACCOUNT), shown(me, privacy.PROFILE))
+    retention = F.concat(joined("retention_information.policies", privacy.POLICY), F.coalesce(F.concat(F.lit("|"), text("retention_information.estimated_deletion_date")), F.lit("")))
+    return r.select("subject_id", profile.alias("personal_data"), *lists, retention.alias("retention_information"), "consent_count", "place_count")
 
 
 @query(

@@ -114,7 +114,12 @@ def _counter_sql(name: str, source: str, keys: list[str], asked: str) -> str:
 {name} AS (SELECT {cols}, CASE WHEN no THEN '{name}' END AS refused_by FROM {name}_s UNION ALL SELECT {cols}, refused_by FROM {source} WHERE NOT (refused_by IS NULL AND {asked}))"""
 
 
-_LIMIT_SQL = "CASE WHEN endpoint IS NOT NULL THEN CASE endpoint " + " ".join(f"WHEN '{k}' THEN {{{i}}}".replace("{" + str(i) + "}", "{" + k + "}") for i, k in enumerate(("login", "api", "download"))) + " END WHEN user_id IS NOT NULL THEN {authenticated} ELSE {anonymous} END"
+def _limit_sql(at: int) -> str:
+    """Requests (0) or seconds (1) of the class of a request."""
+    limit = {k: v[at] for k, v in SPARSE_LIMITS.items()}
+    return f"""CASE WHEN endpoint = 'login' THEN {limit['login']} WHEN endpoint = 'api' THEN {limit['api']} WHEN endpoint = 'download' THEN {limit['download']}
+  WHEN endpoint IS NULL AND user_id IS NOT NULL THEN {limit['authenticated']} WHEN endpoint IS NULL THEN {limit['anonymous']} END"""
+
 
 
 @query(
@@ -123,7 +128,7 @@ _LIMIT_SQL = "CASE WHEN endpoint IS NOT NULL THEN CASE endpoint " + " ".join(f"W
 WITH RECURSIVE r AS (
   SELECT event_id, ts, '10.0.' || CAST(user_id % 40 AS VARCHAR) AS ip, CASE WHEN user_id % 4 <> 0 THEN user_id END AS user_id,
     CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'api' WHEN 'click' THEN 'download' END AS endpoint, epoch_us(ts) AS us FROM events),
-q AS (SELECT *, {_LIMIT_SQL.format(**{k: v[0] for k, v in SPARSE_LIMITS.items()})} AS most, CAST({_LIMIT_SQL.format(**{k: v[1] for k, v in SPARSE_LIMITS.items()})} AS BIGINT) * 1000000 AS hold, CAST(NULL AS VARCHAR) AS refused_by FROM r),
+q AS (SELECT *, {_limit_sql(0)} AS most, CAST({_limit_sql(1)} AS BIGINT) * 1000000 AS hold, CAST(NULL AS VARCHAR) AS refused_by FROM r),
 {_counter_sql("ip", "q", ["ip"], "true")},
 {_counter_sql("user", "ip", ["user_id"], "user_id IS NOT NULL").replace("user_a", "usr_a").replace("user_s", "usr_s").replace("user AS", "usr AS")},
 {_counter_sql("endpoint", "usr", ["endpoint", "ip"], "endpoint IS NOT NULL").replace("endpoint_a", "end_a").replace("endpoint_s", "end_s").replace("endpoint AS (", "ended AS (")}

@@ -40,7 +40,10 @@ def one_rule(name: str, sql_expr: str, rule: Rule):
 
 P = "TRY_CAST(trim(price) AS DOUBLE)"
 one_rule("xf_format_number", f"CASE WHEN {P} IS NULL THEN price ELSE printf('%.2f', CAST({P} AS DOUBLE)) END", Rule("price", "result", "format", {"format_type": "number", "decimals": 2}))
-one_rule("xf_format_string", "'[' || flag || ']'", Rule("flag", "result", "format", {"format_type": "string", "format": "[{}]"}))
+# Centred in stars, cut and set right, and as it is, between braces.
+CENTRED = "CASE WHEN length(label) >= 30 THEN label ELSE repeat('*', (30 - length(label)) // 2) || label || repeat('*', 30 - length(label) - (30 - length(label)) // 2) END"
+one_rule("xf_format_string", f"'[' || {CENTRED} || '|' || lpad(left(label, 6), 8, ' ') || '|' || rpad(left(label, 3), 5, '0') || '] {{' || label || '}}'",
+         Rule("label", "result", "format", {"format_type": "string", "format": "[{0:*^30}|{0:>8.6}|{0:05.3}] {{{0}}}"}))
 one_rule("xf_extract_regex", "CASE WHEN regexp_matches(label, 'of ([A-Z])-O') THEN regexp_extract(label, 'of ([A-Z])-O', 1) ELSE 'none' END",
          Rule("label", "result", "extract", {"regex": "of ([A-Z])-O", "group": 1, "default": "none"}))
 one_rule("xf_extract_substr", "substring(label, greatest(length(label) - 5, 0) + 1, 3)", Rule("label", "result", "extract", {"start": -5, "end": -2}))
