@@ -319,6 +319,16 @@ def _with_sets(p: Params, text_column: str):
 SLOTS = "array<struct<band: int, key: bigint, i: int, j: int, side: int>>"
 
 
+def _once(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Texts (rep, rep_hash, t), repeated rows once. The written sketches tell
+    which are repeated, so that no others have to be brought together."""
+    again = sketches.groupBy(F.col("id").alias("rep"), F.col("text_hash").alias("rep_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return texts
+    one = texts.join(again, MEMBER, "left_semi").groupBy(*MEMBER).agg(F.first("t").alias("t"))
+    return texts.join(again, MEMBER, "left_anti").unionByName(one)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", params: Params | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable
     by links, itself included), kept (id = component_id)."""
@@ -330,20 +340,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     digest = ["set_a", "set_b", "n_shingles"]
     filled = sketches.where("n_shingles > 0")
-    # Texts of one set are one class; the smallest id stands for it, with one of its texts.
+    # Texts of one set are one class, of equal bands and bits; the smallest id
+    # stands for it, with one of its texts.
     known = F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))
-    exact = filled.groupBy(*digest).agg(F.min(known).alias("r")).select(*digest, F.col("r.id").alias("rep"), F.col("r.text_hash").alias("rep_hash"))
-    chosen = exact.select(*digest, F.col("rep").alias("id"), F.col("rep_hash").alias("text_hash"))
-    reps = filled.join(chosen, [*digest, "id", "text_hash"]).dropDuplicates(["id", "text_hash"]).withColumnsRenamed({"id": "rep", "text_hash": "rep_hash"})
+    classes = filled.groupBy(*digest).agg(F.min(known).alias("r"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    exact = classes.select(*digest, F.col("r.id").alias("rep"))
+    reps = classes.where("r IS NOT NULL").select(F.col("r.id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "bands", "packed")
     keys = reps.select(*MEMBER, F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = _dealt(keys, sizes, ["band", "key"], MEMBER, p.block).join(reps.select(*MEMBER, "bands", "packed"), MEMBER)
+    members = _dealt(keys, sizes, ["band", "key"], MEMBER, p.block).join(reps, MEMBER)
     possible = _sorted_slots(members).mapInArrow(_possible(p), "rep bigint, rep_hash bigint, band int, key bigint, i int, j int, side int")
     slots = possible.groupBy(*MEMBER).agg(F.collect_list(F.struct(*SLOT, "side")).alias("slots"))
-    texts = docs.select(F.col(id_column).cast("bigint").alias("rep"), F.xxhash64(text_column).alias("rep_hash"), F.col(text_column).alias("t"))
-    # Repeated rows count once.
-    wanted = texts.join(slots, MEMBER).groupBy(*MEMBER).agg(F.first("t").alias("t"), F.first("slots").alias("slots"))
-    sets = wanted.mapInArrow(_with_sets(p, "t"), f"rep bigint, rep_hash bigint, slots {SLOTS}, shingles binary")
+    texts = _once(docs.select(F.col(id_column).cast("bigint").alias("rep"), F.xxhash64(text_column).alias("rep_hash"), F.col(text_column).alias("t")), filled)
+    sets = texts.join(slots, MEMBER).mapInArrow(_with_sets(p, "t"), f"rep bigint, rep_hash bigint, slots {SLOTS}, shingles binary")
     placed = sets.select("rep", "shingles", F.inline("slots"))
     links = _sorted_slots(placed).mapInArrow(_confirmed(p), "u bigint, v bigint")
     found = components(links)
@@ -351,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     root = F.coalesce("component", "rep", "id")
     return (
         sketches.select("id", "n_shingles", "set_a", "set_b")
-        .join(exact.drop("rep_hash"), digest, "left")
+        .join(exact, digest, "left")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("id").alias(id_column), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(False)).alias("kept"))
     )
