@@ -1,6 +1,7 @@
 """Operators on single texts: encoding, packing, secrets, quality, pseudonyms, scoring."""
 
 import base64
+import dataclasses
 import hashlib
 import re
 import zlib
@@ -352,9 +353,16 @@ def test_pseudonyms_of_given_documents_turn_back(spark, sf):
 
 def test_pseudo_likelihood_learns_and_equals_a_plain_sum(spark, sf, docs, nothing):
     given = spark.read.parquet(f"{sf}/documents.parquet")
-    p = pseudo_likelihood.Params(rounds=3, every=3, batch=512)
+    p = pseudo_likelihood.Params(batch=512)
     model = pseudo_likelihood.train(given, params=p)
-    blank = pseudo_likelihood.Model(model.vocabulary, pseudo_likelihood.initial(p), p)
+    blank = dataclasses.replace(model, flat=pseudo_likelihood.initial(p))
+    corpus = Counter()
+    for (text,) in given.select("text").collect():
+        if text:
+            data = np.frombuffer(text.encode(), np.uint8)
+            corpus.update(pseudo_likelihood.word_hashes(data, np.array([0, len(data)])).hash.tolist())
+    named = {h for h, _ in sorted(corpus.items(), key=lambda x: (-x[1], np.uint64(x[0]).view(np.int64)))[: p.frequent]}
+    assert named == set(model.vocabulary.sorted.tolist())
     total = lambda m: pseudo_likelihood.score(given, m).agg({"log_likelihood": "sum"}).first()[0]
     assert total(model) > total(blank) + 1000
     net = pseudo_likelihood.unpacked(model.flat.astype(np.float64), p)
@@ -369,8 +377,13 @@ def test_pseudo_likelihood_learns_and_equals_a_plain_sum(spark, sf, docs, nothin
         if len(words) > 100:
             continue
         data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        ids = model.vocabulary.ids(tx.words_of(data, np.array([0, len(data)])).hash).tolist()
+        hashes = tx.words_of(data, np.array([0, len(data)])).hash.tolist()
+        ids = model.vocabulary.ids(np.array(hashes, np.uint64)).tolist()
         plain = 0.0
+        for h in hashes:
+            if h not in named:
+                mates = [n for other, n in corpus.items() if other not in named and other % (p.words - p.frequent) == h % (p.words - p.frequent)]
+                plain += np.log((corpus[h] + 1) / (sum(mates) + len(mates) + 1))
         for t, target in enumerate(ids):
             around = [ids[t + s] if 0 <= t + s < len(ids) else p.words for s in (-2, -1, 1, 2)]
             h = np.tanh(np.concatenate([net[0][k] for k in around]) @ net[1] + net[2])

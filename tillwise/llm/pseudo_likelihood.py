@@ -5,7 +5,11 @@ of it. Tokens are words: the ``frequent`` most frequent ones (A-Z lower-cased)
 of the corpus by name, the others by a hash class. The embeddings of the
 neighbours, one table shared by all places, are laid side by side and go through
 a tanh layer to a softmax in two steps: the cluster of the token, then the token
-within it. A text's score is the sum of the logarithms of these probabilities.
+within it. A word of a hash class has its share of the class's probability, by
+the counts of the whole corpus, so every word has a probability of its own,
+however rare: (n + 1) / (all of its class + different words of it + 1), which
+leaves a place for words that the corpus does not hold. A text's score is the
+sum of the logarithms of these probabilities.
 
 Training runs on all documents. Word counts of the whole corpus decide the
 vocabulary. In each of ``rounds`` rounds every task descends from the current
@@ -14,8 +18,10 @@ network over its own texts, at the positions of the round's residues modulo
 target in exactly one round), and sends its network, in blocks, with the number of
 positions it saw. Blocks are averaged in two steps (salted, then whole), so a
 block is never one task's load, and what is gathered grows with the input. Only
-the averaged network (fixed size, under 1 MB) and the vocabulary (``frequent``
-rows) pass through the driver.
+the averaged network (fixed size, under 1 MB), the vocabulary (``frequent``
+rows) and the totals of the hash classes pass through the driver; the counts of
+the words, which grow with the corpus, are a table that the rarer words of the
+texts are joined to.
 
 Null and empty texts have no tokens, a sum of 0 and no mean. Repeated rows are
 scored one by one and count as often as they occur. An empty table trains
@@ -154,6 +160,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tx.Words:
     return tx.words_of(tx.LOWER[data], offsets)
 
 
+def classes(hashes: np.ndarray, p: Params) -> np.ndarray:
+    """Hash class of each word hash."""
+    return (hashes % np.uint64(p.words - p.frequent)).astype(np.int64)
+
+
 class Vocabulary:
     """Ids of word hashes: rank by corpus count, or a hash class."""
 
@@ -164,7 +175,7 @@ class Vocabulary:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         p = self.p
-        other = p.frequent + (hashes % np.uint64(p.words - p.frequent)).astype(np.int64)
+        other = p.frequent + classes(hashes, p)
         if not len(self.sorted):
             return other
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -173,21 +184,35 @@ class Vocabulary:
 
 @dataclass
 class Model:
+    """``counts``: path of the table of word counts (hash, class, n). ``totals``:
+    per hash class the occurrences of its words and how many different ones."""
+
     vocabulary: Vocabulary
     flat: np.ndarray
     params: Params
+    counts: str
+    totals: np.ndarray
 
 
-def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """hash, n: occurrences of each word in the whole corpus."""
+def count_words(docs: DataFrame, p: Params, text_column: str = "text") -> DataFrame:
+    """hash, class, n: occurrences of each word in the whole corpus."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in tx.slices(batch, text_column):
                 values, counts = np.unique(word_hashes(data, offsets).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(classes(values, p).astype(np.int32)), pa.array(counts)], names=["hash", "class", "n"])
+
+    return docs.select(text_column).mapInArrow(run, "hash bigint, class int, n bigint").groupBy("hash", "class").agg(F.sum("n").alias("n"))
 
-    return docs.select(text_column).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+def class_totals(counts: DataFrame, vocabulary: Vocabulary, p: Params) -> np.ndarray:
+    """(classes, 2): occurrences and different words, those known by name left out."""
+    names = counts.sparkSession.createDataFrame([(h,) for h in vocabulary.sorted.view(np.int64).tolist()], "hash bigint")
+    out = np.zeros((p.words - p.frequent, 2), np.int64)
+    for k, n, words in counts.join(names, "hash", "left_anti").groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        out[k] = n, words
+    return out
 
 
 def frequent_words(counts: DataFrame, number: int) -> list[int]:
@@ -219,8 +244,10 @@ def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFr
     """Blocks of every task's network after its texts: block, salt, seen, values."""
     p = model.params
 
+    start, vocabulary = model.flat, model.vocabulary
+
     def run(batches):
-        flat = model.flat.copy()
+        flat = start.copy()
         net = unpacked(flat, p)
         squares = unpacked(np.full(len(flat), 0.01, np.float32), p)
         seen = 0
@@ -229,7 +256,7 @@ def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFr
                 words = word_hashes(data, offsets)
                 if not len(words.hash):
                     continue
-                ids = model.vocabulary.ids(words.hash)
+                ids = vocabulary.ids(words.hash)
                 chosen = np.random.default_rng(turn).permutation(targets(words, turn, p))
                 for low in range(0, len(chosen), p.batch):
                     at = chosen[low : low + p.batch]
@@ -268,9 +295,10 @@ def train(docs: DataFrame, text_column: str = "text", params: Params | None = No
     p = params or Params()
     spark = docs.sparkSession
     path = scratch_path(spark, "words")
-    count_words(docs, text_column).write.parquet(path)
-    top = frequent_words(spark.read.parquet(path), p.frequent)
-    model = Model(Vocabulary(np.array(top, np.int64).view(np.uint64), p), initial(p), p)
+    count_words(docs, p, text_column).write.parquet(path)
+    counts = spark.read.parquet(path)
+    vocabulary = Vocabulary(np.array(frequent_words(counts, p.frequent), np.int64).view(np.uint64), p)
+    model = Model(vocabulary, initial(p), p, path, class_totals(counts, vocabulary, p))
     for turn in range(p.rounds):
         path = scratch_path(spark, "networks")
         _averaged(_round(docs, text_column, model, turn), ["block", "salt"]).write.parquet(path)
@@ -280,24 +308,52 @@ def train(docs: DataFrame, text_column: str = "text", params: Params | None = No
     return model
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_tokens, log_likelihood (sum) and mean_log_likelihood of each row."""
-    p = model.params
+def _network_sums(docs: DataFrame, model: Model, id_column: str, text_column: str) -> DataFrame:
+    """Per row: id, n_tokens, the network's sum, and the words of hash classes
+    with their number in the text."""
+    p, flat, vocabulary = model.params, model.flat, model.vocabulary
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches):
-        net = unpacked(model.flat, p)
+        net = unpacked(flat, p)
         for batch in batches:
             for rows, data, offsets in tx.slices(batch, text_column):
                 words = word_hashes(data, offsets)
-                ids = model.vocabulary.ids(words.hash)
+                ids = vocabulary.ids(words.hash)
                 sums = np.zeros(rows.num_rows)
                 for low in range(0, len(ids), 32_768):
                     at = np.arange(low, min(low + 32_768, len(ids)))
                     log = log_probabilities(net, ids[at], neighbours(ids, words.first, words.doc, at, p), p)
                     sums += np.bincount(words.doc[at], log, rows.num_rows)
-                n = words.counts
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(n), pa.array(sums), mean], names=[id_column, "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                # Different words of each text, in order of text, then hash.
+                rare = np.flatnonzero(ids >= p.frequent)
+                order = rare[np.lexsort((words.hash[rare], words.doc[rare]))]
+                edge = np.ones(len(order), bool)
+                edge[1:] = (words.doc[order][1:] != words.doc[order][:-1]) | (words.hash[order][1:] != words.hash[order][:-1])
+                at = np.flatnonzero(edge)
+                fields = [pa.array(words.hash[order[at]].view(np.int64)), pa.array(np.diff(np.append(at, len(order))).astype(np.int32)), pa.array(classes(words.hash[order[at]], p).astype(np.int32))]
+                borders = np.searchsorted(words.doc[order[at]], np.arange(rows.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays(fields, names=["hash", "k", "class"]))
+                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(words.counts), pa.array(sums), lists], names=["id", "n_tokens", "net", "rare"])
+
+    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n_tokens bigint, net double, rare array<struct<hash: bigint, k: int, class: int>>")
+
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_tokens, log_likelihood (sum) and mean_log_likelihood of each row.
+
+    The network's sums are written with a number per row, by which the shares of
+    the rarer words come back to their texts."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "sums")
+    _network_sums(docs, model, id_column, text_column).withColumn("row_", F.monotonically_increasing_id()).write.parquet(path)
+    table = spark.read.parquet(path)
+    sizes = F.element_at(F.array(*[F.lit(int(n + words + 1)) for n, words in model.totals]), F.col("class") + 1)
+    counts = spark.read.parquet(model.counts).select("hash", "n")
+    rare = table.select("row_", F.inline("rare")).join(counts, "hash", "left")
+    share = F.log((F.coalesce("n", F.lit(0)) + 1) / sizes)
+    shares = rare.groupBy("row_").agg(F.sum(F.col("k") * share).alias("shares"))
+    total = F.col("net") + F.coalesce("shares", F.lit(0.0))
+    return table.join(shares, "row_", "left").select(
+        F.col("id").alias(id_column), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood")
+    )
