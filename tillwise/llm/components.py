@@ -2,8 +2,10 @@
 
 Large-star and small-star rounds rewire each node to the smallest node it
 knows. Every round is two grouped minima and two joins; the links are cut off
-by a reliable checkpoint per round and never pass through the driver. A round
-ends the search when it leaves count and checksum of the links unchanged.
+by a reliable checkpoint per round and never pass through the driver. The minima
+are cut off as well, before they are joined: so both sides of a join are plain
+shuffles, and Spark's skew join deals a hub's links out over several tasks. A
+round ends the search when it leaves count and checksum of the links unchanged.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from tillwise.session import checkpointed
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
