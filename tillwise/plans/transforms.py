@@ -75,7 +75,7 @@ tr.register("reverse_text", lambda v, params: F.reverse(v))
 @query(
     "xf_cast",
     f"""WITH {LOOSE_SQL} SELECT k, n, CAST(trunc({P}) AS BIGINT) AS as_int, {P} AS as_float, CAST(CAST(TRY_CAST(trim(price) AS DECIMAL(38,10)) AS DECIMAL(18,2)) AS DOUBLE) AS as_decimal,
-  lower(flag) IN ('true', '1', 'yes', 'y', 'on') AS as_bool, CAST(CASE WHEN n <> 3 THEN TRY_CAST(tm AS TIMESTAMP) END AS VARCHAR) AS as_time FROM loose""",
+  lower(flag) IN ('true', '1', 'yes', 'y', 'on') AS as_bool, CAST(TRY_CAST(CASE WHEN regexp_matches(tm, '^[0-9]{{4}}-') THEN tm END AS TIMESTAMP) AS VARCHAR) AS as_time FROM loose""",
 )
 def _(t):
     out = apply_rules(
