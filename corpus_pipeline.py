@@ -11,7 +11,7 @@ empty table gives an empty one.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import gam, line_rules, minhash, packing, queries, secret_scan
@@ -40,9 +40,10 @@ def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
         path = scratch_path(spark, "rows")
         docs.select(*COLUMNS).write.parquet(path)
         return with_row_key(spark, spark.read.parquet(path))
-    rank = F.row_number().over(Window.orderBy("file"))  # one row per file
-    files = placed.select("file").distinct().withColumn("rank", rank)
-    key = F.shiftleft(F.col("rank").cast("bigint"), 40) + F.col("place")
+    # One name per file, which Spark's driver lists anyway; a table of known size.
+    names = sorted(r[0] for r in placed.select("file").distinct().collect())
+    files = spark.createDataFrame(list(enumerate(names)), "rank bigint, file string")
+    key = F.shiftleft("rank", 40) + F.col("place")
     return placed.join(files, "file").select(*COLUMNS, key.alias("row_key"))
 
 
