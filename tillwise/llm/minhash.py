@@ -343,7 +343,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Texts of one set are one class, of equal bands and bits; the smallest id
     # stands for it, with one of its texts.
     known = F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))
-    classes = filled.groupBy(*digest).agg(F.min(known).alias("r"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    written = scratch_path(spark, "classes")
+    filled.groupBy(*digest).agg(F.min(known).alias("r"), F.first("bands").alias("bands"), F.first("packed").alias("packed")).write.parquet(written)
+    classes = spark.read.parquet(written)  # so joins to it are plain shuffles, which the skew join can split
     exact = classes.select(*digest, F.col("r.id").alias("rep"))
     reps = classes.where("r IS NOT NULL").select(F.col("r.id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "bands", "packed")
     keys = reps.select(*MEMBER, F.posexplode("bands").alias("band", "key"))
