@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillwise.llm import gam, line_rules, minhash, packing, queries, secret_scan
 from tillwise.session import configure, scratch_path
 
+MOST_NAMES = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,6 +44,8 @@ def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # One name per file, which Spark's driver lists anyway; a table of known size.
     names = sorted(r[0] for r in placed.select("file").distinct().collect())
     files = spark.createDataFrame(list(enumerate(names)), "rank bigint, file string")
+    if len(names) <= MOST_NAMES:  # some 100 bytes each; of more files the join is left to Spark
+        files = F.broadcast(files)
     key = F.shiftleft("rank", 40) + F.col("place")
     return placed.join(files, "file").select(*COLUMNS, key.alias("row_key"))
 
