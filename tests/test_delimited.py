@@ -102,3 +102,21 @@ def test_empty_files_and_changed_splits(spark, tmp_path, small_splits):
     small_splits(70)
     with pytest.raises(Exception, match="cut differently"):
         df.count()
+
+
+def test_only_some_files_hold_a_record_over_a_border(spark, tmp_path):
+    # Splits follow the size of all files here, so a read of fewer files would be cut otherwise.
+    settings = {"spark.sql.files.minPartitionNum": "5", SPLIT: "1g", OPEN: "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    (tmp_path / "a.csv").write_text("k,v\n" + "1,x\n" * 300)
+    (tmp_path / "b.csv").write_text('k,v\n2,"' + "line\n" * 200 + '"\n' + "3,y\n" * 100)
+    (tmp_path / "c.csv").write_text("k,v\n4,z\n")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = files.scan_csv(spark, str(tmp_path))
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted([("1", "x")] * 300 + [("2", "line\n" * 200)] + [("3", "y")] * 100 + [("4", "z")])
