@@ -74,3 +74,10 @@ def test_as_of_filters_prune_files(spark, tmp_path):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
         assert 0 < read <= 3_000
     assert marts.max_of(df.where("id < 0"), "ts") is not None
+
+
+def test_paged_json_reads_every_error(spark, tmp_path):
+    # pages of 25 errors in bare lists: no envelope names a last page
+    events = spark.range(0, 2000, 10).selectExpr("id AS event_id", "id AS user_id", "'error' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["scan_paged_json"](spark, str(tmp_path)).count() == 200
