@@ -167,3 +167,26 @@ def test_open_failures_are_forgotten_within_a_batch_too(spark, tmp_path):
     got = {r.event_id: r.outcome for r in jobs.drain(jobs.lockout(jobs.source(spark, path, spark.read.parquet(path).schema), forget_days=2), "lock").collect()}
     assert [got[k] for k in range(6)] == ["failed"] * 6
     assert [got[10 + k] for k in range(6)] == ["failed"] * 4 + ["locked", "refused"]
+
+
+def test_validated_rows_are_kept_in_even_parts(spark, tmp_path):
+    # one file of one split; what is kept of it is dealt to several tasks
+    from tillwise.plans.streams import streams
+    from tillwise.plans.standins import Tables
+    from tillwise.plans.validation import pos_records
+
+    lines = spark.range(20_000).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "id % 7 + 1 AS l_linenumber", "CAST(id % 50 AS double) AS l_quantity", "timestamp'1995-01-01' AS l_shipdate"
+    )
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    good, bad = f"{tmp_path}/good", f"{tmp_path}/bad"
+    try:
+        for k in old:
+            spark.conf.set(k, "4k")
+        jobs.validate_split(pos_records(streams(Tables(spark, str(tmp_path)))), "pos", good, bad)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert spark.read.parquet(good).count() + spark.read.parquet(bad).count() == 20_000
+    assert len(list((tmp_path / "good").rglob("part-*.parquet"))) > 1
