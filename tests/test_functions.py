@@ -301,3 +301,47 @@ def test_text_formats_equal_the_language_s_own(spark, pattern):
 def test_formats_that_a_text_does_not_fit(spark, pattern):
     with pytest.raises(ValueError):
         tr.format_text(F.lit("x"), pattern)
+
+
+AWKWARD = ["123", "45", "6789", "-", " ", ".", "(", "+1", "+44 7", "07", "é", "e\u0301", "\u0301", "\u0663", "\u017f", "@", "|", "a", "b.c", "com", "%", "AB", "C", "123456C", "GB123456A", "\n", "1234567", "4111 1111 1111 1111", "202-555-0143", "10.0.0.1", "bob@x.org", "..", "_", "x@y.test"]
+
+
+def awkward_texts(n):
+    import random
+
+    r = random.Random(3)
+    return ["".join(r.choice(AWKWARD) for _ in range(r.randint(0, 25))) for _ in range(n)]
+
+
+def test_spans_of_stretches_are_those_of_the_whole_text():
+    for field in ("text", "name"):
+        whole = [(*s[:4], "text") for s in pii._specs(field)]
+        for text in awkward_texts(4000):
+            assert pii.spans(text, field) == pii.spans(text, field, whole)
+
+
+def test_patterns_are_not_tried_outside_of_stretches():
+    class Pattern:
+        tried = 0
+
+        def finditer(self, text, begin=0, end=None):
+            self.tried += (len(text) if end is None else end) - begin
+            return iter(())
+
+    spy = Pattern()
+    pii.spans("plain words and no numbers " * 1000 + "202-555-0143", specs=[("phone", "MEDIUM", spy, pii._phone_ok, "number")])
+    assert 0 < spy.tried < 20
+
+
+def test_kinds_found_in_the_short_text_are_those_of_the_text(spark):
+    df = spark.createDataFrame([(t,) for t in [*awkward_texts(5000), None]], "v string").withColumn("s", pii.numbers(F.col("v")))
+    for kind in pii.KINDS[:-1]:
+        plain, short = pii.found(F.col("v"), kind), pii.found(F.col("v"), kind, short=F.col("s"))
+        assert df.where(~plain.eqNullSafe(short)).count() == 0
+
+
+def test_notes_are_spread_and_the_data_map_reads_them_once(spark, sf):
+    from tillwise.plans.registry import spark_queries
+
+    plan = spark_queries()["agg_pii_data_map"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan

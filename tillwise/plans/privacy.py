@@ -11,6 +11,7 @@ from tillwise.functions.columns import text
 from tillwise.operators import marts, privacy
 from tillwise.plans.joins import MAPS_SQL, policies
 from tillwise.plans.registry import query
+from tillwise.session import spread
 
 KEY = b"0123456789abcdef0123456789abcdef"
 
@@ -102,7 +103,7 @@ UNION ALL SELECT c_custkey, 'contact.phones[1]', 'phone', '+1202555' || lpad(CAS
 UNION ALL SELECT c_custkey, 'visits[0].ip', 'ip_address', '10.0.0.' || CAST(c_custkey % 200 AS VARCHAR) FROM customer""",
 )
 def _(t):
-    nested = t.clients.select(
+    nested = spread(t.clients.select("customer_id", "email", "phone")).select(
         F.col("customer_id").alias("c_custkey"),
         F.struct("email", F.array(F.lit("none"), F.col("phone")).alias("phones")).alias("contact"),
         F.array(F.struct(F.concat(F.lit("10.0.0."), text(F.col("customer_id") % 200)).alias("ip"), F.lit(1).alias("n"))).alias("visits"),
@@ -130,8 +131,8 @@ def _(t):
 def _(t):
     # names are looked for in the notes only, as in the detector of their own
     field = F.col("field") == "customer_note"
-    size = lambda k: F.when(field, F.size(pii.found(F.col("body"), k, "customer_note"))).otherwise(0) if k == "name" else F.size(pii.found(F.col("body"), k))
-    counts = t.texts.agg(*[F.coalesce(F.sum(size(k)), F.lit(0)).alias(k) for k in FOUND_SQL]).unpivot([], list(FOUND_SQL), "type", "n")
+    size = lambda k: F.when(field, F.size(pii.found(F.col("body"), k, "customer_note"))).otherwise(0) if k == "name" else F.size(pii.found(F.col("body"), k, short=F.col("_short")))
+    counts = t.texts.withColumn("_short", pii.numbers(F.col("body"))).agg(*[F.coalesce(F.sum(size(k)), F.lit(0)).alias(k) for k in FOUND_SQL]).unpivot([], list(FOUND_SQL), "type", "n")
     return counts.select("type", "n", pii.category_of(F.col("type")).alias("category"), pii.level_of(F.col("type")).alias("level"))
 
 
