@@ -345,3 +345,12 @@ def test_notes_are_spread_and_the_data_map_reads_them_once(spark, sf):
 
     plan = spark_queries()["agg_pii_data_map"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_shifts_are_dealt_before_they_are_counted(spark, sf):
+    from tillwise.plans.standins import Tables
+
+    lines = Tables(spark, sf).shifts._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
+    branch = [line for line in lines[dealt:] if "lineitem" in line or "HashAggregate" in line]
+    assert branch and "HashAggregate" not in branch[0]
