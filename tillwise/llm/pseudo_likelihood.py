@@ -30,7 +30,9 @@ nothing and gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ from pyspark.sql import functions as F
 from tillwise.llm import text as tx
 from tillwise.session import scratch_path
 
+SCORED = 8_192  # positions of a scoring step
+LEADING = np.uint64(44)  # a shift that leaves 20 bits of a hash
+LOOKED_UP = 1 << 22  # words that a task holds to look up their counts
+
 
 @dataclass(frozen=True)
 class Params:
@@ -107,57 +113,116 @@ def neighbours(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarr
     return out
 
 
-def forward(net: list[np.ndarray], around: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    x = net[0][around].reshape(len(around), -1)
-    return x, np.tanh(x @ net[1] + net[2])
+class Room:
+    """Arrays that every batch uses again. Fresh ones of this size come as pages
+    that the system maps and clears first, which took longer than the sums."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.kept or len(self.kept[name]) < size:
+            self.kept[name] = np.empty(size, np.float32)
+        return self.kept[name][:size].reshape(shape)
+
+
+def forward(net: list[np.ndarray], around: np.ndarray, p: Params, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    x = room("x", len(around), 2 * p.reach * p.width)
+    np.take(net[0], around, axis=0, out=x.reshape(*around.shape, p.width), mode="clip")
+    h = np.matmul(x, net[1], out=room("h", len(around), p.hidden))
+    h += net[2]
+    return x, np.tanh(h, out=h)
+
+
+def _by_cluster(cluster: np.ndarray, p: Params) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the positions by cluster; cluster, begin and end of each stretch."""
+    order = np.argsort(cluster.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    ends = np.cumsum(np.bincount(cluster, minlength=p.clusters)).tolist()
+    return order, [(c, low, high) for c, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if low < high]
 
 
-def _by_cluster(cluster: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(cluster, kind="stable")
-    borders = np.flatnonzero(np.diff(cluster[order])) + 1
-    return [(int(cluster[part[0]]), part) for part in np.split(order, borders) if len(part)]
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of each column's softmax at its place; the logits are used up."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    return np.log(logits[at, np.arange(len(at))] / logits.sum(axis=0) + 1e-12)
 
 
-def log_probabilities(net: list[np.ndarray], ids: np.ndarray, around: np.ndarray, p: Params) -> np.ndarray:
-    _, h = forward(net, around, p)
+def log_probabilities(net: list[np.ndarray], ids: np.ndarray, around: np.ndarray, p: Params, room: Room) -> np.ndarray:
+    # Positions are columns here, so maxima and sums run along memory.
     cluster, word = np.divmod(ids, p.per_cluster)
-    out = np.log(_softmax(h @ net[3] + net[4])[np.arange(len(ids)), cluster] + 1e-12).astype(np.float64)
-    for c, rows in _by_cluster(cluster):
-        within = _softmax(h[rows] @ net[5][c] + net[6][c])
-        out[rows] += np.log(within[np.arange(len(rows)), word[rows]] + 1e-12)
+    order, stretches = _by_cluster(cluster, p)
+    turned = room("turned", p.hidden, len(ids))
+    turned[...] = forward(net, around[order], p, room)[1].T
+    logits = np.matmul(net[3].T, turned, out=room("logits", p.clusters, len(ids)))
+    logits += net[4][:, None]
+    log = _log_softmax_at(logits, cluster[order]).astype(np.float64)
+    logits = room("logits", p.per_cluster, len(ids))
+    for c, low, high in stretches:
+        np.add(net[5][c].T @ turned[:, low:high], net[6][c][:, None], out=logits[:, low:high])
+    log += _log_softmax_at(logits, word[order])
+    out = np.empty(len(ids))
+    out[order] = log
     return out
 
 
-def descend(net: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, around: np.ndarray, p: Params) -> None:
+def descend(net: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, around: np.ndarray, p: Params, room: Room) -> None:
     """One adaptive gradient step on a batch, in place."""
     n = len(ids)
-    x, h = forward(net, around, p)
+    every = np.arange(n)
+    x, h = forward(net, around, p, room)
     cluster, word = np.divmod(ids, p.per_cluster)
-    slope = _softmax(h @ net[3] + net[4])
-    slope[np.arange(n), cluster] -= 1
+    slope = np.matmul(h, net[3], out=room("slope", n, p.clusters))
+    slope += net[4]
+    _softmax(slope)
+    slope[every, cluster] -= 1
     slope /= n
-    back = slope @ net[3].T
+    back = np.matmul(slope, net[3].T, out=room("back", n, p.hidden))
     steps: list[tuple[int, object, np.ndarray]] = [(3, ..., h.T @ slope), (4, ..., slope.sum(0))]
-    for c, rows in _by_cluster(cluster):
-        inner = _softmax(h[rows] @ net[5][c] + net[6][c])
-        inner[np.arange(len(rows)), word[rows]] -= 1
-        inner /= n
-        back[rows] += inner @ net[5][c].T
-        steps += [(5, c, h[rows].T @ inner), (6, c, inner.sum(0))]
-    back *= 1 - h * h
+    # Within the clusters: the positions in order of cluster, a stretch of each.
+    order, stretches = _by_cluster(cluster, p)
+    own = np.take(h, order, axis=0, out=room("own", n, p.hidden), mode="clip")
+    inner = np.take(net[6], cluster[order], axis=0, out=room("inner", n, p.per_cluster), mode="clip")
+    for c, low, high in stretches:
+        inner[low:high] += own[low:high] @ net[5][c]
+    _softmax(inner)
+    inner[every, word[order]] -= 1
+    inner /= n
+    weights, biases, inner_back = room("weights", *net[5].shape), room("biases", *net[6].shape), room("inner_back", n, p.hidden)
+    weights[...], biases[...] = 0, 0
+    for c, low, high in stretches:
+        part = inner[low:high]
+        np.matmul(part, net[5][c].T, out=inner_back[low:high])
+        np.matmul(own[low:high].T, part, out=weights[c])
+        part.sum(0, out=biases[c])
+    steps += [(5, ..., weights), (6, ..., biases)]
+    place = np.empty(n, np.int64)
+    place[order] = every
+    back += np.take(inner_back, place, axis=0, out=own, mode="clip")
+    np.multiply(h, h, out=own)
+    back *= np.subtract(1, own, out=own)
     steps += [(1, ..., x.T @ back), (2, ..., back.sum(0))]
-    into = (back @ net[1].T).reshape(-1, p.width)
+    into = np.matmul(back, net[1].T, out=room("into", *x.shape)).reshape(-1, p.width)
     flat = around.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
-    steps.append((0, flat[order[starts]], np.add.reduceat(into[order], starts)))
+    order = np.argsort(flat.astype(np.uint16) if p.words < 1 << 16 else flat, kind="stable")
+    flat = flat[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1])
+    sorted_ = np.take(into, order, axis=0, out=room("sorted", *into.shape), mode="clip")
+    steps.append((0, flat[starts], np.add.reduceat(sorted_, starts)))
     for k, where, g in steps:
-        squares[k][where] += g * g
-        net[k][where] -= p.rate * g / (np.sqrt(squares[k][where]) + 1e-6)
+        step = np.multiply(g, g, out=room("step", *g.shape))
+        squares[k][where] += step
+        np.sqrt(squares[k][where], out=step)
+        step += 1e-6
+        g *= p.rate
+        g /= step
+        net[k][where] -= g
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tx.Words:
-    return tx.words_of(tx.LOWER[data], offsets)
+    lower = np.frombuffer(data.tobytes().translate(tx.LOWER.tobytes()), np.uint8)
+    return tx.words_of(lower, offsets)
 
 
 def classes(hashes: np.ndarray, p: Params) -> np.ndarray:
@@ -173,18 +238,31 @@ class Vocabulary:
         self.sorted = hashes[self.order]
         self.p = p
 
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """By leading bits: the place in ``sorted``, and whether several words share them."""
+        slots = self.sorted >> LEADING
+        place, shared = np.full(1 << 20, -1, np.int32), np.zeros(1 << 20, bool)
+        place[slots] = np.arange(len(slots))
+        shared[slots[1:][slots[1:] == slots[:-1]]] = True
+        return place, shared
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         p = self.p
         other = p.frequent + classes(hashes, p)
         if not len(self.sorted):
             return other
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        slots = hashes >> LEADING
+        place, shared = self.places
+        at = place[slots]
+        several = np.flatnonzero(shared[slots])
+        at[several] = np.minimum(np.searchsorted(self.sorted, hashes[several]), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.order[at], other)
 
 
 @dataclass
 class Model:
-    """``counts``: path of the table of word counts (hash, class, n). ``totals``:
+    """``counts``: path of the table of word counts (hash, n). ``totals``:
     per hash class the occurrences of its words and how many different ones."""
 
     vocabulary: Vocabulary
@@ -195,22 +273,25 @@ class Model:
 
 
 def count_words(docs: DataFrame, p: Params, text_column: str = "text") -> DataFrame:
-    """hash, class, n: occurrences of each word in the whole corpus."""
+    """hash, n: occurrences of each word in the whole corpus."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in tx.slices(batch, text_column):
                 values, counts = np.unique(word_hashes(data, offsets).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(classes(values, p).astype(np.int32)), pa.array(counts)], names=["hash", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
-    return docs.select(text_column).mapInArrow(run, "hash bigint, class int, n bigint").groupBy("hash", "class").agg(F.sum("n").alias("n"))
+    return docs.select(text_column).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def class_totals(counts: DataFrame, vocabulary: Vocabulary, p: Params) -> np.ndarray:
     """(classes, 2): occurrences and different words, those known by name left out."""
     names = counts.sparkSession.createDataFrame([(h,) for h in vocabulary.sorted.view(np.int64).tolist()], "hash bigint")
-    out = np.zeros((p.words - p.frequent, 2), np.int64)
-    for k, n, words in counts.join(names, "hash", "left_anti").groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+    number = p.words - p.frequent
+    out = np.zeros((number, 2), np.int64)
+    # The hash is an unsigned number kept in a signed one.
+    class_ = F.pmod(F.pmod("hash", F.lit(number)) + F.when(F.col("hash") < 0, F.lit((1 << 64) % number)).otherwise(0), F.lit(number))
+    for k, n, words in counts.join(names, "hash", "left_anti").groupBy(class_.alias("class")).agg(F.sum("n"), F.count("*")).collect():
         out[k] = n, words
     return out
 
@@ -250,7 +331,7 @@ def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFr
         flat = start.copy()
         net = unpacked(flat, p)
         squares = unpacked(np.full(len(flat), 0.01, np.float32), p)
-        seen = 0
+        room, seen = Room(), 0
         for batch in batches:
             for _, data, offsets in tx.slices(batch, text_column):
                 words = word_hashes(data, offsets)
@@ -260,7 +341,7 @@ def _round(docs: DataFrame, text_column: str, model: Model, turn: int) -> DataFr
                 chosen = np.random.default_rng(turn).permutation(targets(words, turn, p))
                 for low in range(0, len(chosen), p.batch):
                     at = chosen[low : low + p.batch]
-                    descend(net, squares, ids[at], neighbours(ids, words.first, words.doc, at, p), p)
+                    descend(net, squares, ids[at], neighbours(ids, words.first, words.doc, at, p), p, room)
                 seen += len(chosen)
         if seen:
             salt = TaskContext.get().partitionId() % p.salts
@@ -308,52 +389,140 @@ def train(docs: DataFrame, text_column: str = "text", params: Params | None = No
     return model
 
 
-def _network_sums(docs: DataFrame, model: Model, id_column: str, text_column: str) -> DataFrame:
-    """Per row: id, n_tokens, the network's sum, and the words of hash classes
-    with their number in the text."""
+RARE = pa.list_(pa.struct([("part", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("times", pa.binary())]))
+
+
+def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of word hashes by part, then hash; part, begin and end of each stretch."""
+    part = hashes.view(np.int64) % parts
+    order = np.argsort(hashes, kind="stable")
+    order = order[np.argsort(part[order].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
+    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+    return order, [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if low < high]
+
+
+def _network_sums(docs: DataFrame, model: Model, id_column: str, text_column: str, parts: int) -> DataFrame:
+    """Per row: its slice of texts and place there, id, n_tokens, the network's sum.
+    The first row of a slice also has its words of hash classes, by part of the
+    hashes: hash, place of the text and number in the text, as packed numbers."""
     p, flat, vocabulary = model.params, model.flat, model.vocabulary
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches):
-        net = unpacked(flat, p)
+        net, room = unpacked(flat, p), Room()
+        slice_ = TaskContext.get().partitionId() << 32
         for batch in batches:
             for rows, data, offsets in tx.slices(batch, text_column):
                 words = word_hashes(data, offsets)
                 ids = vocabulary.ids(words.hash)
                 sums = np.zeros(rows.num_rows)
-                for low in range(0, len(ids), 32_768):
-                    at = np.arange(low, min(low + 32_768, len(ids)))
-                    log = log_probabilities(net, ids[at], neighbours(ids, words.first, words.doc, at, p), p)
+                for low in range(0, len(ids), SCORED):
+                    at = np.arange(low, min(low + SCORED, len(ids)))
+                    log = log_probabilities(net, ids[at], neighbours(ids, words.first, words.doc, at, p), p, room)
                     sums += np.bincount(words.doc[at], log, rows.num_rows)
-                # Different words of each text, in order of text, then hash.
                 rare = np.flatnonzero(ids >= p.frequent)
-                order = rare[np.lexsort((words.hash[rare], words.doc[rare]))]
+                order, stretches = _by_part(words.hash[rare], parts)
+                hashes, places = words.hash[rare][order], words.doc[rare][order]
+                # Equal words of a text follow each other, as texts are in order.
                 edge = np.ones(len(order), bool)
-                edge[1:] = (words.doc[order][1:] != words.doc[order][:-1]) | (words.hash[order][1:] != words.hash[order][:-1])
+                edge[1:] = (places[1:] != places[:-1]) | (hashes[1:] != hashes[:-1])
                 at = np.flatnonzero(edge)
-                fields = [pa.array(words.hash[order[at]].view(np.int64)), pa.array(np.diff(np.append(at, len(order))).astype(np.int32)), pa.array(classes(words.hash[order[at]], p).astype(np.int32))]
-                borders = np.searchsorted(words.doc[order[at]], np.arange(rows.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays(fields, names=["hash", "k", "class"]))
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(words.counts), pa.array(sums), lists], names=["id", "n_tokens", "net", "rare"])
+                times = np.diff(np.append(at, len(order))).astype(np.int32)
+                hashes, places = hashes[at], places[at].astype(np.int32)
+                found = []
+                for k, low, high in stretches:
+                    low, high = np.searchsorted(at, (low, high))
+                    found.append({"part": k, "hashes": hashes[low:high].tobytes(), "places": places[low:high].tobytes(), "times": times[low:high].tobytes()})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slice_] * rows.num_rows, pa.int64()), pa.array(range(rows.num_rows), pa.int32()), rows.column(id_column), pa.array(words.counts), pa.array(sums), pa.array([found] + [[]] * (rows.num_rows - 1), RARE)],
+                    names=["slice", "place", "id", "n_tokens", "net", "rare"],
+                )
+                slice_ += 1
+
+    return docs.select(id_column, text_column).mapInArrow(
+        run, f"slice bigint, place int, id {kind}, n_tokens bigint, net double, rare array<struct<part: int, hashes: binary, places: binary, times: binary>>"
+    )
+
+
+def _packed_counts(counts: DataFrame, parts: int) -> DataFrame:
+    """part, hashes, counts: the words of each part, some rows of packed numbers each."""
+
+    def packed(held):
+        table = pa.Table.from_batches(held)
+        hashes, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        order, stretches = _by_part(hashes, parts)
+        for k, low, high in stretches:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([hashes[order[low:high]].tobytes()], pa.binary()), pa.array([n[order[low:high]].tobytes()], pa.binary())], names=["part", "hashes", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= LOOKED_UP // 4:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"id {kind}, n_tokens bigint, net double, rare array<struct<hash: bigint, k: int, class: int>>")
+    return counts.select("hash", "n").mapInArrow(run, "part int, hashes binary, counts binary")
+
+
+def _shares(rare: DataFrame, counts: DataFrame, model: Model, parts: int) -> DataFrame:
+    """slice, place, shares: logarithms of the shares of the rarer words, summed by
+    text. A task has the counts of one part at a time; the words of the slices
+    stream past them."""
+    p = model.params
+    sizes = model.totals.sum(axis=1) + 1
+    both = _packed_counts(counts, parts).unionByName(rare, allowMissingColumns=True)
+
+    def look_up(batches):
+        part, known, numbers, ready = None, [], [], False
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    part, known, numbers, ready = r["part"], [], [], False
+                hashes = np.frombuffer(r["hashes"], np.uint64)
+                if r["slice"] is None:
+                    known.append(hashes)
+                    numbers.append(np.frombuffer(r["counts"], np.int64))
+                    continue
+                if not ready:  # all counts of the part came before; a last place is for words beyond them
+                    known = np.concatenate([*known, np.full(1, 2**64 - 1, np.uint64)])
+                    order = np.argsort(known, kind="stable")
+                    known, numbers, ready = known[order], np.concatenate([*numbers, np.zeros(1, np.int64)])[order], True
+                at = np.searchsorted(known, hashes)
+                n = np.where(known[at] == hashes, numbers[at], 0)
+                log = np.frombuffer(r["times"], np.int32) * np.log((n + 1) / sizes[classes(hashes, p)])
+                sums = np.bincount(np.frombuffer(r["places"], np.int32), log)
+                yield pa.RecordBatch.from_arrays([pa.array([r["slice"]], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["slice", "sums"])
+
+    def summed(batches):
+        for group in tx.groups(batches, ["slice"]):
+            vectors = [np.frombuffer(v.as_py()) for v in group.column("sums")]
+            total = np.zeros(max(map(len, vectors)))
+            for v in vectors:
+                total[: len(v)] += v
+            yield pa.RecordBatch.from_arrays([pa.array([group.column("slice")[0].as_py()] * len(total), pa.int64()), pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["slice", "place", "shares"])
+
+    # Null slices, the counts, come first.
+    sums = both.repartition("part").sortWithinPartitions("part", F.col("slice").asc_nulls_first()).mapInArrow(look_up, "slice bigint, sums binary")
+    return sums.repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice bigint, place int, shares double")
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_tokens, log_likelihood (sum) and mean_log_likelihood of each row.
 
-    The network's sums are written with a number per row, by which the shares of
-    the rarer words come back to their texts."""
+    The network's sums are written with the place of each row, by which the shares
+    of the rarer words come back to their texts."""
     spark = docs.sparkSession
     path = scratch_path(spark, "sums")
-    _network_sums(docs, model, id_column, text_column).withColumn("row_", F.monotonically_increasing_id()).write.parquet(path)
+    parts = max(64, -(-int(model.totals[:, 1].sum()) // LOOKED_UP))
+    _network_sums(docs, model, id_column, text_column, parts).write.parquet(path)
     table = spark.read.parquet(path)
-    sizes = F.element_at(F.array(*[F.lit(int(n + words + 1)) for n, words in model.totals]), F.col("class") + 1)
-    counts = spark.read.parquet(model.counts).select("hash", "n")
-    rare = table.select("row_", F.inline("rare")).join(counts, "hash", "left")
-    share = F.log((F.coalesce("n", F.lit(0)) + 1) / sizes)
-    shares = rare.groupBy("row_").agg(F.sum(F.col("k") * share).alias("shares"))
+    rare = table.select("slice", F.inline("rare"))
+    shares = _shares(rare, spark.read.parquet(model.counts), model, parts)
     total = F.col("net") + F.coalesce("shares", F.lit(0.0))
-    return table.join(shares, "row_", "left").select(
+    return table.join(shares, ["slice", "place"], "left").select(
         F.col("id").alias(id_column), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood")
     )
