@@ -94,11 +94,12 @@ def initial(p: Params) -> np.ndarray:
     return np.concatenate([(r.normal(0, 0.1, int(np.prod(s))) if len(s) > 1 and s != (p.clusters, p.per_cluster) else np.zeros(int(np.prod(s)))) for s in p.shapes()]).astype(np.float32)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Turn logits into their exponentials, in place; the sum of each row."""
+    if logits.max() > 60 or logits.min() < -60:  # else no exponential and no sum leaves the range of its type
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32)
 
 
 def neighbours(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray, p: Params) -> np.ndarray:
@@ -114,8 +115,8 @@ def neighbours(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarr
 
 
 class Room:
-    """Arrays that every batch uses again. Fresh ones of this size come as pages
-    that the system maps and clears first, which took longer than the sums."""
+    """Arrays that every batch uses again: fresh ones of this size come as pages
+    that the system maps and clears first."""
 
     def __init__(self):
         self.kept: dict[str, np.ndarray] = {}
@@ -143,24 +144,22 @@ def _by_cluster(cluster: np.ndarray, p: Params) -> tuple[np.ndarray, list[tuple[
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of each column's softmax at its place; the logits are used up."""
-    logits -= logits.max(axis=0)
-    np.exp(logits, out=logits)
-    return np.log(logits[at, np.arange(len(at))] / logits.sum(axis=0) + 1e-12)
+    """Logarithm of each row's softmax at its place; the logits are used up."""
+    sums = _exponentials(logits)
+    return np.log(logits[np.arange(len(at)), at] / sums + 1e-12)
 
 
 def log_probabilities(net: list[np.ndarray], ids: np.ndarray, around: np.ndarray, p: Params, room: Room) -> np.ndarray:
-    # Positions are columns here, so maxima and sums run along memory.
     cluster, word = np.divmod(ids, p.per_cluster)
     order, stretches = _by_cluster(cluster, p)
-    turned = room("turned", p.hidden, len(ids))
-    turned[...] = forward(net, around[order], p, room)[1].T
-    logits = np.matmul(net[3].T, turned, out=room("logits", p.clusters, len(ids)))
-    logits += net[4][:, None]
+    _, h = forward(net, around[order], p, room)
+    logits = np.matmul(h, net[3], out=room("logits", len(ids), p.clusters))
+    logits += net[4]
     log = _log_softmax_at(logits, cluster[order]).astype(np.float64)
-    logits = room("logits", p.per_cluster, len(ids))
+    logits = room("logits", len(ids), p.per_cluster)
     for c, low, high in stretches:
-        np.add(net[5][c].T @ turned[:, low:high], net[6][c][:, None], out=logits[:, low:high])
+        part = np.matmul(h[low:high], net[5][c], out=logits[low:high])
+        part += net[6][c]
     log += _log_softmax_at(logits, word[order])
     out = np.empty(len(ids))
     out[order] = log
@@ -175,27 +174,26 @@ def descend(net: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, a
     cluster, word = np.divmod(ids, p.per_cluster)
     slope = np.matmul(h, net[3], out=room("slope", n, p.clusters))
     slope += net[4]
-    _softmax(slope)
-    slope[every, cluster] -= 1
-    slope /= n
+    slope *= (1 / (n * _exponentials(slope)))[:, None]
+    slope[every, cluster] -= 1 / n
     back = np.matmul(slope, net[3].T, out=room("back", n, p.hidden))
     steps: list[tuple[int, object, np.ndarray]] = [(3, ..., h.T @ slope), (4, ..., slope.sum(0))]
     # Within the clusters: the positions in order of cluster, a stretch of each.
     order, stretches = _by_cluster(cluster, p)
     own = np.take(h, order, axis=0, out=room("own", n, p.hidden), mode="clip")
-    inner = np.take(net[6], cluster[order], axis=0, out=room("inner", n, p.per_cluster), mode="clip")
+    inner = room("inner", n, p.per_cluster)
     for c, low, high in stretches:
-        inner[low:high] += own[low:high] @ net[5][c]
-    _softmax(inner)
-    inner[every, word[order]] -= 1
-    inner /= n
+        part = np.matmul(own[low:high], net[5][c], out=inner[low:high])
+        part += net[6][c]
+    inner *= (1 / (n * _exponentials(inner)))[:, None]
+    inner[every, word[order]] -= 1 / n
     weights, biases, inner_back = room("weights", *net[5].shape), room("biases", *net[6].shape), room("inner_back", n, p.hidden)
     weights[...], biases[...] = 0, 0
     for c, low, high in stretches:
         part = inner[low:high]
         np.matmul(part, net[5][c].T, out=inner_back[low:high])
         np.matmul(own[low:high].T, part, out=weights[c])
-        part.sum(0, out=biases[c])
+        np.add.reduce(part, 0, out=biases[c])
     steps += [(5, ..., weights), (6, ..., biases)]
     place = np.empty(n, np.int64)
     place[order] = every
@@ -209,7 +207,9 @@ def descend(net: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, a
     flat = flat[order]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1])
     sorted_ = np.take(into, order, axis=0, out=room("sorted", *into.shape), mode="clip")
-    steps.append((0, flat[starts], np.add.reduceat(sorted_, starts)))
+    # Two columns go as one complex number: sums of short stretches cost by the column.
+    pairs = sorted_ if p.width % 2 else sorted_.view(np.complex64)
+    steps.append((0, flat[starts], np.add.reduceat(pairs, starts).view(np.float32)))
     for k, where, g in steps:
         step = np.multiply(g, g, out=room("step", *g.shape))
         squares[k][where] += step

@@ -92,7 +92,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Maximal runs of other bytes than blank, tab, LF, VT, FF and CR."""
-    blank = BLANK[data]
+    blank = np.frombuffer(data.tobytes().translate(BLANK.tobytes()), bool)
     edge = np.empty(len(data) + 1, np.int8)
     if len(data):
         edge[0] = not blank[0]
@@ -115,7 +115,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     while at < len(start):
         stop = max(at + 1, int(np.searchsorted(start, start[at] + PIECE_BYTES)))
         low, high = start[at], end[stop - 1]
-        codes[at:stop] = span_hashes(_BYTE_CODE[data[low:high]], start[at:stop] - low, end[at:stop] - low)
+        codes[at:stop] = span_hashes(np.take(_BYTE_CODE, data[low:high]), start[at:stop] - low, end[at:stop] - low)
         at = stop
     return Words(data, offsets, start, end, doc, codes, first)
 
