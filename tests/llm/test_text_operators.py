@@ -4,6 +4,7 @@ import base64
 import dataclasses
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -401,3 +402,68 @@ def test_rounds_of_the_query_train_on_every_position_once():
         words = pseudo_likelihood.word_hashes(data, offsets)
         seen = np.concatenate([pseudo_likelihood.targets(words, turn, p) for turn in range(p.rounds)])
         assert sorted(seen.tolist()) == list(range(len(words.hash)))
+
+
+def test_pseudo_likelihood_step_uses_its_arrays_again():
+    p = pseudo_likelihood.Params()
+    r = np.random.default_rng(1)
+    ids, around = r.integers(0, p.words, p.batch), r.integers(0, p.words + 1, (p.batch, 2 * p.reach))
+    flat = pseudo_likelihood.initial(p)
+    net, squares, room = pseudo_likelihood.unpacked(flat, p), pseudo_likelihood.unpacked(np.full(len(flat), 0.01, np.float32), p), pseudo_likelihood.Room()
+    for step in (lambda: pseudo_likelihood.descend(net, squares, ids, around, p, room), lambda: pseudo_likelihood.log_probabilities(net, ids, around, p, room)):
+        step()
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2_000_000  # logits of a batch alone are a million
+
+
+def test_pseudo_likelihood_of_logits_out_of_range():
+    p = pseudo_likelihood.Params()
+    r = np.random.default_rng(1)
+    ids, around = r.integers(0, p.words, 300), r.integers(0, p.words + 1, (300, 2 * p.reach))
+    flat = pseudo_likelihood.initial(p)
+    net = pseudo_likelihood.unpacked(flat, p)
+    net[3][...] *= 3_000
+    net[4][...] -= 200
+    h = np.tanh(net[0][around].reshape(300, -1) @ net[1] + net[2]).astype(np.float64)
+    plain = 0
+    for logits, at in ((h @ net[3] + net[4], ids // p.per_cluster), (np.einsum("nh,nhw->nw", h, net[5][ids // p.per_cluster]) + net[6][ids // p.per_cluster], ids % p.per_cluster)):
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        plain = plain + np.log(e[np.arange(300), at] / e.sum(axis=1) + 1e-12)
+    assert np.abs(pseudo_likelihood.log_probabilities(net, ids, around, p, pseudo_likelihood.Room()) - plain).max() < 1e-2
+    squares = pseudo_likelihood.unpacked(np.full(len(flat), 0.01, np.float32), p)
+    pseudo_likelihood.descend(net, squares, ids, around, p, pseudo_likelihood.Room())
+    assert np.isfinite(flat).all()
+
+
+def test_words_that_share_their_leading_bits():
+    p = pseudo_likelihood.Params()
+    base = np.uint64(0xABCDE) << np.uint64(44)
+    named = np.array([base + np.uint64(k) for k in (9, 3, 7)] + [2**64 - 1, 0, 5], np.uint64)
+    words = pseudo_likelihood.Vocabulary(named, p)
+    asked = np.concatenate([named, [base, base + np.uint64(4), base + np.uint64(99), np.uint64(1), np.uint64(1) << np.uint64(50)]])
+    plain = [named.tolist().index(h) if h in named.tolist() else p.frequent + h % (p.words - p.frequent) for h in asked.tolist()]
+    assert words.ids(asked).tolist() == plain
+
+
+def test_shares_of_rarer_words_do_not_depend_on_the_parts(spark):
+    p = pseudo_likelihood.Params(clusters=2, per_cluster=8, frequent=8)
+    texts = [None, "", " \n", "a b a b zz zz zz", "Zz q1 q2 q3 q1", *(f"a b {' '.join(f'w{j}' for j in range(k, k + 9))} w{k}" for k in range(60))]
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)] + [(4, texts[4])] * 3
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = pseudo_likelihood.train(corpus, params=p)
+    given = corpus.unionByName(spark.createDataFrame([(900, "never seen before a b"), (901, None)], "doc_id bigint, text string"))
+    hashes = lambda text: pseudo_likelihood.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hash.tolist() if text else []
+    counted = Counter(h for _, t in rows for h in hashes(t))
+    named = set(model.vocabulary.sorted.tolist())
+    sizes = {c: sum(n + 1 for h, n in counted.items() if h not in named and h % 8 == c) + 1 for c in range(8)}
+    plain = sorted(sum(np.log((counted[h] + 1) / sizes[h % 8]) for h in hashes(t) if h not in named) for _, t in [*rows, (900, "never seen before a b"), (901, None)])
+    counts = spark.read.parquet(model.counts)
+    assert sorted((r.hash % 2**64, r.n) for r in counts.collect()) == sorted(counted.items())
+    for parts in (1, 5, 64):
+        table = pseudo_likelihood._network_sums(given, model, "doc_id", "text", parts).localCheckpoint()
+        shares = pseudo_likelihood._shares(table.selectExpr("slice", "inline(rare)"), counts, model, parts)
+        found = table.join(shares, ["slice", "place"], "left").selectExpr("coalesce(shares, 0d) s").collect()
+        assert np.allclose(sorted(r.s for r in found), plain, rtol=1e-12)
