@@ -20,8 +20,8 @@ positions it saw. Blocks are averaged in two steps (salted, then whole), so a
 block is never one task's load, and what is gathered grows with the input. Only
 the averaged network (fixed size, under 1 MB), the vocabulary (``frequent``
 rows) and the totals of the hash classes pass through the driver; the counts of
-the words, which grow with the corpus, are a table that the rarer words of the
-texts are joined to.
+the words, which grow with the corpus, are a table in which the rarer words of
+the texts are looked up, by parts of the hashes.
 
 Null and empty texts have no tokens, a sum of 0 and no mean. Repeated rows are
 scored one by one and count as often as they occur. An empty table trains
