@@ -120,3 +120,28 @@ def test_only_some_files_hold_a_record_over_a_border(spark, tmp_path):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == sorted([("1", "x")] * 300 + [("2", "line\n" * 200)] + [("3", "y")] * 100 + [("4", "z")])
+
+
+@pytest.mark.parametrize("skip,most", [(0, None), (2, None), (5, 45)])
+def test_records_keep_their_place_in_the_file(spark, tmp_path, small_splits, skip, most):
+    texts = {f"{k}.csv": awkward(20 + k, 40 + 10 * k) for k in range(3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    small_splits(40)  # many records reach over a border
+    whole = [(*r, i) for name in sorted(texts) for i, r in enumerate(expected(texts[name], 2, skip=skip + 1), 1)]
+    got = files.scan_csv(spark, str(tmp_path), columns=["a", "b"], skip_rows=skip, max_rows=most, numbered="n")
+    assert sorted(map(tuple, got.collect())) == sorted(whole[:most])
+
+
+def test_places_by_the_readers_of_spark(spark, tmp_path, small_splits):
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("k,v.w\n" + "".join(f"{k},{i}\n" for i in range(1, 300)))
+    small_splits(200)
+    got = files.scan_csv(spark, str(tmp_path), multi_line=False, numbered="n").collect()
+    assert len(got) == 598 and all(r["v.w"] == str(r.n) for r in got)
+    got = files.scan_csv(spark, str(tmp_path), multi_line=False, columns=["k", "v"], skip_rows=3, numbered="n").collect()
+    assert len(got) == 592 and all(int(r.v) == r.n + 3 for r in got)
+    wide = tmp_path / "w"
+    wide.mkdir()
+    (wide / "a.csv").write_bytes('k,v\n1,"a\nb"\n2,c\n'.encode("UTF-16LE"))
+    assert sorted(files.scan_csv(spark, str(wide), encoding="UTF-16LE", numbered="n").collect()) == [("1", "a\nb", 1), ("2", "c", 2)]
